@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linecue.llm import sentencepieces, token_files
+from linecue.llm import minhash, sentencepieces, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": sentencepieces.op3_sentencepiece,
+    "op7_minhash": minhash.op7_minhash,
     "op6_token_files": token_files.op6_token_files,
 }
 ORACLES: dict[str, str] = {}
