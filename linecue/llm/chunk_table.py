@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 class ChunkTable(dict):
     """chunk -> row number; the ids of all rows lie end to end in one array.
 
     `encode` gets a list of distinct chunks and returns their id lists. The
-    table starts again when it holds more than `most_ids` ids or chunks, so a
-    task's memory does not depend on how many chunks its rows have.
+    table starts again when it holds more than `most` chunks, so a task's
+    memory does not depend on how many chunks its rows have.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most_ids: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 1_000_000):
         super().__init__()
-        self.encode, self.most_ids = encode, most_ids
+        self.encode, self.most = encode, most
         self.restart()
 
     def restart(self) -> None:
@@ -40,19 +41,55 @@ class ChunkTable(dict):
             self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts)])
             self.new = []
 
-    def ids_of(self, texts: list[list[str]], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts end to end, each text followed by end_id; offsets of the texts)."""
-        if len(self) > self.most_ids or len(self.ids) > self.most_ids:
+    def rows(self, chunks: Iterable[str], n: int) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, chunks), np.int64, n)
+
+    def ids_of(self, chunks: pa.Array, counts: np.ndarray, end_id: int, firsts: list[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, each text followed by end_id; offsets of the texts).
+
+        chunks: of all texts end to end; counts: how many each text has;
+        firsts: what stands in the table for the first chunk of each text that
+        has one, if not the chunk itself.
+        """
+        if len(self) > self.most:
             self.restart()
-        look, counts = self.__getitem__, np.fromiter(map(len, texts), np.int64, len(texts))
-        rows = np.fromiter((look(c) for chunks in texts for c in chunks), np.int64, int(counts.sum()))
+        coded = chunks.dictionary_encode()
+        rows = self.rows(coded.dictionary.to_pylist(), len(coded.dictionary))[coded.indices.to_numpy()] if len(chunks) else np.empty(0, np.int64)
+        ends_of_texts = np.cumsum(counts)
+        if firsts is not None:
+            rows[(ends_of_texts - counts)[counts > 0]] = self.rows(firsts, len(firsts))
         self.segment_new()
-        sizes = self.first[rows + 1] - self.first[rows]
+        start = self.first[rows]
+        sizes = self.first[rows + 1] - start
         ends = np.cumsum(sizes)
-        flat = self.ids[np.repeat(self.first[rows] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        upto = np.concatenate([[0], ends])[np.cumsum(counts)] if len(texts) else np.empty(0, np.int64)
-        out = np.insert(flat, upto, end_id).astype(np.int32)
-        return out, np.concatenate([[0], upto + np.arange(1, len(texts) + 1)])
+        total = int(ends[-1]) if len(ends) else 0
+        flat = self.ids[np.repeat(start - ends + sizes, sizes) + np.arange(total)]
+        upto = np.concatenate([[0], ends])[ends_of_texts]
+        where = upto + np.arange(len(counts))
+        out = np.empty(total + len(counts), np.int32)
+        inner = np.ones(len(out), bool)
+        inner[where] = False
+        out[inner], out[where] = flat, end_id
+        return out, np.concatenate([[0], where + 1])
+
+
+def chunks_of_texts(texts: list[str], plain: Callable[[str], bool], cut: Callable[[str], list[str]]) -> tuple[pa.Array, np.ndarray]:
+    """Chunks of all texts end to end, and how many each has: `plain` texts are cut at each space, the others by `cut`."""
+    found, counts, k = [pa.array([], pa.string())], [], 0
+    simple = [plain(t) for t in texts]
+    while k < len(texts):
+        if not simple[k]:
+            chunks = cut(texts[k])
+            found.append(pa.array(chunks, pa.string()))
+            counts.append(np.array([len(chunks)]))
+            k += 1
+            continue
+        end = next((j for j in range(k, len(texts)) if not simple[j]), len(texts))
+        parts = pc.split_pattern(pa.array(texts[k:end], pa.string()), " ")
+        found.append(parts.flatten())
+        counts.append(parts.value_lengths().to_numpy())
+        k = end
+    return pa.concat_arrays(found), np.concatenate(counts) if counts else np.empty(0, np.int64)
 
 
 def list_array(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:

@@ -14,6 +14,7 @@ are cut like all others; a slice of a batch holds at least one text.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linecue.llm.chunk_table import ChunkTable, list_array
+from linecue.llm.chunk_table import ChunkTable, chunks_of_texts, list_array
 from linecue.llm.common import slices, table
 
 MARK = "▁"
@@ -34,28 +35,36 @@ def check_model(processor) -> bool:
     return not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
 
 
+def is_plain(text: str) -> bool:
+    """True if every marker of the text stands alone and before another character: cutting at each space is enough."""
+    return bool(text) and "  " not in text and MARK not in text and text[0] != " " and text[-1] != " "
+
+
 def chunks_of(text: str) -> list[str]:
     """Chunks without their first marker, which the library puts before any text."""
-    if not text:
-        return []
-    if "  " not in text and MARK not in text and text[0] != " " and text[-1] != " ":
-        return text.split(" ")
-    return [c[1:] for c in _RUNS.findall(MARK + text.replace(" ", MARK))]
+    return [c[1:] for c in _RUNS.findall(MARK + text.replace(" ", MARK))] if text else []
+
+
+@functools.lru_cache(maxsize=4)
+def _worker(model: str):
+    """(processor, table, cutter) of this worker, kept from task to task."""
+    import sentencepiece
+
+    processor = sentencepiece.SentencePieceProcessor(model_file=model)
+    bare = processor.encode("a ")[len(processor.encode("a")) :]  # a marker with nothing after it; the library gives no ids for ""
+    chunks = ChunkTable(lambda new: [ids if c else bare for c, ids in zip(new, processor.encode(new, num_threads=1), strict=True)])
+    if check_model(processor):
+        return processor, chunks, lambda texts: chunks_of_texts(texts, is_plain, chunks_of)
+    return processor, chunks, lambda texts: chunks_of_texts(texts, lambda t: False, lambda t: [t] if t else [])
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id", decoded: bool = False) -> DataFrame:
     """(key, ids array<int>[, decoded string]): ids of each whole text, then the end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
-
-        processor = sentencepiece.SentencePieceProcessor(model_file=model)
-        cut = chunks_of if check_model(processor) else lambda t: [t] if t else []
-        bare = processor.encode("a ")[len(processor.encode("a")) :]  # a marker with nothing after it; the library gives no ids for ""
-        chunks = ChunkTable(lambda new: [ids if c else bare for c, ids in zip(new, processor.encode(new, num_threads=1), strict=True)])
+        processor, chunks, cut = _worker(model)
         for batch in slices(batches, "text"):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids, offsets = chunks.ids_of([cut(t) for t in texts], processor.eos_id())
+            ids, offsets = chunks.ids_of(*cut([t or "" for t in batch.column(1).to_pylist()]), processor.eos_id())
             columns = [batch.column(0), list_array(ids, offsets)]
             if decoded:
                 columns.append(pa.array([processor.decode(ids[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.string()))

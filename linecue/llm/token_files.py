@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,32 +24,34 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linecue.llm.chunk_table import ChunkTable, list_array
+from linecue.llm.chunk_table import ChunkTable, chunks_of_texts, list_array
 from linecue.llm.common import checkpointed, shared_path, slices, table
 from linecue.llm.wavelet import WaveletFile, build
 
 #: Ids of one file at most (but a document is never split).
-SHARD_IDS = 8_000_000
+SHARD_IDS = 4_000_000
+#: Before the first chunk of a text in the table, as no space stands before it in the text; chunks start with it in no other way.
+FIRST = " "
 #: Text bytes that one task encodes.
 TASK_BYTES = 32 << 20
 
 
+#: A space that no character other than white space follows.
+_LOOSE = re.compile(r" (?:\s|$)")
+
+
+def is_plain(text: str) -> bool:
+    """True if a character other than white space follows every space."""
+    return _LOOSE.search(text) is None
+
+
 def chunks_of(text: str) -> list[str]:
-    """Cuts before each space that a character other than white space follows.
+    """Cuts before each space that a character other than white space follows; chunks without that space.
 
     The tokenizer's own cuts always include these, whatever stands around
     them, so the chunks can be encoded alone.
     """
-    chunks = text.split(" ")
-    joined = chunks[:1] if chunks[0] else []
-    for c in chunks[1:]:
-        if c and not c[0].isspace():
-            joined.append(" " + c)
-        elif joined:
-            joined[-1] += " " + c
-        else:
-            joined.append(" " + c)
-    return joined
+    return re.split(r" (?=\S)", text)
 
 
 @functools.lru_cache(maxsize=4)
@@ -58,7 +61,14 @@ def chunk_table(model: str) -> ChunkTable:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(model)
-    return ChunkTable(lambda new: [e.ids for e in tokenizer.encode_batch(new, add_special_tokens=False)])
+    whole = lambda c: c[1:] if c[:1] == FIRST else " " + c
+    return ChunkTable(lambda new: [e.ids for e in tokenizer.encode_batch([whole(c) for c in new], add_special_tokens=False)], most=1_500_000)
+
+
+def encode_texts(chunks: ChunkTable, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    cut, counts = chunks_of_texts(texts, is_plain, chunks_of)
+    starts = (np.cumsum(counts) - counts)[counts > 0]
+    return chunks.ids_of(cut, counts, end_id, [FIRST + c for c in cut.take(pa.array(starts)).to_pylist()])
 
 
 def write(docs: DataFrame, path: str, model: str, end_id: int = 0, shard_ids: int = SHARD_IDS, task_bytes: int = TASK_BYTES) -> DataFrame:
@@ -88,7 +98,7 @@ def write(docs: DataFrame, path: str, model: str, end_id: int = 0, shard_ids: in
             return made
 
         for batch in slices(batches):
-            found, offsets = chunks.ids_of([chunks_of(t) for t in batch.column(1).to_pylist()], end_id)
+            found, offsets = encode_texts(chunks, batch.column(1).to_pylist(), end_id)
             ids.append(found)
             doc_ids.extend(batch.column(0).to_pylist())
             counts.append(np.diff(offsets))

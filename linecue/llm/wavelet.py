@@ -39,18 +39,21 @@ def build(ids: np.ndarray, doc_ids: list[int | None], starts: np.ndarray, **abou
     compress = zstandard.ZstdCompressor(level=1).compress
     blocks, ones, sizes, zeros = [], [], [], []
     for digit in reversed(range(width)):
-        bits = (left >> digit & 1).astype(bool)
+        bits = (left & left.dtype.type(1 << digit)) != 0
         packed = np.packbits(bits, bitorder="little")
         step = BLOCK_BITS // 8
         cut = [packed[i : i + step] for i in range(0, len(packed), step)]
-        counts = np.add.reduceat(bits, np.arange(0, len(bits), BLOCK_BITS), dtype=np.int64) if len(bits) else np.empty(0, np.int64)
+        counts = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), step), dtype=np.int64) if len(bits) else np.empty(0, np.int64)
         ones.append(np.concatenate([[0], np.cumsum(counts)]))
         for part in cut:
             data = compress(part.tobytes())
             blocks.append(data)
             sizes.append(len(data))
         zeros.append(int(len(bits) - counts.sum()))
-        left = np.concatenate([left[~bits], left[bits]])
+        split = np.empty_like(left)
+        np.compress(~bits, left, out=split[: zeros[-1]])
+        np.compress(bits, left, out=split[zeros[-1] :])
+        left = split
     docs = [_pack(np.array([d or 0 for d in doc_ids], "<i8")), _pack(np.array([d is None for d in doc_ids], "?")), _pack(np.asarray(starts, "<i8"))]
     tables = [_pack(np.concatenate(ones).astype("<i8")), _pack(np.array(sizes, "<i8"))]
     header = json.dumps({"n": len(ids), "width": width, "block_bits": BLOCK_BITS, "zeros": zeros, "parts": [len(x) for x in docs + tables], **about}).encode()
@@ -149,11 +152,9 @@ class WaveletFile:
         """All ids in order, from the last plane up."""
         values = np.zeros(self.n, np.uint16 if self.width <= 16 else np.uint32)
         for plane in reversed(range(self.width)):
-            start = plane * self.per_plane
             bits = np.concatenate([self._read_block(plane, k) for k in range(self.per_plane)]).astype(bool) if self.n else np.empty(0, bool)
-            assert start + self.per_plane <= len(self.ends)
             above = np.empty_like(values)
-            above[~bits] = values[: self.zeros[plane]]
-            above[bits] = values[self.zeros[plane] :] | (1 << self.width - 1 - plane)
+            np.place(above, ~bits, values[: self.zeros[plane]])
+            np.place(above, bits, values[self.zeros[plane] :] | values.dtype.type(1 << self.width - 1 - plane))
             values = above
-        return values.astype(np.int64)
+        return values

@@ -1,10 +1,13 @@
 import hashlib
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
 from linecue.llm import sentencepieces
+from linecue.llm.chunk_table import ChunkTable
 from linecue.llm.common import table
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -39,9 +42,7 @@ def test_query_equals_the_library(spark):
 
 @pytest.mark.parametrize("most", [1, 50])
 def test_a_small_table_starts_again(most):
-    from linecue.llm.chunk_table import ChunkTable
-
-    small = ChunkTable(lambda new: [[len(c)] * len(c) for c in new], most_ids=most)
+    small = ChunkTable(lambda new: [[len(c)] * len(c) for c in new], most=most)
     for _ in range(3):
-        ids, offsets = small.ids_of([["ab", "c"], [], ["c", "ab", "ddd"]], 0)
+        ids, offsets = small.ids_of(pa.array(["ab", "c", "c", "ab", "ddd"]), np.array([2, 0, 3]), 0)
         assert ids.tolist() == [2, 2, 1, 0, 0, 1, 2, 2, 3, 3, 3, 0] and offsets.tolist() == [0, 4, 5, 12]
