@@ -26,7 +26,7 @@ class ChunkTable(dict):
         self.clear()
         self.new: list[str] = []
         self.ids = np.empty(0, np.int32)
-        self.first = np.zeros(1, np.int64)
+        self.ends = np.zeros(1, np.int32)
 
     def __missing__(self, chunk: str) -> int:
         self[chunk] = n = len(self)
@@ -38,7 +38,7 @@ class ChunkTable(dict):
             found = self.encode(self.new)
             counts = np.fromiter(map(len, found), np.int64, len(found))
             self.ids = np.concatenate([self.ids, np.fromiter((x for ids in found for x in ids), np.int32, int(counts.sum()))])
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts)])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts, dtype=np.int32)])
             self.new = []
 
     def rows(self, chunks: Iterable[str], n: int) -> np.ndarray:
@@ -55,22 +55,18 @@ class ChunkTable(dict):
             self.restart()
         coded = chunks.dictionary_encode()
         rows = self.rows(coded.dictionary.to_pylist(), len(coded.dictionary))[coded.indices.to_numpy()] if len(chunks) else np.empty(0, np.int64)
-        ends_of_texts = np.cumsum(counts)
+        ends = np.cumsum(counts)
         if firsts is not None:
-            rows[(ends_of_texts - counts)[counts > 0]] = self.rows(firsts, len(firsts))
+            rows[(ends - counts)[counts > 0]] = self.rows(firsts, len(firsts))
         self.segment_new()
-        start = self.first[rows]
-        sizes = self.first[rows + 1] - start
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.ids[np.repeat(start - ends + sizes, sizes) + np.arange(total)]
-        upto = np.concatenate([[0], ends])[ends_of_texts]
-        where = upto + np.arange(len(counts))
-        out = np.empty(total + len(counts), np.int32)
-        inner = np.ones(len(out), bool)
-        inner[where] = False
-        out[inner], out[where] = flat, end_id
-        return out, np.concatenate([[0], where + 1])
+        rows = np.insert(rows, ends, len(self.ends) - 1)  # the row behind the last is the end id
+        begins, values = np.append(self.ends, self.ends[-1] + 1), np.append(self.ids, np.int32(end_id))
+        first = begins[rows]
+        sizes = begins[rows + 1] - first
+        upto = np.cumsum(sizes, dtype=np.int32)
+        places = np.repeat(first - upto + sizes, sizes)
+        places += np.arange(len(places), dtype=np.int32)
+        return values[places], np.concatenate([[0], upto[ends + np.arange(len(counts))]])
 
 
 def chunks_of_texts(texts: list[str], plain: Callable[[str], bool], cut: Callable[[str], list[str]]) -> tuple[pa.Array, np.ndarray]:

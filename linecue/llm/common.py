@@ -48,14 +48,14 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches cut so that `column` of one slice holds about SLICE_BYTES (one row at least)."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that `column` of one slice holds about `most` bytes (one row at least)."""
     for batch in batches:
         values = batch.column(batch.schema.get_field_index(column))
         if not len(values):
             continue
         sizes = np.diff(np.frombuffer(values.buffers()[1], dtype=np.int64 if pa.types.is_large_string(values.type) else np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64))
-        part, start = np.cumsum(sizes) // SLICE_BYTES, 0
+        part, start = np.cumsum(sizes) // most, 0
         for cut in [*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(values)]:
             if cut > start:
                 yield batch.slice(start, cut - start)

@@ -61,8 +61,31 @@ def chunk_table(model: str) -> ChunkTable:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(model)
-    whole = lambda c: c[1:] if c[:1] == FIRST else " " + c
-    return ChunkTable(lambda new: [e.ids for e in tokenizer.encode_batch([whole(c) for c in new], add_special_tokens=False)], most=1_500_000)
+    return ChunkTable(functools.partial(_encode_chunks, tokenizer), most=1_500_000)
+
+
+#: Letters that every version of Unicode knows: one run of them after a space is one word for the model.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+@functools.lru_cache(maxsize=1)
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: a character for each byte, printable ones for themselves, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+def _encode_chunks(tokenizer, new: list[str]) -> list[list[int]]:
+    """Ids of distinct chunks; those that are one word go to the tokenizer's model at once, which is its costly part."""
+    from tokenizers import pre_tokenizers
+
+    cut, model = tokenizer.pre_tokenizer, tokenizer.model
+    direct = tokenizer.normalizer is None and isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex
+    words = [direct and _LETTERS.fullmatch(c) is not None for c in new]
+    rest = iter(tokenizer.encode_batch([c[1:] if c[:1] == FIRST else " " + c for c, w in zip(new, words, strict=True) if not w], add_special_tokens=False))
+    letters = _byte_letters()
+    return [[t.id for t in model.tokenize((" " + c).encode().decode("latin-1").translate(letters))] if w else next(rest).ids for c, w in zip(new, words, strict=True)]
 
 
 def encode_texts(chunks: ChunkTable, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +120,7 @@ def write(docs: DataFrame, path: str, model: str, end_id: int = 0, shard_ids: in
             ids.clear(), doc_ids.clear(), counts.clear()
             return made
 
-        for batch in slices(batches):
+        for batch in slices(batches, most=8 << 20):
             found, offsets = encode_texts(chunks, batch.column(1).to_pylist(), end_id)
             ids.append(found)
             doc_ids.extend(batch.column(0).to_pylist())

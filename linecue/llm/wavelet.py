@@ -151,8 +151,12 @@ class WaveletFile:
     def decode(self) -> np.ndarray:
         """All ids in order, from the last plane up."""
         values = np.zeros(self.n, np.uint16 if self.width <= 16 else np.uint32)
+        unpack = zstandard.ZstdDecompressor().decompress
+        begins = np.append(self.first, self.ends)
         for plane in reversed(range(self.width)):
-            bits = np.concatenate([self._read_block(plane, k) for k in range(self.per_plane)]).astype(bool) if self.n else np.empty(0, bool)
+            cuts = begins[plane * self.per_plane : (plane + 1) * self.per_plane + 1].tolist()
+            packed = b"".join(unpack(self.data[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+            bits = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little")[: self.n].view(bool)
             above = np.empty_like(values)
             np.place(above, ~bits, values[: self.zeros[plane]])
             np.place(above, bits, values[self.zeros[plane] :] | values.dtype.type(1 << self.width - 1 - plane))
