@@ -73,7 +73,7 @@ def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 def bucket_weights(docs: DataFrame, trusted: DataFrame, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """One row: weights array<long>, in millionths, by bucket. trusted: doc_id of the documents to resemble."""
     named = trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("trusted", F.lit(1))
-    rows = docs.select("doc_id", F.col(text).cast("string").alias("text")).join(named, "doc_id", "left")
+    rows = docs.select("doc_id", F.col(text).cast("string").alias("text")).join(named.hint("merge"), "doc_id", "left")  # the trusted ids grow with the documents: never broadcast
     rows = rows.select(words_of(F.col("text")).alias("words"), F.coalesce("trusted", F.lit(0)).alias("trusted"))
     grams = rows.select("trusted", F.explode(_pairs(F.col("words"), F.size("words"))).alias("p")).select("trusted", "p.a", "p.b")
     found = grams.select("trusted", F.explode(F.array(_bucket(F.col("a")), _bucket(F.concat("a", F.lit(" "), F.col("b"))))).alias("bucket")).where("bucket is not null")
