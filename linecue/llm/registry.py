@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linecue.llm import chat_format, minhash, quality_classifier, quality_rules, sentencepieces, token_files
+from linecue.llm import chat_format, minhash, quality_classifier, quality_rules, sentencepieces, token_files, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,8 +15,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
     "op7_minhash": minhash.op7_minhash,
     "op6_token_files": token_files.op6_token_files,
+    "op8_warc": warc.op8_warc,
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op2_chat_format": chat_format.ORACLE,
+    "op8_warc": warc.ORACLE,
 }
