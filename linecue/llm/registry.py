@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linecue.llm import chat_format, minhash, quality_classifier, quality_rules, sentencepieces, token_files, url_filter, warc
+from linecue.llm import chat_format, decontaminate, minhash, quality_classifier, quality_rules, sentencepieces, token_files, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -16,11 +16,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minhash": minhash.op7_minhash,
     "op6_token_files": token_files.op6_token_files,
     "op8_warc": warc.op8_warc,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op2_chat_format": chat_format.ORACLE,
     "op8_warc": warc.ORACLE,
+    "op9_decontaminate": decontaminate.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
 }
