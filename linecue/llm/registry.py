@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linecue.llm import chat_format, decontaminate, minhash, quality_classifier, quality_rules, sentencepieces, token_files, url_filter, warc
+from linecue.llm import chat_format, decontaminate, licenses, minhash, quality_classifier, quality_rules, sentencepieces, token_files, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_sentencepiece": sentencepieces.op3_sentencepiece,
     "op2_chat_format": chat_format.op2_chat_format,
     "op4_quality_classifier": quality_classifier.op4_quality_classifier,
+    "op5_license_scan": licenses.op5_license_scan,
     "op7_minhash": minhash.op7_minhash,
     "op6_token_files": token_files.op6_token_files,
     "op8_warc": warc.op8_warc,
