@@ -35,6 +35,8 @@ from linecue.llm.common import checkpointed, shared_path, slices, table
 
 #: Bytes of a block in one record, and of one chunk of the transfer framing.
 SEGMENT_BYTES, CHUNK_BYTES = 16_384, 4_096
+#: Compressed bytes taken from a file at once, and the gzip level of records.
+READ_BYTES, LEVEL = 4_096, 1
 #: Bytes of payload that one file holds, about.
 FILE_BYTES = 64 << 20
 #: Parts that the pages of one payload are dealt to for the look-up of the stored one.
@@ -71,7 +73,7 @@ def unchunked(framed: bytes) -> bytes:
 def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     """One record as a gzip member."""
     head = "".join(f"{k}: {v}\r\n" for k, v in [*headers, ("Content-Length", str(len(block)))])
-    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return packer.compress(b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
@@ -95,10 +97,17 @@ def records_of_page(key: str, url: str, payload: bytes, digest: str, stored: str
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers with lower-case names, block) of each record of a file of gzip members."""
-    while data:
-        unpacker = zlib.decompressobj(31)
-        text = unpacker.decompress(data) + unpacker.flush()
-        data = unpacker.unused_data
+    at = 0
+    while at < len(data):
+        unpacker, pieces = zlib.decompressobj(31), []
+        while not unpacker.eof:  # piece by piece, as all that follows the member is copied with the last one
+            piece = data[at : at + READ_BYTES]
+            if not piece:
+                raise ValueError("a record's gzip member doesn't end")
+            pieces.append(unpacker.decompress(piece))
+            at += len(piece)
+        at -= len(unpacker.unused_data)
+        text = b"".join(pieces)
         stream = io.BytesIO(text)
         if not stream.readline().startswith(b"WARC/"):
             raise ValueError("not a WARC record")
