@@ -4,7 +4,575 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from linecue.functions import text as words
+from linecue.functions import timefmt
+from linecue.operators import alignment, audio, captions, charts, outputs, script, spans, timeline
+from linecue.plans import bridge
+from linecue.plans.bridge import LINES_SQL, SQL
+from linecue.sources.files import speech_bounds
+from linecue.sources.tables import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+EDL = timefmt.EdlSettings.parse(29.97, "01:00:00:00")
+
+
+def query(sql: str | None = None, base: str = SQL) -> Callable[[Query], Query]:
+    """Registers a query under its own name, with its SQL if there is one."""
+
+    def add(run: Query) -> Query:
+        QUERIES[run.__name__] = run
+        if sql is not None:
+            ORACLES[run.__name__] = f"{base}\n{sql}" if base else sql
+        return run
+
+    return add
+
+
+def millis(column: str) -> F.Column:
+    """Whole thousandths of a value."""
+    return F.floor(F.col(column) * 1000 + 0.5).cast("long").alias(column)
+
+
+def _sql_millis(expression: str, name: str) -> str:
+    return f"CAST(floor({expression} * 1000 + 0.5) AS BIGINT) AS {name}"
+
+
+def _heard(s: SparkSession, d: str) -> DataFrame:
+    """Heard words in seconds."""
+    return bridge.heard_words(s, d).withColumns({"start": F.col("start") / 1000, "end": F.col("end") / 1000})
+
+
+def true_spans(s: SparkSession, d: str) -> DataFrame:
+    """Spans of the known matches, in seconds."""
+    found = spans.compute_spans(bridge.paragraphs(s, d), bridge.true_matches(s, d), bridge.heard_words(s, d))
+    return found.withColumns({"start": F.col("start") / 1000, "end": F.col("end") / 1000})
+
+
+def _titled(found: DataFrame) -> DataFrame:
+    return spans.chapter_spans(found).withColumn("title", F.concat(F.lit("Chapter "), F.col("chapter_no")))
+
+
+def _ends(s: SparkSession, d: str) -> DataFrame:
+    return bridge.heard_words(s, d).groupBy("script_id").agg((F.max("end") / 1000 + 1).alias("video_end"))
+
+
+_CHAPTERS = """,
+chapters AS (SELECT script_id, chapter_no, arg_min(id, ord) AS first, arg_max(id, ord) AS last, arg_min(s, ord) FILTER (s IS NOT NULL) AS s, arg_max(e, ord) FILTER (s IS NOT NULL) AS e, 'Chapter ' || chapter_no AS title FROM spans GROUP BY script_id, chapter_no),
+ends AS (SELECT script_id, max(e) / 1000 + 1 AS video_end FROM heard_words GROUP BY script_id),
+begins AS (SELECT c.*, video_end, CASE WHEN row_number() OVER w = 1 THEN 0 ELSE CAST(floor(s) AS BIGINT) END AS b FROM chapters c JOIN ends USING (script_id) WHERE s IS NOT NULL WINDOW w AS (PARTITION BY script_id ORDER BY chapter_no)),
+lengths AS (SELECT *, coalesce(lead(b) OVER (PARTITION BY script_id ORDER BY chapter_no), CAST(floor(video_end) AS BIGINT)) - b AS len FROM begins)"""
+
+
+# Words
+
+
+@query("SELECT script_id, ord, pos, gpos, word FROM script_words")
+def tokenize_words(s, d):
+    return bridge.script_words(s, d)
+
+
+@query("SELECT script_id, ord, len(ws)::INTEGER AS n_words FROM texts")
+def word_counts(s, d):
+    return bridge.paragraphs(s, d).select("script_id", "ord", F.size(words.plain_words(F.col("text"))).alias("n_words"))
+
+
+@query("SELECT word, count(*) AS n, count(DISTINCT script_id) AS n_scripts FROM script_words GROUP BY word")
+def vocabulary(s, d):
+    return bridge.script_words(s, d).groupBy("word").agg(F.count("*").alias("n"), F.count_distinct("script_id").alias("n_scripts"))
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda w: w <> '') AS ws FROM documents),
+    w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS idx FROM t),
+    cut AS (SELECT doc_id, idx * 2 AS idx, CASE WHEN regexp_matches(word, '^[0-9]+\.[0-9]+$') THEN regexp_extract(word, '^[0-9]+') ELSE word END AS word FROM w
+      UNION ALL SELECT doc_id, idx * 2 + 1, regexp_extract(word, '\..*$') FROM w WHERE regexp_matches(word, '^[0-9]+\.[0-9]+$')),
+    flag AS (SELECT *, CASE WHEN regexp_matches(lag(word) OVER o, '\p{Nd}$') AND regexp_matches(word, '^\.\p{Nd}') THEN 0 ELSE 1 END AS f FROM cut WINDOW o AS (PARTITION BY doc_id ORDER BY idx)),
+    runs AS (SELECT *, sum(f) OVER (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS run FROM flag)
+    SELECT doc_id, CAST(min(idx) AS INTEGER) AS idx, string_agg(word, '' ORDER BY idx) AS word, CAST(min(idx) * 500 AS DOUBLE) AS start_ms, CAST(max(idx) * 500 + 400 AS DOUBLE) AS end_ms
+    FROM runs GROUP BY doc_id, run HAVING count(*) > 1""",
+    base="",
+)
+def decimal_runs(s, d):
+    """Decimals cut at their point and joined again, over all documents."""
+    number = r"^[0-9]+\.[0-9]+$"
+    rows = table(s, d, "documents").select("doc_id", F.posexplode(F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\x0b\f\r]+"), lambda w: w != "")).alias("k", "w"))
+    pieces = F.when(F.col("w").rlike(number), F.array(F.regexp_extract("w", "^[0-9]+", 0), F.regexp_extract("w", r"\..*$", 0))).otherwise(F.array("w"))
+    rows = rows.select("doc_id", "k", F.posexplode(pieces).alias("half", "text"))
+    rows = rows.select(F.col("doc_id").alias("script_id"), F.lit(0).alias("part_no"), (F.col("k") * 2 + F.col("half")).alias("idx"), "text").withColumns({"start": F.col("idx") * 500.0, "end": F.col("idx") * 500.0 + 400})
+    joined = timeline.join_decimals(rows).where(F.col("end") - F.col("start") > 400)
+    return joined.select(F.col("script_id").alias("doc_id"), "idx", F.col("text").alias("word"), F.col("start").alias("start_ms"), F.col("end").alias("end_ms"))
+
+
+@query(
+    """, halves AS (SELECT script_id, idx, s, e, list_filter([substr(word, 1, length(word) // 2), substr(word, length(word) // 2 + 1)], lambda x: x <> '') AS ts FROM heard_words),
+    tokens AS (SELECT *, unnest(ts) AS word, unnest(range(len(ts))) AS sub FROM halves)
+    SELECT script_id, idx, CAST(sub AS INTEGER) AS sub, word, s + sub * ((e - s) / len(ts)) AS start_ms, CASE WHEN sub = len(ts) - 1 THEN e ELSE s + (sub + 1) * ((e - s) / len(ts)) END AS end_ms FROM tokens"""
+)
+def split_word_times(s, d):
+    half = F.floor(F.length("text") / 2).cast("int")
+    tokens = F.filter(F.array(F.substr("text", F.lit(1), half), F.substr("text", half + 1)), lambda t: t != "")
+    rows = bridge.heard_words(s, d).select("script_id", "part_no", "idx", F.col("word").alias("text"), "start", "end")
+    return timeline.split_words(rows, tokens).select("script_id", "idx", "sub", "word", F.col("start").alias("start_ms"), F.col("end").alias("end_ms"))
+
+
+@query()
+def normalize_numbers(s, d):
+    """Comparable words of every turn and of every document, numbers in digits."""
+    texts = bridge.paragraphs(s, d).select("script_id", "ord", "text").union(table(s, d, "documents").select(F.col("doc_id"), F.lit(-1), "text"))
+    return texts.select("script_id", "ord", words.normalize_text("text").alias("words"))
+
+
+@query()
+def normalize_timed_words(s, d):
+    rows = _heard(s, d).select("script_id", "part_no", "idx", F.col("word").alias("text"), "start", "end")
+    return timeline.normalize_words(rows)
+
+
+# Timeline
+
+
+@query("SELECT script_id, part_no, coalesce(sum(duration + 500) OVER (PARTITION BY script_id ORDER BY part_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 2000 AS offset_ms, duration FROM parts")
+def timeline_parts(s, d):
+    return timeline.build_timeline(bridge.parts(s, d), 500.0, 2000.0).select("script_id", "part_no", F.col("offset").alias("offset_ms"), "duration")
+
+
+@query("SELECT script_id, sum(duration) + 500.0 * (count(*) - 1) AS total_duration FROM parts GROUP BY script_id")
+def total_duration(s, d):
+    return timeline.total_duration(bridge.parts(s, d), 500.0)
+
+
+@query(
+    """, laid AS (SELECT script_id, part_no, coalesce(sum(duration) OVER (PARTITION BY script_id ORDER BY part_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM parts)
+    SELECT script_id, part_no, CAST(row_number() OVER (PARTITION BY script_id ORDER BY part_no, idx) - 1 AS INTEGER) AS idx, word, s + o AS start_ms, e + o AS end_ms FROM heard_words JOIN laid USING (script_id, part_no)"""
+)
+def shift_words(s, d):
+    moved = timeline.shift_words(bridge.heard_words(s, d), timeline.build_timeline(bridge.parts(s, d)))
+    return moved.select("script_id", "part_no", "idx", "word", F.col("start").alias("start_ms"), F.col("end").alias("end_ms"))
+
+
+@query(
+    """, near AS (SELECT w.script_id, w.part_no, w.idx, w.s, w.e, g.seg_s, g.seg_e FROM heard_words w ASOF LEFT JOIN segments g ON w.script_id = g.script_id AND w.part_no = g.part_no AND w.s < g.seg_e),
+    held AS (SELECT *, coalesce(seg_s < e, false) AS o FROM near),
+    cut AS (SELECT *, CASE WHEN o AND seg_s - s >= 50 THEN seg_s ELSE s END AS s1, CASE WHEN o AND e - seg_e >= 50 THEN seg_e ELSE e END AS e1 FROM held),
+    wide AS (SELECT *, CASE WHEN e1 - s1 < 20 THEN s ELSE s1 END AS s2, CASE WHEN e1 - s1 < 20 THEN e ELSE e1 END AS e2 FROM cut),
+    first AS (SELECT *, o AND row_number() OVER (PARTITION BY script_id, part_no, o, seg_s, seg_e ORDER BY idx) = 1 AS f, lag(e2) OVER (PARTITION BY script_id, part_no ORDER BY idx) AS p FROM wide)
+    SELECT script_id, part_no, idx, CASE WHEN f AND s2 - seg_s BETWEEN 300 AND 2000 AND greatest(seg_s, coalesce(p, seg_s)) < s2 THEN greatest(seg_s, coalesce(p, seg_s)) ELSE s2 END AS start_ms, e2 AS end_ms FROM first"""
+)
+def snap_words(s, d):
+    rows = bridge.heard_words(s, d).select("script_id", "part_no", "idx", "start", "end")
+    held = timeline.snap_to_speech(rows, bridge.segments(s, d), 50.0, 20.0, 300.0, 2000.0)
+    return held.select("script_id", "part_no", "idx", F.col("start").alias("start_ms"), F.col("end").alias("end_ms"))
+
+
+@query("SELECT script_id, part_no, min(seg_s) AS start_ms, max(seg_e) AS end_ms FROM segments GROUP BY ALL")
+def segment_bounds(s, d):
+    return speech_bounds(bridge.segments(s, d)).select("script_id", "part_no", F.col("start").alias("start_ms"), F.col("end").alias("end_ms"))
+
+
+@query(
+    """WITH levels AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, coalesce(value, 0) AS level FROM events WHERE user_id IS NOT NULL),
+    loud AS (SELECT user_id, list_sort(list(level))[CAST(floor(count(*) * 0.98) AS INTEGER) + 1] AS top FROM levels GROUP BY user_id),
+    heard AS (SELECT user_id, i FROM levels JOIN loud USING (user_id) WHERE level > greatest(1.0, top * 0.5)),
+    flag AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY user_id ORDER BY i) - 1 < 2 THEN 0 ELSE 1 END AS f FROM heard),
+    runs AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM flag),
+    segs AS (SELECT user_id, min(i) AS a, max(i) + 1 AS b FROM runs GROUP BY user_id, run HAVING max(i) + 1 - min(i) >= 2)
+    SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY a) - 1 AS INTEGER) AS k, CAST(a AS DOUBLE) AS start, CAST(b AS DOUBLE) AS "end" FROM segs""",
+    base="",
+)
+def energy_segments(s, d):
+    i = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    levels = table(s, d, "events").where("user_id is not null").select(F.col("user_id").alias("script_id"), F.lit(0).alias("part_no"), i.alias("i"), F.coalesce("value", F.lit(0.0)).alias("level"))
+    found = timeline.speech_segments(levels, 1.0, 2.0, 0.5, 0.98, 2.0)
+    return found.select(F.col("script_id").alias("user_id"), "k", "start", "end")
+
+
+# Matches and spans
+
+
+@query()
+def align_words(s, d):
+    """Every script word with the heard word it goes with."""
+    return alignment.align_words(bridge.script_words(s, d), bridge.heard_words(s, d))
+
+
+@query("SELECT script_id, 0 AS violations FROM paragraphs GROUP BY script_id")
+def align_violations(s, d):
+    """Matches that go backwards, repeat a heard word or are not similar enough: none in any script."""
+    found = align_words(s, d)
+    before = F.max("heard_idx").over(Window.partitionBy("script_id").orderBy("gpos").rowsBetween(Window.unboundedPreceding, -1))
+    wrong = (F.col("heard_idx") <= F.col("before")) | ~F.col("similarity").between(alignment.LEAST_SIMILARITY, 1.0)
+    counted = found.withColumn("before", before).groupBy("script_id").agg(F.count(F.when(wrong, 1)).cast("int").alias("violations"))
+    scripts = bridge.paragraphs(s, d).select("script_id").distinct()
+    return scripts.join(counted, "script_id", "left").select("script_id", F.coalesce("violations", F.lit(0)).alias("violations"))
+
+
+@query()
+def align_spans(s, d):
+    """The whole way from words to paragraphs: alignment, confidence, status and refined bounds."""
+    script_words = bridge.script_words(s, d)
+    matches = alignment.align_words(script_words, bridge.heard_words(s, d)).join(script_words.select("script_id", "gpos", "ord", "pos"), ["script_id", "gpos"])
+    found = spans.compute_spans(bridge.paragraphs(s, d), matches, _heard(s, d))
+    return found.select("script_id", "ord", "id", "chapter_no", "start", "end", "confidence", "status", "n", "matched")
+
+
+_RAW = "script_id, ord, n, matched, round(confidence, 6) AS confidence, first_idx, last_idx, lead_in, lead_out, word_length"
+
+
+@query(f"SELECT {_RAW} FROM raw")
+def paragraph_matches(s, d):
+    found = spans.paragraph_matches(bridge.true_matches(s, d), bridge.heard_words(s, d))
+    return found.select("script_id", "ord", "n", "matched", F.round("confidence", 6).alias("confidence"), "first_idx", "last_idx", F.col("before").alias("lead_in"), F.col("after").alias("lead_out"), "word_length")
+
+
+@query("SELECT script_id, ord, id, round(confidence, 6) AS confidence, status FROM judged")
+def paragraph_status(s, d):
+    return spans.raw_spans(bridge.paragraphs(s, d), bridge.true_matches(s, d), bridge.heard_words(s, d)).select("script_id", "ord", "id", F.round("confidence", 6).alias("confidence"), "status")
+
+
+@query(f"SELECT script_id, ord, id, {_sql_millis('s', 'start')}, {_sql_millis('e', '\"end\"')}, status FROM spans")
+def refine_boundaries(s, d):
+    return true_spans(s, d).select("script_id", "ord", "id", millis("start"), millis("end"), "status")
+
+
+@query("SELECT script_id, count(*) FILTER (status = 'ok') AS n_ok, count(*) FILTER (status = 'low_confidence') AS n_low, count(*) FILTER (status = 'missing') AS n_missing FROM judged GROUP BY script_id")
+def status_counts(s, d):
+    return spans.status_counts(spans.raw_spans(bridge.paragraphs(s, d), bridge.true_matches(s, d), bridge.heard_words(s, d)))
+
+
+_PACE = """,
+paced AS (SELECT *, CASE WHEN n > 0 AND e - s > 0 THEN (e - s) / n END AS pace FROM spans),
+medians AS (SELECT *, median(pace) OVER (PARTITION BY script_id) AS mid, count(pace) OVER (PARTITION BY script_id) AS usable FROM paced),
+slowed AS (SELECT *, coalesce(usable >= 3 AND pace IS NOT NULL AND e - s >= 5.0 AND pace > 3.0 * mid, false) AS slow FROM medians)"""
+
+
+@query(_PACE + f" SELECT script_id, ord, id, {_sql_millis('mid', 'pace_median')}, slow FROM slowed")
+def pace_outliers(s, d):
+    return spans.with_pace(true_spans(s, d)).select("script_id", "ord", "id", millis("pace_median"), "slow")
+
+
+@query(
+    _PACE
+    + """ SELECT script_id, ord, 0 AS seq, id || ': not found in the audio.' AS warning FROM slowed WHERE status = 'missing'
+    UNION ALL SELECT script_id, ord, 0, format('{}: low confidence ({:.2f}). The narration may differ from the script.', id, confidence) FROM slowed WHERE status = 'low_confidence'
+    UNION ALL SELECT script_id, ord, CASE WHEN status = 'low_confidence' THEN 1 ELSE 0 END, format('{}: {:.1f} s for {} words, much longer than the other paragraphs. The script may be read more than once or out of order.', id, e - s, n) FROM slowed WHERE slow AND status <> 'missing'"""
+)
+def warnings(s, d):
+    return spans.paragraph_warnings(spans.with_pace(true_spans(s, d)))
+
+
+@query("SELECT script_id, CAST(CASE WHEN bool_or(status = 'missing') THEN 2 WHEN bool_or(status = 'low_confidence') THEN 1 ELSE 0 END AS INTEGER) AS exit_code FROM judged GROUP BY script_id")
+def exit_codes(s, d):
+    found = spans.with_pace(true_spans(s, d)).withColumn("slow", F.lit(False))
+    return spans.exit_codes(found, spans.paragraph_warnings(found), strict=True)
+
+
+# Chapters, markers and documents
+
+
+@query(_CHAPTERS + f" SELECT script_id, chapter_no, first, last, {_sql_millis('s', 'start')}, {_sql_millis('e', '\"end\"')} FROM chapters")
+def chapter_spans(s, d):
+    return spans.chapter_spans(true_spans(s, d)).select("script_id", "chapter_no", "first", "last", millis("start"), millis("end"))
+
+
+_CLOCK = "CASE WHEN video_end >= 3600 THEN format('{}:{:02d}:{:02d}', b // 3600, b // 60 % 60, b % 60) ELSE format('{:02d}:{:02d}', b // 60, b % 60) END"
+
+
+@query(_CHAPTERS + f" SELECT script_id, chapter_no, b AS begin, len AS length, {_CLOCK} || ' ' || title AS line FROM lengths")
+def chapter_list(s, d):
+    return outputs.chapter_lines(_titled(true_spans(s, d)), _ends(s, d)).select("script_id", "chapter_no", "begin", "length", "line")
+
+
+@query(
+    _CHAPTERS
+    + """, counts AS (SELECT script_id, count(*) AS n, count(s) AS n_found, arg_min(title, chapter_no) FILTER (s IS NOT NULL) AS title, arg_min(s, chapter_no) FILTER (s IS NOT NULL) AS s FROM chapters GROUP BY script_id)
+    SELECT script_id, 0 AS stage, chapter_no, format('chapters: ''{}'' skipped, none of its paragraphs was found.', title) AS warning FROM chapters WHERE s IS NULL
+    UNION ALL SELECT script_id, 1, 0, 'chapters: no chapter was found, chapters.txt is not written.' FROM counts WHERE n_found = 0
+    UNION ALL SELECT script_id, 2, 0, format('chapters: ''{}'' starts at {:02d}:{:02d} but YouTube needs the first chapter at 00:00; it is written at 00:00.', title, CAST(floor(s) AS BIGINT) // 60, CAST(floor(s) AS BIGINT) % 60) FROM counts WHERE s > 1.0
+    UNION ALL SELECT script_id, 3, chapter_no, format('chapters: ''{}'' is only {} s long, YouTube needs at least 10 s.', title, len) FROM lengths WHERE len < 10
+    UNION ALL SELECT script_id, 4, 0, format('chapters: only {} {}, YouTube needs at least 3.', n_found, CASE WHEN n_found = 1 THEN 'chapter' ELSE 'chapters' END) FROM counts WHERE n_found BETWEEN 1 AND 2 AND n > 1"""
+)
+def chapter_warnings(s, d):
+    return outputs.chapter_warnings(_titled(true_spans(s, d)), _ends(s, d))
+
+
+_FRAME = "CAST(floor(s * 29.97 + 0.5) AS BIGINT) + 108000"
+_TIMECODE = "format('{{:02d}}:{{:02d}}:{{:02d}}:{{:02d}}', {0} // 108000, {0} // 1800 % 60, {0} // 30 % 60, {0} % 30)"
+
+
+@query(f", f AS (SELECT script_id, ord, id, {_FRAME} AS frame FROM spans WHERE s IS NOT NULL) SELECT script_id, CAST(row_number() OVER (PARTITION BY script_id ORDER BY ord) AS INTEGER) AS n, id, frame, {_TIMECODE.format('frame')} AS begin, {_TIMECODE.format('(frame + 1)')} AS \"end\" FROM f")
+def markers(s, d):
+    return outputs.markers(true_spans(s, d), EDL)
+
+
+@query()
+def edl_text(s, d):
+    titles = bridge.paragraphs(s, d).select("script_id").distinct().withColumn("title", F.concat(F.lit("script-"), F.col("script_id"), F.lit(".md")))
+    return outputs.edl_text(outputs.markers(true_spans(s, d), EDL), titles)
+
+
+@query(
+    """SELECT event_id, CAST(floor(v * 10 + 0.5) AS BIGINT) AS tenths,
+    CASE WHEN floor(v * 10 + 0.5) >= 36000 THEN format('{}:{:02d}:{:02d}.{}', t // 36000, t // 600 % 60, t // 10 % 60, t % 10) ELSE format('{:02d}:{:02d}.{}', t // 600, t // 10 % 60, t % 10) END AS clock,
+    format('{:02d}:{:02d}:{:02d},{:03d}', m // 3600000, m // 60000 % 60, m // 1000 % 60, m % 1000) AS srt
+    FROM (SELECT event_id, v, CAST(floor(v * 10 + 0.5) AS BIGINT) AS t, CAST(floor(v * 1000 + 0.5) AS BIGINT) AS m FROM (SELECT event_id, abs(value) * 37.5 AS v FROM events WHERE value IS NOT NULL))""",
+    base="",
+)
+def time_texts(s, d):
+    v = F.col("v")
+    rows = table(s, d, "events").where("value is not null").select("event_id", (F.abs("value") * 37.5).alias("v"))
+    return rows.select("event_id", F.floor(v * 10 + 0.5).cast("long").alias("tenths"), timefmt.format_time(v).alias("clock"), timefmt.format_srt_time(v).alias("srt"))
+
+
+@query(
+    """SELECT event_id, CAST(m // 60 * 60 + m % 60 AS DOUBLE) + CAST(event_id % 10 AS DOUBLE) / 10 AS seconds FROM (SELECT event_id, event_id % 3600 AS m FROM events)""",
+    base="",
+)
+def parsed_times(s, d):
+    """Clock texts made of event numbers, read back."""
+    m, tenth = F.col("event_id") % 3600, F.col("event_id") % 10
+    text = F.format_string("%02d:%02d.%d", F.floor(m / 60), m % 60, tenth)
+    return table(s, d, "events").select("event_id", F.round(timefmt.parse_time(text), 1).alias("seconds"))
+
+
+@query()
+def timing_documents(s, d):
+    """The timing document of each script."""
+    found = true_spans(s, d).withColumn("chapter", F.concat(F.lit("Chapter "), F.col("chapter_no")))
+    audio_rows = timeline.build_timeline(bridge.parts(s, d)).withColumn("file", F.concat(F.lit("part"), "part_no", F.lit(".wav")))
+    runs = timeline.total_duration(bridge.parts(s, d)).select("script_id", F.lit("linecue").alias("tool"), F.concat(F.lit("script-"), F.col("script_id"), F.lit(".md")).alias("script"), F.lit("parts").alias("mode"), F.lit(0.0).alias("offset"), "total_duration")
+    texts = spans.paragraph_warnings(spans.with_pace(found)).select("script_id", (F.col("ord") * 10 + F.col("seq")).alias("seq"), "warning")
+    return outputs.timing_document(runs, audio_rows, _titled(found), outputs.timing_rows(found), texts)
+
+
+@query(
+    """SELECT script_id, 0 AS ord, 'id,chapter,start,end,duration,confidence,status' AS line FROM (SELECT DISTINCT script_id FROM spans)
+    UNION ALL SELECT script_id, ord + 1, concat_ws(',', id, 'Chapter ' || chapter_no, '', '', '', '0.0', status) FROM spans WHERE status = 'missing'"""
+)
+def csv_of_missing(s, d):
+    """Table lines of the paragraphs without time, with the header of each script."""
+    found = true_spans(s, d).withColumn("chapter", F.concat(F.lit("Chapter "), F.col("chapter_no"))).withColumn("confidence", F.when(F.col("status") == "missing", 0.0).otherwise(F.col("confidence")))
+    rows = outputs.timing_csv(outputs.timing_rows(found))
+    return rows.where("ord = 0 OR line LIKE '%,missing'")
+
+
+# Audio files
+
+
+@query("SELECT script_id, file_ord, name, in_name, para_id FROM assigned")
+def file_roles(s, d):
+    return audio.roles(bridge.files(s, d), bridge.paragraphs(s, d)).select("script_id", "file_ord", "name", "in_name", "para_id")
+
+
+@query("SELECT script_id, CASE WHEN count(para_id) > 0 AND (count(para_id) * 2 > count(*) OR count(in_name) = count(*)) THEN 'per-paragraph' ELSE 'parts' END AS mode FROM assigned GROUP BY script_id")
+def mode_decision(s, d):
+    return audio.modes(audio.roles(bridge.files(s, d), bridge.paragraphs(s, d)))
+
+
+@query("SELECT script_id, file_ord, name || ': matches no paragraph of the script, ignored.' AS warning FROM assigned WHERE para_id IS NULL")
+def ignored_files(s, d):
+    return audio.ignored_warnings(audio.roles(bridge.files(s, d), bridge.paragraphs(s, d)))
+
+
+@query(
+    """, r AS (SELECT p.script_id, p.ord, p.id, CASE WHEN a.para_id IS NOT NULL THEN CAST(length(p.text) AS DOUBLE) END AS dur FROM paragraphs p LEFT JOIN assigned a ON a.script_id = p.script_id AND a.para_id = p.id)
+    SELECT script_id, ord, id, CASE WHEN dur IS NOT NULL THEN o END AS start_ms, o + dur AS end_ms, CASE WHEN dur IS NULL THEN 'missing' ELSE 'ok' END AS status
+    FROM (SELECT *, coalesce(sum(coalesce(dur, 0)) OVER (PARTITION BY script_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM r)"""
+)
+def per_paragraph_spans(s, d):
+    assigned = audio.roles(bridge.files(s, d), bridge.paragraphs(s, d))
+    lengths = bridge.paragraphs(s, d).select("script_id", F.col("id").alias("para_id"), F.length("text").cast("double").alias("duration"))
+    found = audio.file_spans(bridge.paragraphs(s, d), assigned.join(lengths, ["script_id", "para_id"], "left"))
+    return found.select("script_id", "ord", "id", F.col("start").alias("start_ms"), F.col("end").alias("end_ms"), "status")
+
+
+_LAYOUT = """,
+gaps AS (
+  SELECT e.*, CASE WHEN row_number() OVER w = 1 THEN 0 ELSE CAST(round_even(coalesce(lag(pause) OVER w, CASE WHEN chapter_no <> lag(chapter_no) OVER w THEN 1.2 ELSE 0.6 END) * 1000, 0) AS BIGINT) END AS gap
+  FROM entries e LEFT JOIN (SELECT script_id, id, pause FROM pauses) USING (script_id, id) WINDOW w AS (PARTITION BY script_id ORDER BY e.ord)),
+layout AS (
+  SELECT script_id, ord, id, frames, CAST(coalesce(sum(frames) OVER (PARTITION BY script_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + sum(gap) OVER (PARTITION BY script_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS BIGINT) AS offset_frames FROM gaps)"""
+
+
+@query(_LAYOUT + " SELECT script_id, ord, id, offset_frames, frames FROM layout")
+def join_layout(s, d):
+    return audio.join_layout(bridge.entries(s, d), bridge.pauses(s, d)).select("script_id", "ord", "id", "offset_frames", (F.col("last_frame") - F.col("first_frame")).alias("frames"))
+
+
+@query(
+    """, ends AS (SELECT script_id, arg_max(id, ord) AS last_id FROM entries GROUP BY script_id)
+    SELECT p.script_id, p.id, p.id || ': pause of ' || p.pause || ' s ignored, ' || CASE WHEN p.id = last_id THEN 'no audio file follows it' ELSE 'the paragraph has no audio file' END || '.' AS warning
+    FROM pauses p LEFT JOIN entries e ON e.script_id = p.script_id AND e.id = p.id LEFT JOIN ends ON ends.script_id = p.script_id WHERE e.id IS NULL OR p.id = last_id"""
+)
+def unused_pauses(s, d):
+    return audio.unused_pauses(bridge.entries(s, d), bridge.pauses(s, d), bridge.paragraphs(s, d))
+
+
+@query(
+    """SELECT script_id, part_no, greatest(0, CAST(floor(round((a / 1000 - 0.05) * 44100, 6)) AS BIGINT)) AS first_frame, least(CAST(44100000 AS BIGINT), CAST(ceil(round((b / 1000 + 0.05) * 44100, 6)) AS BIGINT)) AS last_frame
+    FROM (SELECT script_id, part_no, min(seg_s) AS a, max(seg_e) AS b FROM segments GROUP BY ALL)"""
+)
+def trim_ranges(s, d):
+    first, last = audio.trim_range(F.lit(44_100_000).cast("long"), F.lit(44_100.0), F.col("start") / 1000, F.col("end") / 1000)
+    return speech_bounds(bridge.segments(s, d)).select("script_id", "part_no", first.alias("first_frame"), last.alias("last_frame"))
+
+
+# Captions
+
+_TOKENS = """,
+tokens AS (SELECT script_id, ord, unnest(string_split(text, ' ')) AS token, unnest(range(len(string_split(text, ' ')))) AS tok FROM paragraphs WHERE text IS NOT NULL),
+given AS (
+  SELECT t.*, p.s AS p_start, p.e AS p_end, CASE WHEN tok % 3 = 1 THEN p.s + tok * 0.25 END AS a, CASE WHEN tok % 3 = 1 THEN p.s + tok * 0.25 + 0.125 END AS b
+  FROM tokens t JOIN spans p USING (script_id, ord) WHERE p.s IS NOT NULL),
+sides AS (
+  SELECT *, coalesce(last_value(b IGNORE NULLS) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), p_start) AS l, coalesce(first_value(a IGNORE NULLS) OVER (o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), p_end) AS r,
+    count(a) OVER (o ROWS UNBOUNDED PRECEDING) AS run, CASE WHEN a IS NULL THEN length(token) + 1 ELSE 0 END AS w FROM given WINDOW o AS (PARTITION BY script_id, ord ORDER BY tok)),
+sums AS (SELECT *, sum(w) OVER (PARTITION BY script_id, ord, run ORDER BY tok ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER (PARTITION BY script_id, ord, run) AS total FROM sides)"""
+
+
+@query(
+    _TOKENS + f" SELECT script_id, ord, CAST(tok AS INTEGER) AS tok, token, CAST(round(coalesce(a, l + greatest(0.0, r - l) * (upto - w) / total) * 100) AS BIGINT) AS start_cs, CAST(round(coalesce(b, l + greatest(0.0, r - l) * upto / total) * 100) AS BIGINT) AS end_cs FROM sums"
+)
+def token_times(s, d):
+    """Times of tokens of which every third is known, to the hundredth."""
+    rows = bridge.paragraphs(s, d).join(true_spans(s, d).where("start is not null").select("script_id", "ord", F.col("start").alias("p_start"), F.col("end").alias("p_end")), ["script_id", "ord"])
+    rows = rows.select("script_id", "ord", "id", "p_start", "p_end", F.posexplode(F.split("text", " ")).alias("tok", "token"))
+    start = F.when(F.col("tok") % 3 == 1, F.col("p_start") + F.col("tok") * 0.25)
+    found = captions.fill_times(rows.withColumns({"start": start, "end": start + 0.125}))
+    return found.select("script_id", "ord", "tok", "token", F.round(F.col("start") * 100).cast("long").alias("start_cs"), F.round(F.col("end") * 100).cast("long").alias("end_cs"))
+
+
+@query()
+def caption_cues(s, d):
+    return captions.build_captions(captions.token_times(true_spans(s, d)))
+
+
+@query()
+def srt_files(s, d):
+    return captions.srt_text(caption_cues(s, d))
+
+
+# Charts
+
+_MEMBERS = """,
+ids AS (SELECT script_id, chart_ord, chart, sequence, names, unnest(names) AS id, unnest(range(len(names))) AS k FROM charts),
+members AS (SELECT i.*, p.ord, p.s, p.e, p.status, p.confidence FROM ids i LEFT JOIN spans p USING (script_id, id)),
+flags AS (SELECT script_id, chart_ord, bool_or(ord IS NULL) AS unknown, bool_or(s IS NULL) AS untimed, max(ord - k) <> min(ord - k) AS broken FROM members GROUP BY ALL),
+good AS (SELECT m.*, coalesce(lead(s) OVER (PARTITION BY script_id, chart_ord ORDER BY k), e) AS until FROM members m JOIN flags USING (script_id, chart_ord) WHERE NOT unknown AND NOT untimed AND NOT broken)"""
+
+
+@query(
+    _MEMBERS
+    + """, span AS (SELECT script_id, arg_min(id, ord) || ' to ' || arg_max(id, ord) AS w FROM spans GROUP BY script_id)
+    SELECT script_id, chart_ord, CAST(k AS INTEGER) AS k, 'charts.' || chart || ': ' || id || CASE WHEN unknown THEN ' is not in the timing file (it has ' || w || ')' ELSE ' was not found in the audio, so it has no time' END AS message
+    FROM members JOIN flags USING (script_id, chart_ord) JOIN span USING (script_id) WHERE (unknown AND ord IS NULL) OR (NOT unknown AND untimed AND s IS NULL)
+    UNION ALL SELECT script_id, chart_ord, 0, 'charts.' || chart || ': the paragraphs must be consecutive and in script order, got ' || array_to_string(names, ', ') FROM members JOIN flags USING (script_id, chart_ord) WHERE k = 0 AND NOT unknown AND NOT untimed AND broken"""
+)
+def chart_problems(s, d):
+    return charts.chart_problems(bridge.charts(s, d), true_spans(s, d))
+
+
+@query(_MEMBERS + " SELECT script_id, chart_ord, CAST(k + 1 AS INTEGER) AS n, CAST(round(s * 100) AS BIGINT) AS start_cs, CAST(round((until - s) * 100) AS BIGINT) AS duration_cs FROM good WHERE sequence")
+def chart_sequence(s, d):
+    timed = charts.chart_timing(bridge.charts(s, d), true_spans(s, d))
+    return timed.select("script_id", "chart_ord", F.explode("clips").alias("c")).select("script_id", "chart_ord", "c.n", F.round(F.col("c.start") * 100).cast("long").alias("start_cs"), F.round(F.col("c.duration") * 100).cast("long").alias("duration_cs"))
+
+
+@query(_MEMBERS + " SELECT script_id, chart_ord, any_value(chart) AS id, CAST(round(arg_min(s, k) * 100) AS BIGINT) AS start_cs, CAST(round((arg_max(e, k) - arg_min(s, k)) * 100) AS BIGINT) AS duration_cs FROM good WHERE NOT sequence GROUP BY script_id, chart_ord")
+def chart_single(s, d):
+    timed = charts.chart_timing(bridge.charts(s, d), true_spans(s, d))
+    return timed.where(F.size("clips") == 0).select("script_id", "chart_ord", "id", F.round(F.col("start") * 100).cast("long").alias("start_cs"), F.round(F.col("duration") * 100).cast("long").alias("duration_cs"))
+
+
+@query()
+def chart_documents(s, d):
+    return charts.timing_text(charts.chart_timing(bridge.charts(s, d), true_spans(s, d)))
+
+
+@query()
+def chart_warnings(s, d):
+    found, rows = true_spans(s, d), bridge.charts(s, d)
+    return charts.timing_warnings(rows, found, charts.chart_timing(rows, found))
+
+
+@query("SELECT script_id, 'charts.' || chart || ' is in both map and script; give each chart in one place' AS message FROM charts WHERE chart_ord = 1")
+def chart_conflicts(s, d):
+    rows = bridge.charts(s, d)
+    return charts.conflicts(rows.where("chart_ord > 0"), rows.where("chart_ord < 2"), ("map", "script"))
+
+
+# Scripts
+
+
+@query("SELECT script_id, line, kind, number, level::INTEGER AS level, chapter_key, owner FROM outline", LINES_SQL)
+def line_classes(s, d):
+    return script.outlined(bridge.script_lines(s, d)).select("script_id", "line", "kind", "number", "level", "chapter_key", "owner")
+
+
+@query(
+    r"""SELECT script_id, line, CASE WHEN line > first_line THEN 'P' || number || ' is repeated (first at line ' || first_line || ')' ELSE 'P' || number || ' comes after P' || before || ' but numbers must increase' END AS message
+    FROM (SELECT script_id, line, number, min(line) OVER (PARTITION BY script_id, number) AS first_line, lag(number) OVER (PARTITION BY script_id ORDER BY line) AS before FROM numbers WHERE kind = 'paragraph') WHERE line > first_line OR number < before""",
+    LINES_SQL,
+)
+def number_problems(s, d):
+    return script.number_problems(script.outlined(bridge.script_lines(s, d)))
+
+
+@query(
+    r""", tags AS (SELECT script_id, owner, line, unnest(regexp_extract_all(text, '(?is)<!--\s*chart\s*:(.*?)-->', 1)) AS c FROM outline)
+    SELECT script_id, owner, line, trim(string_split(c, ',')[1]) AS id, len(string_split(c, ',')) = 2 AS sequence FROM tags WHERE owner IS NOT NULL AND regexp_matches(trim(string_split(c, ',')[1]), '^[a-z0-9-]+$')""",
+    LINES_SQL,
+)
+def chart_tags(s, d):
+    return script.chart_tags(script.outlined(bridge.script_lines(s, d))).where("owner is not null").select("script_id", "owner", "line", "id", "sequence")
+
+
+@query(
+    r""", tags AS (SELECT script_id, owner, line, unnest(regexp_extract_all(text, '(?is)<!--\s*pause\s*:(.*?)-->', 1)) AS c FROM outline)
+    SELECT script_id, owner, line, CAST(trim(c) AS DOUBLE) AS pause FROM tags WHERE owner IS NOT NULL""",
+    LINES_SQL,
+)
+def pause_tags(s, d):
+    return script.pause_tags(script.outlined(bridge.script_lines(s, d))).where("owner is not null").select("script_id", "owner", "line", "pause")
+
+
+_CLEAN = r"""trim(regexp_replace(regexp_replace(list_reduce(range(12), lambda t, i: regexp_replace(t, '\[[^\[\]]*\]([^(]|$)', '\1', 'g'), regexp_replace(raw, '(?s)<!--.*?-->', '', 'g')), '[*_`]', '', 'g'), '\s+', ' ', 'g'))"""
+
+
+@query(
+    rf""", raws AS (SELECT script_id, owner, string_agg(regexp_replace(text, '^>[ \t]?', ''), ' ' ORDER BY line) FILTER (kind = 'quote') AS raw FROM outline WHERE owner IS NOT NULL GROUP BY ALL)
+    SELECT script_id, owner, {_CLEAN} AS text FROM raws WHERE raw IS NOT NULL AND {_CLEAN} <> ''""",
+    LINES_SQL,
+)
+def paragraph_text_quote(s, d):
+    return script.paragraphs(bridge.script_lines(s, d)).select("script_id", F.col("line").alias("owner"), "text")
+
+
+@query(
+    rf""", stops AS (SELECT *, count(*) FILTER (kind IN ('blank', 'quote')) OVER (PARTITION BY script_id, owner ORDER BY line ROWS UNBOUNDED PRECEDING) AS ended FROM outline WHERE owner IS NOT NULL),
+    raws AS (SELECT script_id, owner, string_agg(regexp_replace(text, '^(?:\*\*[Pp]\d+\*\*|__[Pp]\d+__|\*[Pp]\d+\*|[Pp]\d+)[ \t]*[—–\-:.][ \t]*', ''), ' ' ORDER BY line) AS raw FROM stops WHERE kind IN ('paragraph', 'text') AND ended = 0 GROUP BY ALL)
+    SELECT script_id, owner, {_CLEAN} AS text FROM raws WHERE {_CLEAN} <> ''""",
+    LINES_SQL,
+)
+def paragraph_text_inline(s, d):
+    return script.paragraphs(bridge.script_lines(s, d), script.INLINE).select("script_id", F.col("line").alias("owner"), "text")
+
+
+@query()
+def script_paragraphs(s, d):
+    return script.paragraphs(bridge.script_lines(s, d))
+
+
+@query()
+def script_problems(s, d):
+    return script.problems(bridge.script_lines(s, d))
+
+
+@query()
+def charts_of_tags(s, d):
+    return charts.charts_of_tags(script.paragraphs(bridge.script_lines(s, d)))
