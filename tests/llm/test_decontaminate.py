@@ -1,3 +1,4 @@
+import functools
 import random
 import re
 
@@ -18,15 +19,18 @@ def shingles(w):
 def brute(docs, items):
     """(doc_id, item_id) -> best similarity over every window of the item's size."""
     sets = {i: shingles(words(t)) for i, t in items if words(t)}
-    weight = lambda s: dc.WEIGHT // max(1, sum(s in x for x in sets.values()))
+    weight = functools.cache(lambda s: dc.WEIGHT // max(1, sum(s in x for x in sets.values())))
     found = {}
     for d, text in docs:
         w = words(text)
+        whole = shingles(w)
         for i, t in items:
             m = len(words(t))
+            if m >= dc.WIDTH <= len(w) and whole.isdisjoint(sets[i]):
+                continue
             for k in range(max(1, len(w) - m + 1) if w and m else 0):
                 a = shingles(w[k : k + m])
-                if m < dc.WIDTH or len(w[k : k + m]) >= dc.WIDTH:
+                if not a.isdisjoint(sets[i]) and (m < dc.WIDTH or len(w[k : k + m]) >= dc.WIDTH):
                     both, either = (sum(map(weight, x)) for x in (a & sets[i], a | sets[i]))
                     if both * 100 >= dc.LEAST_PERCENT * either:
                         found[d, i] = max(found.get((d, i), 0), 10_000 * both // either)

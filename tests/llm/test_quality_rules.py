@@ -34,7 +34,8 @@ def brute(rows, trusted):
         raw.update(g)
         aim.update(g if d in trusted else [])
         grams.append(g)
-    weight = lambda k: round(1e6 * math.log(((aim[k] + 1.0) / (aim.total() + b)) / ((raw[k] + 1.0) / (raw.total() + b))))
+    aims, raws = aim.total(), raw.total()
+    weight = lambda k: round(1e6 * math.log(((aim[k] + 1.0) / (aims + b)) / ((raw[k] + 1.0) / (raws + b))))
     return [(d, sum(map(weight, g)), len(g)) for (d, _), g in zip(rows, grams)]
 
 
