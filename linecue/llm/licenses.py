@@ -16,6 +16,14 @@ Scoring is a join of the corpus's word pairs with the learned weights, which
 are as many as the templates have n-grams, and a sum for each paragraph.
 Weights are whole millionths, so sums don't depend on the order of rows.
 
+`scan` scores whole lines, so that what else stands on a line thins a notice
+out. `scan_passages`, which the query runs, scores overlapping windows of
+SIZES words instead, across line ends: one of each size from every word that
+begins a known pair (any other window holds no more than one of these). Where
+reported windows overlap, the one that holds most of a template, then the
+likeliest, stays; its paragraph is the line where the notice begins, and a
+paragraph has one row for each family in it.
+
 Cases: null and empty texts and lines without words are not reported; rows of
 equal or null doc_id are scanned one by one; an empty table gives an empty
 table (and is learned without corpus lines); further columns are not read; a
@@ -27,7 +35,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linecue.llm.common import table
@@ -37,6 +45,8 @@ NONE, UNKNOWN = "none", "unknown"
 NEGATIVE_DOCS, NEGATIVE_CHARS, NEGATIVES = 200, 20_000, 1500
 LEAST_PROBABILITY, LEAST_PERCENT, WIDTH = 0.5, 80, 5
 MILLION = 1_000_000
+#: Words of the windows; a notice fills two thirds of one of them, or it is longer and fills them all.
+SIZES = (5, 8, 12, 18, 27, 40)
 
 # Usual short notices of well-known licences.
 TEMPLATES = {
@@ -133,6 +143,8 @@ class Classifier:
         rows += [(plain_words(t), len(self.classes) - 1) for t in [*negatives, *NOT_TERMS * 6]]
         known = dict.fromkeys(g for w, _ in texts for g in _grams(w))
         self.grams = {g: i for i, g in enumerate(known)}
+        windows = dict.fromkeys(v for w, k in rows if k == len(self.classes) - 1 for v in self._windows(w))
+        rows += [(list(v), len(self.classes) - 1) for v in windows]
         x, y = np.zeros((len(rows), len(self.grams))), np.array([k for _, k in rows])
         for i, (words, _) in enumerate(rows):
             for g in _grams(words):
@@ -146,6 +158,10 @@ class Classifier:
         self.weights = np.rint(weights / temperature * MILLION).astype(np.int64)
         self.bias = np.rint(bias / temperature * MILLION).astype(np.int64)
 
+    def _windows(self, words: list[str]) -> list[tuple[str, ...]]:
+        """The windows that begin with a known pair."""
+        return [tuple(words[p : p + n]) for p in range(len(words) - 1) if f"{words[p]} {words[p + 1]}" in self.grams for n in SIZES]
+
     def _fit(self, x: np.ndarray, y: np.ndarray, steps: int = 300) -> tuple[np.ndarray, np.ndarray]:
         n = len(self.classes)
         w, b, aim = np.zeros((x.shape[1], n)), np.zeros(n), np.eye(n)[y]
@@ -214,13 +230,78 @@ def scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
     found = found.withColumns({"family": family, "best": best, "none": F.get("p", F.lit(none))}).where("family is not null")
     probability = F.when(F.col("family") == UNKNOWN, 1 - F.col("none")).otherwise(F.col("best"))
     kept = found.select("doc_id", "row", "paragraph", "family", F.round(probability, 4).alias("probability"), _shingles(F.col("words")).alias("own"))
-    texts = spark.createDataFrame([(f, plain_words(t)) for f, of in TEMPLATES.items() for t in of], "family string, words array<string>")
-    texts = texts.select("family", _shingles(F.col("words")).alias("template")).groupBy("family").agg(F.collect_list("template").alias("templates"))
+    texts = _templates(spark)
     held = F.array_max(F.transform("templates", lambda t: 100 * F.size(F.array_intersect(t, F.col("own"))) / F.size(t)))
     out = kept.join(F.broadcast(texts), "family", "left").withColumn("similarity", F.coalesce(F.floor(held).cast("int"), F.lit(0)))
     return out.select("doc_id", "paragraph", "family", "probability", "similarity", (F.col("similarity") >= LEAST_PERCENT).alias("confirmed"))
 
 
+def _templates(spark: SparkSession) -> DataFrame:
+    """(family, templates): the shingles of each template."""
+    texts = spark.createDataFrame([(f, plain_words(t)) for f, of in TEMPLATES.items() for t in of], "family string, words array<string>")
+    return texts.select("family", _shingles(F.col("words")).alias("template")).groupBy("family").agg(F.collect_list("template").alias("templates"))
+
+
+def _likelihoods(logits: Column) -> Column:
+    share = F.transform(logits, lambda z: F.exp(z - F.array_max(logits)))
+    return F.transform(share, lambda e: e / F.aggregate(share, F.lit(0.0), lambda acc, y: acc + y))
+
+
+def windows(docs: DataFrame, model: Classifier) -> DataFrame:
+    """(doc_id, row, p, line, size, sums, near): the windows from word p of a text on; near: the known places (p, h, line) up to a template's length from p."""
+    lines = F.transform(F.split(F.col("text").cast("string"), "\n"), lambda x, i: F.transform(words_of(x), lambda w: F.struct(w.alias("w"), i.alias("line"))))
+    whole = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.flatten(lines).alias("words"))
+    at = whole.select("doc_id", "row", F.col("words.w").alias("words"), F.col("words.line").alias("lines")).select("*", F.posexplode("words").alias("p", "a"))
+    word = lambda k: F.get("words", F.col("p") + k)
+    of = model.table(docs.sparkSession)  # as many rows as the templates have n-grams
+    pairs = of.where("n = 2").select(F.col("gram").alias("pair"), F.col("w").alias("w2"))
+    triples = of.where("n = 3").select(F.col("gram").alias("triple"), F.col("w").alias("w3"))
+    hits = at.withColumn("pair", F.concat_ws(" ", "a", word(1))).join(F.broadcast(pairs), "pair")
+    hits = hits.withColumn("triple", F.concat_ws(" ", "pair", word(2))).join(F.broadcast(triples), "triple", "left")
+    w = F.when(F.col("w3").isNull(), F.col("w2")).otherwise(F.zip_with("w2", "w3", lambda x, y: x + y))
+    hits = hits.select("doc_id", "row", "p", F.get("lines", "p").alias("line"), (F.size("words") - F.col("p")).alias("left"), F.xxhash64(F.slice("words", F.col("p") + 1, WIDTH)).alias("h"), w.alias("w"))
+
+    by_place = Window.partitionBy("row").orderBy("p")
+    until = by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    longest = max(len(plain_words(t)) for of in TEMPLATES.values() for t in of)
+    near = F.collect_list(F.struct("p", "h", "line")).over(by_place.rangeBetween(0, longest))
+    hits = hits.select("*", F.array(*(F.sum(F.get("w", F.lit(k))).over(until) for k in range(len(model.classes)))).alias("upto"), near.alias("near"))
+    ends = [F.struct(F.least(F.lit(n), "left").alias("size"), F.last("upto").over(by_place.rangeBetween(0, n - 2)).alias("end")) for n in SIZES]
+    hits = hits.withColumn("ends", F.array(*ends)).select("*", F.explode("ends").alias("e"))
+    sums = F.transform("e.end", lambda x, k: x - F.get("upto", k) + F.get("w", k))
+    return hits.select("doc_id", "row", "p", "line", "e.size", sums.alias("sums"), "near")
+
+
+def scan_passages(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
+    """The columns of scan, for the notices anywhere in a text; a row for each family that a paragraph holds."""
+    model = model or Classifier(corpus_lines(docs))
+    none = len(model.classes) - 1
+    found = windows(docs, model)
+    bias = F.array(*map(F.lit, model.bias.tolist()))
+    found = found.withColumn("logits", F.transform("sums", lambda x, k: (x / F.col("size") + F.get(bias, k)) / MILLION))
+    found = found.withColumn("likely", _likelihoods(F.col("logits")))
+    best = F.array_max(F.slice("likely", 1, none - 1))  # without unknown and none
+    names = F.array(*map(F.lit, model.classes))
+    family = F.when(best >= LEAST_PROBABILITY, F.get(names, F.array_position("likely", best).cast("int") - 1)).when(F.get("likely", F.lit(none)) < 1 - LEAST_PROBABILITY, F.lit(UNKNOWN))
+    found = found.withColumns({"family": family, "best": best}).where("family is not null")
+    probability = F.when(F.col("family") == UNKNOWN, 1 - F.get("likely", F.lit(none))).otherwise(F.col("best"))
+    found = found.withColumn("probability", F.round(probability, 4)).join(F.broadcast(_templates(docs.sparkSession)), "family", "left")
+    held = F.array_max(F.transform("templates", lambda t: 100 * F.size(F.array_intersect(t, F.col("near.h"))) / F.size(t)))
+    places = F.filter("near", lambda x: F.coalesce(F.array_contains(F.flatten("templates"), x["h"]), F.lit(False)))
+    found = found.select("doc_id", "row", "p", "line", "size", "family", "probability", F.coalesce(F.floor(held).cast("int"), F.lit(0)).alias("similarity"), places.alias("places"))
+    first, last = F.get("places", F.lit(0)), F.get("places", F.size("places") - 1)
+    end = F.greatest(F.col("p") + F.col("size"), last["p"] + WIDTH)
+    rank = F.struct("similarity", "probability", "p", F.col("size").alias("size"), end.alias("end"), "family", F.coalesce(first["line"], "line").alias("paragraph"))
+    one = found.groupBy("doc_id", "row", "p").agg(F.max(rank).alias("r"))
+    # No window is longer than this.
+    reach = 2 * max(*SIZES, *(len(plain_words(t)) for of in TEMPLATES.values() for t in of)) + WIDTH
+    around = F.collect_list("r").over(Window.partitionBy("row").orderBy("p").rangeBetween(-reach, reach))
+    beaten = F.exists("around", lambda x: (x > F.col("r")) & (x["p"] < F.col("r.end")) & (x["end"] > F.col("r.p")))
+    stay = one.withColumn("around", around).where(~beaten)
+    out = stay.groupBy("doc_id", "row", F.col("r.paragraph").alias("paragraph"), F.col("r.family").alias("family")).agg(F.max("r").alias("r"))
+    return out.select("doc_id", "paragraph", "family", "r.probability", "r.similarity", (F.col("r.similarity") >= LEAST_PERCENT).alias("confirmed"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of use in every document."""
-    return scan(table(spark, sf_dir, "documents"))
+    return scan_passages(table(spark, sf_dir, "documents"))

@@ -67,3 +67,35 @@ def test_query_finds_the_planted_lines(spark):
     assert want and want <= got
     lines = {r.doc_id: r.text.split("\n") for r in table(spark, SF, "documents").collect()}
     assert all("licen" in lines[d][k].lower() for d, k, _ in got)
+
+
+def prose(spark, n):
+    text = " ".join(r.text for r in table(spark, SF, "documents").where("doc_id between 20 and 60").orderBy("doc_id").collect() if "licen" not in r.text.lower())
+    return " ".join(licenses.plain_words(text)[:n])
+
+
+def test_notices_inside_long_lines_and_across_line_ends(spark, model):
+    apache, gpl = licenses.TEMPLATES["apache-2.0"], licenses.TEMPLATES["gpl-3.0"]
+    grant = licenses.TEMPLATES["mit"][2]
+    broken = gpl[1].replace("under the terms", "under\nthe terms")
+    rows = [
+        (1, f"{prose(spark, 50)} {apache[0]}"),
+        (2, f"{prose(spark, 200)} {apache[0]} {prose(spark, 200)}"),
+        (3, f"{prose(spark, 200)} {grant} {prose(spark, 90)}"),
+        (4, f"{prose(spark, 30)}\n{broken}\n{prose(spark, 30)}"),
+        (5, f"{prose(spark, 60)} {apache[0]} {prose(spark, 60)} {licenses.TEMPLATES['cc-by-nc'][0]} {prose(spark, 60)}"),
+        (6, "x " * 5000 + "Released under the MIT License."),
+        (7, prose(spark, 2000)),
+        (8, None),
+    ]
+    got = licenses.scan_passages(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    want = {(1, 0, "apache-2.0"), (2, 0, "apache-2.0"), (3, 0, "mit"), (4, 1, "gpl-3.0"), (5, 0, "apache-2.0"), (5, 0, "cc-by-nc"), (6, 0, "mit")}
+    assert {(r.doc_id, r.paragraph, r.family) for r in got if r.confirmed} == want
+    assert {(r.doc_id, r.paragraph, r.family) for r in got} == want
+
+
+def test_every_template_is_found_inside_a_line(spark, model):
+    rows = [(k, f"{prose(spark, 80)} {t} {prose(spark, 80)}") for k, t in enumerate(t for of in licenses.TEMPLATES.values() for t in of)]
+    families = [f for f, of in licenses.TEMPLATES.items() for _ in of]
+    got = licenses.scan_passages(spark.createDataFrame(rows, "doc_id long, text string"), model).where("confirmed").collect()
+    assert sorted((r.doc_id, r.family) for r in got) == list(enumerate(families))
