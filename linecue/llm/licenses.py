@@ -48,6 +48,9 @@ MILLION = 1_000_000
 #: Words of the windows; a notice fills two thirds of one of them, or it is longer and fills them all.
 SIZES = (5, 8, 12, 18, 27, 40)
 
+#: A line of the corpus with one of these may hold terms of any licence, so it is no example of `none`.
+RIGHTS = re.compile("licen[cs]|copyright|rights reserved|public domain")
+
 # Usual short notices of well-known licences.
 TEMPLATES = {
     "apache-2.0": [
@@ -183,12 +186,12 @@ class Classifier:
 
 
 def corpus_lines(docs: DataFrame) -> list[str]:
-    """At most NEGATIVES lines of at most NEGATIVE_DOCS documents, none of which holds half of a template; the same ones whatever the partitioning."""
+    """At most NEGATIVES lines of at most NEGATIVE_DOCS documents, none of which holds a word of RIGHTS or half of a template or of OTHER_TERMS; the same ones whatever the partitioning."""
     some = docs.select("doc_id", F.substring(F.col("text").cast("string"), 1, NEGATIVE_CHARS).alias("text")).where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(NEGATIVE_DOCS)
     lines = some.select(F.explode(F.split("text", "\n")).alias("line")).where(F.length(F.trim("line")) > 0).distinct()
     found = [r.line for r in lines.orderBy(F.xxhash64("line"), "line").limit(NEGATIVES).collect()]
-    known = [set(_grams(plain_words(t))) for of in TEMPLATES.values() for t in of]
-    return [t for t in found if not any(2 * len(k & set(_grams(plain_words(t)))) >= len(k) for k in known)]
+    known = [set(_grams(plain_words(t))) for of in [*TEMPLATES.values(), OTHER_TERMS] for t in of]
+    return [t for t in found if not RIGHTS.search(" ".join(plain_words(t))) and not any(2 * len(k & set(_grams(plain_words(t)))) >= len(k) for k in known)]
 
 
 def _shingles(words: Column) -> Column:
@@ -242,9 +245,23 @@ def _templates(spark: SparkSession) -> DataFrame:
     return texts.select("family", _shingles(F.col("words")).alias("template")).groupBy("family").agg(F.collect_list("template").alias("templates"))
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with value computed once and not for each element that a lambda sees."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _likelihoods(logits: Column) -> Column:
-    share = F.transform(logits, lambda z: F.exp(z - F.array_max(logits)))
-    return F.transform(share, lambda e: e / F.aggregate(share, F.lit(0.0), lambda acc, y: acc + y))
+    share = _bound(logits, lambda z: _bound(F.array_max(z), lambda top: F.transform(z, lambda x: F.exp(x - top))))
+    return _bound(share, lambda s: _bound(F.aggregate(s, F.lit(0.0), lambda acc, e: acc + e), lambda total: F.transform(s, lambda e: e / total)))
+
+
+def _verdict(likely: Column, classes: list[str]) -> Column:
+    """struct<family, probability>, or null."""
+    none, names = F.get(likely, F.lit(len(classes) - 1)), F.array(*map(F.lit, classes))
+    named = lambda best: F.struct(F.get(names, F.array_position(likely, best).cast("int") - 1).alias("family"), F.round(best, 4).alias("probability"))
+    other = F.struct(F.lit(UNKNOWN).alias("family"), F.round(1 - none, 4).alias("probability"))
+    of = lambda best: F.when(best >= LEAST_PROBABILITY, named(best)).when(none < 1 - LEAST_PROBABILITY, other)
+    return _bound(F.array_max(F.slice(likely, 1, len(classes) - 2)), of)  # without unknown and none
 
 
 def windows(docs: DataFrame, model: Classifier) -> DataFrame:
@@ -275,17 +292,11 @@ def windows(docs: DataFrame, model: Classifier) -> DataFrame:
 def scan_passages(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
     """The columns of scan, for the notices anywhere in a text; a row for each family that a paragraph holds."""
     model = model or Classifier(corpus_lines(docs))
-    none = len(model.classes) - 1
     found = windows(docs, model)
     bias = F.array(*map(F.lit, model.bias.tolist()))
-    found = found.withColumn("logits", F.transform("sums", lambda x, k: (x / F.col("size") + F.get(bias, k)) / MILLION))
-    found = found.withColumn("likely", _likelihoods(F.col("logits")))
-    best = F.array_max(F.slice("likely", 1, none - 1))  # without unknown and none
-    names = F.array(*map(F.lit, model.classes))
-    family = F.when(best >= LEAST_PROBABILITY, F.get(names, F.array_position("likely", best).cast("int") - 1)).when(F.get("likely", F.lit(none)) < 1 - LEAST_PROBABILITY, F.lit(UNKNOWN))
-    found = found.withColumns({"family": family, "best": best}).where("family is not null")
-    probability = F.when(F.col("family") == UNKNOWN, 1 - F.get("likely", F.lit(none))).otherwise(F.col("best"))
-    found = found.withColumn("probability", F.round(probability, 4)).join(F.broadcast(_templates(docs.sparkSession)), "family", "left")
+    logits = F.transform("sums", lambda x, k: (x / F.col("size") + F.get(bias, k)) / MILLION)
+    found = found.withColumn("verdict", _bound(_likelihoods(logits), lambda p: _verdict(p, model.classes))).where("verdict is not null")
+    found = found.select("*", "verdict.*").join(F.broadcast(_templates(docs.sparkSession)), "family", "left")
     held = F.array_max(F.transform("templates", lambda t: 100 * F.size(F.array_intersect(t, F.col("near.h"))) / F.size(t)))
     places = F.filter("near", lambda x: F.coalesce(F.array_contains(F.flatten("templates"), x["h"]), F.lit(False)))
     found = found.select("doc_id", "row", "p", "line", "size", "family", "probability", F.coalesce(F.floor(held).cast("int"), F.lit(0)).alias("similarity"), places.alias("places"))

@@ -99,3 +99,11 @@ def test_every_template_is_found_inside_a_line(spark, model):
     families = [f for f, of in licenses.TEMPLATES.items() for _ in of]
     got = licenses.scan_passages(spark.createDataFrame(rows, "doc_id long, text string"), model).where("confirmed").collect()
     assert sorted((r.doc_id, r.family) for r in got) == list(enumerate(families))
+
+
+def test_lines_about_rights_are_no_negatives(spark):
+    docs = table(spark, SF, "documents")
+    assert not [x for x in licenses.corpus_lines(docs) if "rights" in x.lower() or "licen" in x.lower()]
+    want = {(r.doc_id, k) for r in docs.collect() for k, line in enumerate((r.text or "").split("\n")) if line == "All rights reserved."}
+    got = {(r.doc_id, r.paragraph) for r in licenses.op5_license_scan(spark, SF).where("family = 'unknown'").collect()}
+    assert want and want <= got
