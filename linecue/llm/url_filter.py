@@ -9,9 +9,12 @@ links; distrust is the same from the hosts whose pages the rules block,
 against the links. A host is blocked if its distrust is more than MOST_TIMES
 its trust.
 
-Mass is counted in whole units of a trillionth and every share is rounded
-down, so results don't depend on the order of rows. Each round is two joins
-of hosts and edges; ranks are checkpointed every CHECKPOINT_ROUNDS.
+Mass is counted in whole units of a trillionth and every flow, computed from
+whole counts of pages, is rounded down to units, so results don't depend on
+the order of rows and no edge is too rare to carry mass. Each round is two
+joins of hosts and edges; ranks are checkpointed every CHECKPOINT_ROUNDS.
+There are ROUNDS rounds at least, and more until a round reaches no new host
+and changes no host's mass by more than TOLERANCE units.
 
 Cases: a null url, or one without `://`, has an empty host and path, fits no
 rule and is allowed, as is any host without mass; null html has no links;
@@ -31,6 +34,8 @@ from linecue.llm.common import checkpointed, table
 
 UNIT = 1_000_000_000_000
 ROUNDS, CHECKPOINT_ROUNDS = 12, 4
+#: Units, a millionth of all mass.
+TOLERANCE = 1_000_000
 #: Hundredths of the mass that follow edges; the rest returns to the seeds.
 DAMPING = 85
 MOST_TIMES = 9
@@ -109,20 +114,30 @@ def domains(host: str) -> Column:
 
 
 def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(host, mass) after `rounds` of personalised PageRank; edges: a, b, pages; seeds: host, pages."""
+    """(host, mass) after `rounds` of personalised PageRank, or more until it has settled; edges: a, b, pages; seeds: host, pages."""
     total = seeds.agg(F.sum("pages").alias("all"))
     start = seeds.join(F.broadcast(total)).select("host", F.floor(F.lit(float(UNIT)) * (F.col("pages") / F.col("all"))).cast("long").alias("seed"))  # one row is broadcast
     out = edges.groupBy("a").agg(F.sum("pages").alias("out"))
-    shares = checkpointed(edges.join(out, "a").select("a", "b", F.floor(1e6 * (F.col("pages") / F.col("out"))).cast("long").alias("ppm")))
+    shares = checkpointed(edges.join(out, "a").select("a", "b", "pages", "out"))
     start = checkpointed(start)
     mass = start.select("host", F.col("seed").alias("mass"))
-    for k in range(1, rounds + 1):
-        flow = shares.join(mass, shares.a == mass.host).select(F.col("b").alias("host"), F.expr("mass * ppm div 1000000").alias("flow"), F.lit(0).cast("long").alias("seed"))
-        rows = flow.union(start.select("host", F.lit(0).cast("long"), "seed"))
-        mass = rows.groupBy("host").agg(F.expr(f"({DAMPING} * sum(flow) + {100 - DAMPING} * sum(seed)) div 100").alias("mass"))
-        if k % CHECKPOINT_ROUNDS == 0:
+    none, reached, k = F.lit(0).cast("long"), -1, 0
+    while True:
+        k += 1
+        settling = k % CHECKPOINT_ROUNDS == 0
+        flow = F.expr("cast(mass as decimal(19,0)) * cast(pages as decimal(18,0)) div cast(out as decimal(18,0))")
+        rows = shares.join(mass, shares.a == mass.host).select(F.col("b").alias("host"), flow.alias("flow"), none.alias("seed"), none.alias("before"))
+        rows = rows.union(start.select("host", none, "seed", none))
+        if settling:
+            rows = rows.union(mass.select("host", none, none, "mass"))
+        mass = rows.groupBy("host").agg(F.expr(f"({DAMPING} * sum(flow) + {100 - DAMPING} * sum(seed)) div 100").alias("mass"), F.sum("before").alias("before"))
+        if settling:
             mass = checkpointed(mass)
-    return mass
+            now = mass.where("mass > 0 or before > 0").agg(F.count(F.when(F.col("mass") > 0, 1)), F.max(F.abs(F.col("mass") - F.col("before"))), F.count(F.when((F.col("mass") > 0) & (F.col("before") == 0), 1))).first()
+            if k >= rounds and now[0] == reached and not now[2] and (now[1] or 0) <= TOLERANCE:
+                return mass.select("host", "mass")
+            reached = now[0]
+        mass = mass.select("host", "mass")
 
 
 def judge(pages: DataFrame, rules: list[Rule] = RULES, rounds: int = ROUNDS) -> DataFrame:

@@ -100,3 +100,12 @@ def test_no_rules_and_empty_table(spark):
 
 def test_query_equals_sql(spark):
     same_as_duckdb(uf.op10_url_filter, uf.ORACLE, spark, "/root/testdata/sf0.01")
+
+
+def test_rare_edges_and_far_hosts_get_mass(spark):
+    far = [(f"h{k}.io", f"h{k + 1}.io", 1) for k in range(20)]
+    edges = spark.createDataFrame([("hot.io", "common.io", 5_000_000), ("hot.io", "rare.io", 1), *far], "a string, b string, pages long")
+    seeds = spark.createDataFrame([("hot.io", 1), ("h0.io", 1)], "host string, pages long")
+    got = {r.host: r.mass for r in uf.spread(edges, seeds).collect()}
+    assert got["rare.io"] == 85 * (uf.UNIT // 2 * 15 // 100 // 5_000_001) // 100 > 0
+    assert got["common.io"] > got["rare.io"] and got["h20.io"] > 0
