@@ -46,7 +46,7 @@ NEGATIVE_DOCS, NEGATIVE_CHARS, NEGATIVES = 200, 20_000, 1500
 LEAST_PROBABILITY, LEAST_PERCENT, WIDTH = 0.5, 80, 5
 MILLION = 1_000_000
 #: Words of the windows; a notice fills two thirds of one of them, or it is longer and fills them all.
-SIZES = (5, 8, 12, 18, 27, 40)
+SIZES = (3, 5, 8, 12, 18, 27, 40)
 
 #: A line of the corpus with one of these may hold terms of any licence, so it is no example of `none`.
 RIGHTS = re.compile("licen[cs]|copyright|rights reserved|public domain")
