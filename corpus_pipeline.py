@@ -3,9 +3,11 @@
 Documents that the classifier or the rules reject go, one document of each
 group of near duplicates stays, documents that hold a benchmark item go, and
 what is left is encoded. All stages but the last return the columns of
-documents. Cases: rows that share a doc_id and have one text count as one
-document from the third stage on, and rows without doc_id leave there, as a
-group needs an id to keep; the operators say what happens to other odd rows.
+documents. Cases: a document is a doc_id with a text from the third stage on:
+rows that share both count as one, rows of one doc_id with different texts are
+different documents, and so are those without doc_id, of which one stays where
+no document of its group has an id; the operators say what happens to other
+odd rows.
 """
 
 from __future__ import annotations
@@ -33,16 +35,25 @@ def by_the_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return judged.where("kept").select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with key: a hash of doc_id and text, never null."""
+    return docs.withColumn("key", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), F.col("text").isNull(), "text"))
+
+
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group, once, also where rows are repeated."""
-    kept = minhash.near_duplicates(docs, width=5).where("kept").select("doc_id").distinct()
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    keyed = _keyed(docs)
+    groups = minhash.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"), width=5).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    named = groups.join(keyed.select("key", "doc_id").distinct().hint("merge"), "key")
+    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")).alias("least")).select("least.key")
+    return keyed.join(kept.hint("merge"), "key", "left_semi").dropDuplicates(["key"]).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    keyed = _keyed(docs)
+    found = decontaminate.leaks(keyed.select(F.col("key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("key")).distinct()
+    return keyed.join(found.hint("merge"), "key", "left_anti").select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

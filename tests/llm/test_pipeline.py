@@ -67,3 +67,16 @@ def test_stages_keep_the_columns_and_stand_odd_rows(spark):
     odd = good.union(good).union(good.selectExpr("cast(null as bigint)", "text", "lang", "source", "n_chars")).union(good.selectExpr("9999", "cast(null as string)", "lang", "source", "n_chars"))
     assert [r.doc_id for r in corpus_pipeline.without_near_duplicates(spark, odd, SF).orderBy("doc_id").collect()] == [0, 9999]
     assert corpus_pipeline.encoded(spark, odd, SF).count() == 4
+
+
+def test_rows_of_one_id_and_rows_without_id_are_documents(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = one.replace("a59", "z")
+    rows = [(1, one), (5, near), (5, two), (5, two), (None, three), (None, three + " end"), (None, one), (7, None)]
+    item = table(spark, SF, "benchmark").where("item_id = 0").first().text
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.without_near_duplicates(spark, docs, SF).collect()
+    assert sorted((r.doc_id, (r.text or "-")[0]) for r in got if r.doc_id) == [(1, "a"), (5, "b"), (7, "-")]
+    assert [r.text[:2] for r in got if r.doc_id is None] == ["c0"]
+    leaky = spark.createDataFrame([(1, one), (1, item), (None, item), (None, two)], "doc_id long, text string")
+    assert sorted(map(tuple, corpus_pipeline.without_benchmark(spark, leaky, SF).collect()), key=str) == sorted([(1, one), (None, two)], key=str)
