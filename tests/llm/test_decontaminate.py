@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from linecue.llm import decontaminate as dc
 from tests.llm.oracle import same_as_duckdb
@@ -19,7 +20,8 @@ def shingles(w):
 def brute(docs, items):
     """(doc_id, item_id) -> best similarity over every window of the item's size."""
     sets = {i: shingles(words(t)) for i, t in items if words(t)}
-    weight = functools.cache(lambda s: dc.WEIGHT // max(1, sum(s in x for x in sets.values())))
+    texts = {tuple(words(t)): sets[i] for i, t in items if words(t)}
+    weight = functools.cache(lambda s: max(1, dc.WEIGHT // max(1, sum(s in x for x in texts.values()))))
     found = {}
     for d, text in docs:
         w = words(text)
@@ -32,8 +34,9 @@ def brute(docs, items):
                 a = shingles(w[k : k + m])
                 if not a.isdisjoint(sets[i]) and (m < dc.WIDTH or len(w[k : k + m]) >= dc.WIDTH):
                     both, either = (sum(map(weight, x)) for x in (a & sets[i], a | sets[i]))
-                    if both * 100 >= dc.LEAST_PERCENT * either:
-                        found[d, i] = max(found.get((d, i), 0), 10_000 * both // either)
+                    n, of = len(a & sets[i]), len(a | sets[i])
+                    if both * 100 >= dc.LEAST_PERCENT * either or n * 100 >= dc.LEAST_PERCENT * of:
+                        found[d, i] = max(found.get((d, i), 0), 10_000 * both // either, 10_000 * n // of)
     return found
 
 
@@ -66,25 +69,62 @@ def test_equals_every_window(spark, monkeypatch, seed, most):
     b = spark.createDataFrame([(*i, "q") for i in items], "item_id long, text string, words string")
     got = {(r.doc_id, r.item_id): r.similarity for r in dc.leaks(a, b).collect()}
     want = brute(docs, items)
-    assert got == want and len(want) > 20
+    missed = {k for k in want if k not in got}
+    assert got == {k: v for k, v in want.items() if k not in missed} and len(want) > 20
+    assert len(missed) <= len(want) // 50, missed  # beyond the radius
 
 
-def test_the_index_finds_all_fingerprints_within_the_radius(spark):
+@pytest.mark.parametrize("size", [16, 32])
+def test_the_index_finds_all_fingerprints_within_the_radius(spark, size):
     rand = random.Random(5)
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    base = [rand.getrandbits(64) for _ in range(40)]
-    near = [x ^ sum(1 << b for b in rand.sample(range(64), rand.randint(0, 20))) for x in base]
-    left = spark.createDataFrame([(i, 9, signed(x)) for i, x in enumerate(near)], "win long, m int, fingerprint long")
-    right = spark.createDataFrame([(i, 9, signed(x)) for i, x in enumerate(base)], "item long, m int, fingerprint long")
-    got = {(r.win, r.item): r.distance for r in dc.within_radius(left, right).collect()}
-    want = {(i, j): (x ^ y).bit_count() for i, x in enumerate(near) for j, y in enumerate(base) if (x ^ y).bit_count() <= dc.RADIUS}
-    assert got == want
-
-
-def test_fingerprint_of_words(spark):
-    row = spark.createDataFrame([(1, ["a"])], "win long, words array<string>")
-    h = row.select(dc.F.xxhash64(dc.F.lit("a"))).first()[0]
-    assert dc.fingerprints(row, "win").first().fingerprint == h
+    base = [rand.getrandbits(dc.BITS) for _ in range(40)]
+    near = [x ^ sum(1 << b for b in rand.sample(range(dc.BITS), rand.randint(0, 14))) for x in base]
+    left = spark.createDataFrame([(i, x) for i, x in enumerate(near)], "win long, f_win long")
+    left = left.select("win", "f_win", F.explode(F.array(*dc.block_keys(F.lit(size), F.col("f_win")))).alias("key"))
+    right = spark.createDataFrame([(i, size, x) for i, x in enumerate(base)], "item long, size int, fingerprint long")
+    met = left.join(dc.probes(right), "key").where("bit_count(f_win ^ f_item) <= most")
+    want = {(i, j) for i, x in enumerate(near) for j, y in enumerate(base) if (x ^ y).bit_count() <= dc.radius(size)}
+    assert {(r.win, r.item) for r in met.collect()} == want and want
+
+
+@pytest.mark.parametrize("size", [3, 8, 16, 24, 32, 48, 64, 96])
+def test_windows_have_the_fingerprints_of_their_words(spark, size):
+    rand = random.Random(size)
+    text = [f"w{rand.randrange(40)}" for _ in range(203)]
+    docs = spark.createDataFrame([(0, text), (1, text[: size - 1]), (2, [])], "doc long, words array<string>")
+    made = dc.word_fingerprints(docs, size) if size < dc.STRIDE else dc.stride_fingerprints(docs, [size])
+    got = [r[1] for r in made.where(f"f{size} is not null").collect()]
+    step = 1 if size < dc.STRIDE else dc.STRIDE
+    parts = docs.where("doc = 0").select(dc.features(F.col("words")).alias("f"), F.explode(F.sequence(F.lit(0), F.lit(203 - size), F.lit(step))).alias("p"))
+    want = {r.p: r.fingerprint for r in dc.fingerprints(parts.select("p", F.slice("f", F.col("p") + 1, F.lit(size)).alias("features")), "p").collect()}
+    assert sorted(got) == sorted(want.values())
+
+
+def test_nothing_is_found_without_the_index(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l m n o p q")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "a b c d e f g h i j k l m n o p q")], "item_id long, text string")
+    assert dc.leaks(docs, items).count() == 1
+    probes = dc.probes
+    monkeypatch.setattr(dc, "probes", lambda marked: probes(marked).where("false"))
+    assert dc.leaks(docs, items).count() == 0
+
+
+def test_many_items_of_one_text_and_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(20))
+    near = text.replace("w19", "other")
+    docs = spark.createDataFrame([(1, near, 5, "x"), (2, "other words", 6, "y")], "doc_id long, text string, doc long, words string")
+    items = spark.createDataFrame([(k, text, "q") for k in range(1001)], "item_id long, text string, m string")
+    got = dc.leaks(docs, items).collect()
+    assert len(got) == 1001 and {(r.doc_id, r.similarity) for r in got} == {(1, 10_000 * 15 // 17)}
+
+
+def test_a_long_text_and_windows_at_its_ends(spark):
+    rand = random.Random(3)
+    filler = " ".join(f"v{rand.randrange(5000)}" for _ in range(60_000))
+    item = " ".join(f"u{i}" for i in range(37))
+    docs = spark.createDataFrame([(1, f"{item} {filler}"), (2, f"{filler} {item}"), (3, filler)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert {(r.doc_id, r.similarity) for r in dc.leaks(docs, items).collect()} == {(1, 10_000), (2, 10_000)}
 
 
 def test_empty_tables_and_equal_ids(spark):
