@@ -43,6 +43,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def document(key: str = "doc_id", text: str = "text") -> Column:
+    """A document's identity: its id with a hash of its text. Structs are equal where both ids are null, and neither an id nor a text alone makes a hot key."""
+    return F.struct(F.col(key).alias(key), F.xxhash64(F.col(text).cast("string")).alias("row"))
+
+
+def joined_apart(rows: DataFrame, few: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with few, an aggregate with one row a key, which gets an exchange of its own for it: only so can Spark split the rows of a hot key."""
+    apart = few.select(F.struct(key).alias("_of"), *(c for c in few.columns if c != key))
+    return rows.withColumn("_of", F.struct(key)).join(apart, "_of", how).drop("_of")
+
+
 def words_of(text: Column) -> Column:
     """Maximal runs of characters other than ASCII white space; null counts as empty."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

@@ -1,18 +1,24 @@
 """Quality rules in native expressions: base statistics of a text and a log-likelihood ratio of its n-grams.
 
-Words and word pairs are hashed (CRC-32) into BUCKETS. Two multinomials over
-the buckets are counted: one over every document, one over the documents that
-a trusted table names. A document's score is the mean over its n-grams of
-log(trusted share / raw share), so length doesn't matter; it is kept if the
-score is LEAST_SCORE or more. Weights are whole millionths and their sums
-whole numbers, so a verdict never depends on the order of rows.
+Words and word pairs are hashed (CRC-32) into buckets, whose number grows with
+the corpus: one for about BYTES_A_BUCKET bytes of text, MIN_BUCKETS at least.
+Two multinomials over the buckets are counted: one over every document, one
+over the documents that a trusted table names. A document's score is the mean
+over its n-grams of log(trusted share / raw share), so length doesn't matter;
+it is kept if the score is LEAST_SCORE or more. Weights are whole millionths
+and their sums whole numbers, so a verdict never depends on the order of rows.
+
+Texts are never shuffled for the counts unless more than MOST_BROADCAST trusted
+ids are known: they are read once for all documents and once for the trusted
+ones. For the scores the n-grams meet the table of weights by bucket; the table
+is broadcast up to MOST_BROADCAST buckets, beyond that n-grams are shuffled.
 
 Cases: a null or empty text has no words and fails the base rules; rows of
 equal or null doc_id are judged one by one; a null doc_id is never trusted;
 without trusted documents every weight follows from the smoothing alone;
-empty tables give an empty table; further columns are not read. A text is
-handled in one row, however long, by sorting and never by comparing all its
-windows.
+empty tables give an empty table; further columns are not read, whatever their
+names. A text is handled in one row, however long, by sorting and never by
+comparing all its windows.
 """
 
 from __future__ import annotations
@@ -20,9 +26,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linecue.llm.common import table, words_of
+from linecue.llm.common import checkpointed, document, table, words_of
 
-BUCKETS = 1 << 14
+MIN_BUCKETS, BYTES_A_BUCKET = 1 << 14, 1024
+MOST_BROADCAST = 1 << 21
 #: Mean log-likelihood ratio (in nats) of a kept document.
 LEAST_SCORE = -0.1
 MIN_WORDS = 50
@@ -31,8 +38,13 @@ MOST_REPEATED = 50
 SYMBOLS = "#*$%&|<>"
 
 
-def _bucket(gram: Column) -> Column:
-    return (F.crc32(gram.cast("binary")) % BUCKETS).cast("int")
+def n_buckets(text_bytes: int) -> int:
+    """A power of two."""
+    return max(MIN_BUCKETS, 1 << (text_bytes // BYTES_A_BUCKET).bit_length())
+
+
+def _bucket(gram: Column, buckets: int) -> Column:
+    return (F.crc32(gram.cast("binary")) % buckets).cast("int")
 
 
 def _pairs(words: Column, count: Column) -> Column:
@@ -52,53 +64,64 @@ def _repeated(hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), covered).otherwise(0)
 
 
-def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with words (array), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+def base_statistics(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words); row: the text's hash, as common.document has it."""
+    body = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)
-    out = docs.withColumns({"words": words_of(F.col(text).cast("string")), "lines": lines})
-    out = out.withColumns({"n_words": F.size("words").cast("long")})
+    out = docs.select("doc_id", document()["row"].alias("row"), F.col("text").cast("string").alias("text"))
+    out = out.withColumns({"words": words_of(F.col("text")), "lines": lines})
     windows = F.arrays_zip("words", F.slice("words", F.lit(2), F.size("words")), F.slice("words", F.lit(3), F.size("words")))
     out = out.withColumn("windows", F.transform(F.slice(windows, F.lit(1), F.greatest(F.size("words") - 2, F.lit(0))), lambda x: F.xxhash64(x)))
-    return out.withColumns(
-        {
-            "word_chars": F.length(F.translate(body, " \t\n\x0b\x0c\r", "")).cast("long"),
-            "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"),
-            "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
-            "n_repeat_words": _repeated(F.col("windows")).cast("long"),
-        }
-    ).drop("windows", "lines")
-
-
-def bucket_weights(docs: DataFrame, trusted: DataFrame, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """One row: weights array<long>, in millionths, by bucket. trusted: doc_id of the documents to resemble."""
-    named = trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("trusted", F.lit(1))
-    rows = docs.select("doc_id", F.col(text).cast("string").alias("text")).join(named.hint("merge"), "doc_id", "left")  # the trusted ids grow with the documents: never broadcast
-    rows = rows.select(words_of(F.col("text")).alias("words"), F.coalesce("trusted", F.lit(0)).alias("trusted"))
-    grams = rows.select("trusted", F.explode(_pairs(F.col("words"), F.size("words"))).alias("p")).select("trusted", "p.a", "p.b")
-    found = grams.select("trusted", F.explode(F.array(_bucket(F.col("a")), _bucket(F.concat("a", F.lit(" "), F.col("b"))))).alias("bucket")).where("bucket is not null")
-    counts = found.groupBy("bucket").agg(F.count("*").alias("r"), F.sum("trusted").alias("t"))
-    counts = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").select("bucket", F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("t", F.lit(0)).alias("t"))
-    totals = counts.agg(F.sum("r").alias("rs"), F.sum("t").alias("ts"))  # one row
-    share = lambda n, total: (F.col(n) + 1.0) / (F.col(total) + float(buckets))
-    weight = F.round(F.lit(1e6) * F.log(share("t", "ts") / share("r", "rs"))).cast("long")
-    weights = counts.join(F.broadcast(totals)).select("bucket", weight.alias("w"))
-    return weights.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "w"))), lambda x: x["w"]).alias("weights"))  # `buckets` entries, whatever the input
-
-
-def judge(docs: DataFrame, trusted: DataFrame, text: str = "text", least_score: float = LEAST_SCORE) -> DataFrame:
-    """docs with the base statistics, llr_sum (millionths), n_grams, score, base_failed and kept."""
-    found = bucket_weights(docs, trusted, text).first()[0]  # BUCKETS numbers
-    weights = F.split(F.lit(",".join(map(str, found))), ",").cast("array<bigint>")  # the optimizer folds this into one literal
-    out = base_statistics(docs, text)
-    pairs = _pairs(F.col("words"), F.size("words"))
-    of = lambda gram: F.coalesce(F.get(weights, _bucket(gram)), F.lit(0).cast("long"))
-    total = F.aggregate(pairs, F.lit(0).cast("long"), lambda acc, x: acc + of(x["a"]) + of(F.concat(x["a"], F.lit(" "), x["b"])))
-    out = out.withColumns({"llr_sum": total, "n_grams": F.greatest(2 * F.col("n_words") - 1, F.lit(0))})
+    return out.select(
+        "doc_id",
+        "row",
+        F.size("words").cast("long").alias("n_words"),
+        F.length(F.translate(body, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+        (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        _repeated(F.col("windows")).cast("long").alias("n_repeat_words"),
+    )
+
+
+def grams(rows: DataFrame, buckets: int, *keep: str) -> DataFrame:
+    """(keep, first, bucket): a row for each word and for each pair of words; rows: text and keep; first marks one row of a text."""
+    words = rows.select(*keep, words_of(F.col("text")).alias("words"))
+    pairs = words.select(*keep, F.posexplode(_pairs(F.col("words"), F.size("words"))).alias("at", "p")).select(*keep, "at", "p.a", "p.b")
+    both = F.posexplode(F.array(_bucket(F.col("a"), buckets), _bucket(F.concat("a", F.lit(" "), F.col("b")), buckets))).alias("kind", "bucket")
+    found = pairs.select(*keep, "at", both).where("bucket is not null")
+    return found.select(*keep, ((F.col("at") == 0) & (F.col("kind") == 0)).alias("first"), "bucket")
+
+
+def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, w) in millionths, for the buckets in use. trusted: doc_id of the documents to resemble."""
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    named = trusted.select("doc_id").where("doc_id is not null").distinct()
+    few = named.count() <= MOST_BROADCAST
+    aims = rows.join(F.broadcast(named) if few else named.hint("merge"), "doc_id", "left_semi")
+    raw = grams(rows, buckets).groupBy("bucket").agg(F.count("*").alias("r"))
+    aim = grams(aims, buckets).groupBy("bucket").agg(F.count("*").alias("t"))
+    counts = checkpointed(raw.join(aim, "bucket", "left").select("bucket", "r", F.coalesce("t", F.lit(0)).alias("t")))
+    rs, ts = (int(x or 0) for x in counts.agg(F.sum("r"), F.sum("t")).first())
+    share = lambda n, total: (F.col(n) + 1.0) / F.lit(float(total) + float(buckets))
+    return counts.select("bucket", F.round(F.lit(1e6) * F.log(share("t", ts) / share("r", rs))).cast("long").alias("w"))
+
+
+def judge(docs: DataFrame, trusted: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
+    """(doc_id, row, base statistics, llr_sum (millionths), n_grams, score, base_failed, kept) for every row; row: the text's hash, as common.document has it."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    buckets = n_buckets(size)
+    weights = bucket_weights(docs, trusted, buckets)
+    weights = F.broadcast(weights) if buckets <= MOST_BROADCAST else weights
+    found = grams(docs.select(document().alias("doc"), F.col("text").cast("string").alias("text")), buckets, "doc")
+    # Rows that are equal in id and text are summed together: their number is how often their first word came.
+    sums = found.join(weights, "bucket").groupBy("doc").agg(F.sum("w").alias("all"), F.count(F.when(F.col("first"), 1)).alias("copies"))
+    sums = sums.select("doc", F.expr("all div copies").alias("llr_sum"))
+    out = base_statistics(docs).withColumn("doc", F.struct("doc_id", "row")).join(sums.hint("merge"), "doc", "left").drop("doc")
+    out = out.withColumns({"llr_sum": F.coalesce("llr_sum", F.lit(0).cast("long")), "n_grams": F.greatest(2 * F.col("n_words") - 1, F.lit(0))})
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     verdict = F.col("llr_sum") >= F.lit(round(least_score * 1e6)) * F.col("n_grams")
     out = out.withColumns({"score": F.col("llr_sum") / F.greatest("n_grams", F.lit(1)) / 1e6, "base_failed": failed})
-    return out.withColumn("kept", ~F.col("base_failed") & verdict).drop("words")
+    return out.withColumn("kept", ~F.col("base_failed") & verdict)
 
 
 def trusted_labels(labels: DataFrame) -> DataFrame:
@@ -131,19 +154,20 @@ def sql(documents: str = "documents", labels: str = "labels") -> str:
   rules_crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, n::BIGINT)) AS crc),
   rules_grams AS (
     SELECT rid, w AS gram FROM rules_near UNION ALL SELECT rid, w || ' ' || w1 FROM rules_near WHERE w1 IS NOT NULL),
+  rules_size AS (SELECT greatest({MIN_BUCKETS}, 1 << length(bin(coalesce(sum(strlen(text)), 0)::BIGINT // {BYTES_A_BUCKET}))::BIGINT) AS buckets FROM rules_docs),
   rules_hex AS (SELECT gram, hex(encode(gram)) AS h FROM (SELECT DISTINCT gram FROM rules_grams)),
   rules_bytes AS (SELECT gram, list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS b FROM rules_hex),
   rules_bucket AS (
-    SELECT gram, xor(list_reduce(b, lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % {BUCKETS} AS bucket
-    FROM rules_bytes, rules_crc),
+    SELECT gram, xor(list_reduce(b, lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % buckets AS bucket
+    FROM rules_bytes, rules_crc, rules_size),
   rules_trusted AS (SELECT DISTINCT doc_id FROM {labels} WHERE quality = 1),
   rules_counts AS (
     SELECT bucket, count(*) AS r, count(t.doc_id) AS t
     FROM rules_grams JOIN rules_docs USING (rid) JOIN rules_bucket USING (gram) LEFT JOIN rules_trusted t USING (doc_id) GROUP BY bucket),
   rules_totals AS (SELECT coalesce(sum(r), 0) AS rs, coalesce(sum(t), 0) AS ts FROM rules_counts),
   rules_weights AS (
-    SELECT bucket, CAST(round(1e6 * ln(((t + 1.0::DOUBLE) / (ts + {BUCKETS}.0::DOUBLE)) / ((r + 1.0::DOUBLE) / (rs + {BUCKETS}.0::DOUBLE)))) AS BIGINT) AS w
-    FROM rules_counts, rules_totals),
+    SELECT bucket, CAST(round(1e6 * ln(((t + 1.0::DOUBLE) / (ts + buckets::DOUBLE)) / ((r + 1.0::DOUBLE) / (rs + buckets::DOUBLE)))) AS BIGINT) AS w
+    FROM rules_counts, rules_totals, rules_size),
   rules_scores AS (SELECT rid, sum(w) AS llr_sum FROM rules_grams JOIN rules_bucket USING (gram) JOIN rules_weights USING (bucket) GROUP BY rid),
   rules_base AS (
     SELECT rid, doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,

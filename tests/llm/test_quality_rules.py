@@ -21,13 +21,13 @@ ODD = ["", None, " \n\t", "one", "a b c a b c", "a a a a a", "x\ny\nx\n\n\n \n \
 
 
 def test_base_statistics(spark):
-    docs = spark.createDataFrame([(i, t, "z") for i, t in enumerate(ODD)], "doc_id long, text string, n_words string").select("doc_id", "text")
-    got = {r.doc_id: tuple(r)[2:] for r in quality_rules.base_statistics(docs).drop("words").collect()}
+    docs = spark.createDataFrame([(i, t, "z", 1, 2) for i, t in enumerate(ODD)], "doc_id long, text string, n_words string, words long, `row` int")
+    got = {r.doc_id: tuple(r)[2:] for r in quality_rules.base_statistics(docs).collect()}
     assert got == {i: statistics(t) for i, t in enumerate(ODD)}
 
 
 def brute(rows, trusted):
-    b, raw, aim, grams = quality_rules.BUCKETS, Counter(), Counter(), []
+    b, raw, aim, grams = quality_rules.n_buckets(sum(len((t or "").encode()) for _, t in rows)), Counter(), Counter(), []
     for d, t in rows:
         w = (t or "").encode().split()
         g = [zlib.crc32(x) % b for x in [*w, *(x + b" " + y for x, y in zip(w, w[1:]))]]
@@ -39,15 +39,22 @@ def brute(rows, trusted):
     return [(d, sum(map(weight, g)), len(g)) for (d, _), g in zip(rows, grams)]
 
 
-@pytest.mark.parametrize("trusted", [[], [2, 4, 11]])
-def test_scores(spark, trusted):
-    rows = [*enumerate(ODD), (4, "a b c"), (None, "a b d")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+@pytest.mark.parametrize("trusted, most", [([], 1 << 21), ([2, 4, 11], 1 << 21), ([2, 4, 11], 0)])
+def test_scores(spark, monkeypatch, trusted, most):
+    monkeypatch.setattr(quality_rules, "MOST_BROADCAST", most)
+    monkeypatch.setattr(quality_rules, "MIN_BUCKETS", 16)
+    rows = [*enumerate(ODD), (4, "a b c"), (4, "a b c a b c"), (4, "a b c a b c"), (None, "a b d"), (None, "a b d"), (None, None)]
+    docs = spark.createDataFrame([(*r, 0, "x", True, 1.0, [1]) for r in rows], "doc_id long, text string, n_words int, words string, kept boolean, score double, windows array<int>")
     good = spark.createDataFrame([(d,) for d in [*trusted, None]], "doc_id long")
     got = [(r.doc_id, r.llr_sum, r.n_grams) for r in quality_rules.judge(docs, good).collect()]
     assert sorted(got, key=str) == sorted(brute(rows, set(trusted)), key=str)
 
 
+def test_buckets_grow_with_the_corpus():
+    assert quality_rules.n_buckets(0) == quality_rules.n_buckets(10_000_000) == 1 << 14
+    assert quality_rules.n_buckets(1 << 40) == 1 << 31
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert quality_rules.judge(docs, docs.select("doc_id")).count() == 0
