@@ -8,15 +8,15 @@ answer of every filter, a text keeps the mean and the maximum over its chunks,
 and a logistic layer makes one probability of them.
 
 Learning happens on the driver on at most SAMPLE labelled rows (the first by a
-hash of doc_id) with at most SAMPLE_CHUNKS evenly spaced chunks of each; both
-bounds are parameters. Scoring reads every byte of every text.
+hash of doc_id), which is a parameter; it reads their texts whole. Scoring reads
+every byte of every text.
 
 Cases: a null or empty text is one chunk without bytes and gets the network's
 score for it; labels of a doc_id are averaged, null ones ignored; without
 labels, or with labels of one kind, every score is the share of label 1 (0.5
 if there is none); rows of equal or null doc_id are scored one by one, a null
 doc_id is never learned from; an empty table gives an empty table; further
-columns are not read.
+columns are passed on, one named as the score is replaced.
 """
 
 from __future__ import annotations
@@ -33,8 +33,10 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from linecue.llm.common import slices, table
 
 WIDTH, FILTERS, CHUNK = 5, 16, 512
-#: Bounds of what the driver learns from: labelled rows, and chunks of each.
-SAMPLE, SAMPLE_CHUNKS = 2000, 8
+#: Bound of what the driver learns from: labelled rows.
+SAMPLE = 2000
+#: Chunks that one step of learning looks at at once.
+AT_ONCE = 256
 STEPS, BATCH = 400, 32
 FOLDS = 5
 LEAST_SCORE = 0.3
@@ -93,11 +95,14 @@ def learn(samples: list[tuple[list[bytes], float]], steps: int = STEPS, seed: in
         counts = np.array([len(c) for c, _ in rows])
         firsts, labels = np.cumsum(counts) - counts, np.array([y for _, y in rows])
         data = np.frombuffer(b"".join(c.ljust(CHUNK + WIDTH - 1, b"\0") for cs, _ in rows for c in cs), np.uint8).reshape(-1, CHUNK + WIDTH - 1)
-        answer = net.tables[0][data[:, :CHUNK]]
-        for k in range(1, WIDTH):
-            answer += net.tables[k][data[:, k : k + CHUNK]]
-        place = answer.argmax(axis=1)
-        chunks = np.maximum(np.take_along_axis(answer, place[:, None], axis=1)[:, 0] + net.bias, 0)
+        places, tops = [], []
+        for part in np.split(data, range(AT_ONCE, len(data), AT_ONCE)):
+            answer = net.tables[0][part[:, :CHUNK]]
+            for k in range(1, WIDTH):
+                answer += net.tables[k][part[:, k : k + CHUNK]]
+            places.append(answer.argmax(axis=1))
+            tops.append(np.take_along_axis(answer, places[-1][:, None], axis=1)[:, 0])
+        place, chunks = np.concatenate(places), np.maximum(np.concatenate(tops) + net.bias, 0)
         means, tops = np.add.reduceat(chunks, firsts, axis=0) / counts[:, None], np.maximum.reduceat(chunks, firsts, axis=0)
         x = np.hstack([means, tops])
         error = (1 / (1 + np.exp(-(x @ net.out[:-1] + net.out[-1]))) - labels) / BATCH
@@ -121,27 +126,19 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def _chunks(count: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = []
-            for text in batch.column(1).to_pylist():
-                data = (text or "").encode()
-                starts = list(range(0, max(len(data), 1), CHUNK))
-                picked = [starts[i * (len(starts) - 1) // max(1, count - 1)] for i in range(count)] if len(starts) > count else starts
-                found.append([data[s : s + CHUNK + WIDTH - 1] for s in picked])
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.binary())), batch.column(2)], names=["chunks", "label"])
-
-    return run
+def chunks_of(text: str | None) -> list[bytes]:
+    """A text's chunks, each with the bytes of the next one that its last windows reach into."""
+    data = (text or "").encode()
+    return [data[i : i + CHUNK + WIDTH - 1] for i in range(0, max(len(data), 1), CHUNK)]
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE, chunks: int = SAMPLE_CHUNKS) -> list[tuple[list[bytes], float]]:
+def labelled(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE) -> list[tuple[list[bytes], float]]:
     """At most `most` rows to learn from, outside the held-out fold; the same ones whatever the partitioning."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.avg(label).alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("doc_id", "text", "label")
-    found = rows.mapInArrow(_chunks(chunks), "chunks array<binary>, label double").orderBy(F.xxhash64("chunks"), "label").limit(most).collect()
-    return [([bytes(c) for c in r.chunks], r.label) for r in found]
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("text", "label")
+    found = rows.orderBy(F.xxhash64("text"), "label").limit(most).collect()
+    return [(chunks_of(r.text), r.label) for r in found]
 
 
 def fit(docs: DataFrame, labels: DataFrame, **bounds) -> Network | float:
@@ -151,19 +148,20 @@ def fit(docs: DataFrame, labels: DataFrame, **bounds) -> Network | float:
     return learn(samples) if len(kinds) > 1 else kinds.pop() if kinds else 0.5
 
 
-def score(docs: DataFrame, model: Network | float) -> DataFrame:
-    """docs with score."""
-    names = docs.columns
+def score(docs: DataFrame, model: Network | float, name: str = "score") -> DataFrame:
+    """docs with the score under that name."""
+    at = docs.columns.index("text")
+    # Columns go through Python by their place, so that no name can clash.
+    placed = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            texts = [(t or "").encode() for t in batch.column(names.index("text")).to_pylist()]
+        for batch in slices(batches, f"c{at}"):
+            texts = [(t or "").encode() for t in batch.column(at).to_pylist()]
             found = np.full(len(texts), model) if isinstance(model, float) else model.scores(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "score"])
 
-    if "score" in names:
-        raise ValueError("docs has a column named score already")
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    found = placed.mapInArrow(run, StructType([*placed.schema.fields, StructField("score", DoubleType())]))
+    return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() != name.lower()), F.col("score").alias(name))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
