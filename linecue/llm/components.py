@@ -11,13 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linecue.llm.common import checkpointed
+from linecue.llm.common import checkpointed, joined_apart
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
     """Directed edges (u, v) with the smallest node among u and all its v."""
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return edges.join(least, "u")
+    return joined_apart(edges, least, "u")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -58,17 +58,41 @@ def test_equals_all_pairs(spark, monkeypatch, seed, block):
     monkeypatch.setattr(minhash, "BLOCK_SHINGLES", block)
     rows = corpus(seed)
     docs = spark.createDataFrame([(d, t, "k", 1) for d, t in rows], "doc_id long, text string, set_id string, band int").repartition(3)
-    assert sorted(map(tuple, minhash.near_duplicates(docs).collect())) == brute(rows)
+    assert sorted(map(tuple, minhash.near_duplicates(docs).drop("row").collect())) == brute(rows)
 
 
 def test_equal_ids_null_ids_and_empty_table(spark):
     schema = "doc_id long, text string"
     rows = [(5, "a b c d e"), (5, "a b c d e"), (None, "a b c d e"), (5, "p q r s t"), (None, None)]
-    got = minhash.near_duplicates(spark.createDataFrame(rows, schema)).collect()
+    got = minhash.near_duplicates(spark.createDataFrame(rows, schema)).drop("row").collect()
     assert sorted(map(tuple, got), key=str) == sorted([(5, 2, 5, True)] * 3 + [(None, 2, 5, False), (None, 0, None, False)], key=str)
     assert minhash.near_duplicates(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_repeated_rows_make_one_set_a_class(spark, monkeypatch):
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base), " ".join([*base[:-1], "end"])]
+    docs = spark.createDataFrame([(5, texts[i % 2]) for i in range(600)] + [(None, " ".join([*base, "more"]))], "doc_id long, text string")
+    made, sets = [], minhash._sets
+
+    def counted(*args):
+        made.append(sets(*args))
+        return made[-1]
+
+    monkeypatch.setattr(minhash, "_sets", counted)
+    got = minhash.near_duplicates(docs).collect()
+    assert made[0].count() == 3 and len(got) == 601 and {r.component_id for r in got} == {5}
+
+
+def test_bands_of_unlike_texts(spark):
+    rand = random.Random(9)
+    common = [f"c{i}" for i in range(70)]
+    rows = [(i, " ".join([*common, *(f"u{rand.randrange(10**6)}" for _ in range(45))])) for i in range(120)]
+    rows += [(200 + i, rows[i][1] + " x") for i in range(20)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).drop("row").collect()
+    assert sorted(map(tuple, got)) == brute(rows)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i + 1, i) for i in range(100, 140)] + [(7, i) for i in range(8, 40)] + [(3, 3)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
