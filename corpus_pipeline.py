@@ -3,11 +3,11 @@
 Documents that the classifier or the rules reject go, one document of each
 group of near duplicates stays, documents that hold a benchmark item go, and
 what is left is encoded. All stages but the last return the columns of
-documents. Cases: a document is a doc_id with a text from the third stage on:
-rows that share both count as one, rows of one doc_id with different texts are
-different documents, and so are those without doc_id, of which one stays where
-no document of its group has an id; the operators say what happens to other
-odd rows.
+documents, whatever their names: a stage's own columns never meet them. Cases:
+a document is a doc_id with a text: in the third stage rows that share both
+count as one, rows of one doc_id with different texts are different documents,
+and so are those without doc_id, of which one stays where no document of its
+group has an id; the operators say what happens to other odd rows.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linecue.llm import decontaminate, minhash, quality_classifier, quality_rules, sentencepieces
-from linecue.llm.common import shared_path, table
+from linecue.llm.common import document, shared_path, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -26,34 +26,37 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores LEAST_SCORE or more; it learns from the labelled ones among them."""
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_classifier.score(docs, model).where(F.col("score") >= quality_classifier.LEAST_SCORE).select(*docs.columns)
+    name = "score"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    return quality_classifier.score(docs, model, name).where(F.col(name) >= quality_classifier.LEAST_SCORE).drop(name)
+
+
+def _whole(docs: DataFrame) -> DataFrame:
+    """(doc, whole): a document's identity and its row as one value."""
+    return docs.select(document().alias("doc"), F.struct("*").alias("whole"))
 
 
 def by_the_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and resemble the trusted ones."""
     judged = quality_rules.judge(docs, quality_rules.trusted_labels(table(spark, sf_dir, "labels")))
-    return judged.where("kept").select(*docs.columns)
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with key: a hash of doc_id and text, never null."""
-    return docs.withColumn("key", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), F.col("text").isNull(), "text"))
+    kept = judged.where("kept").select(F.struct("doc_id", "row").alias("doc")).distinct()
+    return _whole(docs).join(kept.hint("merge"), "doc", "left_semi").select("whole.*")
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group, once, also where rows are repeated."""
-    keyed = _keyed(docs)
-    groups = minhash.near_duplicates(keyed.select(F.col("key").alias("doc_id"), "text"), width=5).select(F.col("doc_id").alias("key"), "component_id").distinct()
-    named = groups.join(keyed.select("key", "doc_id").distinct().hint("merge"), "key")
-    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")).alias("least")).select("least.key")
-    return keyed.join(kept.hint("merge"), "key", "left_semi").dropDuplicates(["key"]).select(*docs.columns)
+    keyed = _whole(docs).withColumn("key", F.struct(F.col("doc.doc_id").isNull().alias("nameless"), "doc.doc_id", "doc.row"))
+    groups = minhash.near_duplicates(keyed.select("key", "whole.text"), width=5, key="key")
+    # Rows repeated as a whole are put together before they are dealt out.
+    once = keyed.groupBy("key").agg(F.first("whole").alias("whole"))
+    return once.join(groups.where("kept").select("key").distinct().hint("merge"), "key", "left_semi").select("whole.*")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    keyed = _keyed(docs)
-    found = decontaminate.leaks(keyed.select(F.col("key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("key")).distinct()
-    return keyed.join(found.hint("merge"), "key", "left_anti").select(*docs.columns)
+    found = decontaminate.leaking(docs, table(spark, sf_dir, "benchmark"))
+    return _whole(docs).join(found.hint("merge"), "doc", "left_anti").select("whole.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linecue.llm.common import checkpointed, table
+from linecue.llm.common import checkpointed, document, table
 
 WIDTH = 5
 LEAST_PERCENT = 80
@@ -213,18 +213,27 @@ def candidates(docs: DataFrame, marked: DataFrame, lengths: list[int], small: bo
 
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_windows): documents that hold an item, similarity in ten-thousandths."""
-    spark = docs.sparkSession
+    found = matches(docs, benchmark, percent)
+    return found.groupBy("doc.doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.min("start").cast("long").alias("first_word"), F.countDistinct("start").alias("n_windows"))
+
+
+def leaking(docs: DataFrame, benchmark: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
+    """(doc) of the documents that hold an item: doc_id with a hash of the text, as common.document has it."""
+    return matches(docs, benchmark, percent).select("doc").distinct()
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
+    """(doc, item_id, similarity, start): windows of documents that are similar to an item."""
     items = checkpointed(items_of(benchmark))
     texts = items.groupBy("item").agg(F.first("words").alias("words"), F.first("m").alias("m"), F.first("shingles").alias("shingles"))
     lengths = sorted(r.m for r in items.select("m").distinct().collect())  # sizes of items
     if not lengths:
-        return spark.createDataFrame([], "doc_id long, item_id long, similarity long, first_word long, n_windows long").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType), F.col("item_id").cast(benchmark.schema["item_id"].dataType), "similarity", "first_word", "n_windows")
+        return docs.limit(0).select(document().alias("doc")).crossJoin(benchmark.limit(0).select("item_id")).selectExpr("doc", "item_id", "0L AS similarity", "0 AS start")
     marked = checkpointed(marks_of(texts, lengths))
     a_key = sum(1 for n in range(radius(SIZES[-1]) // BLOCKS + 1) for _ in combinations(range(BITS // BLOCKS), n))
     small = marked.count() * BLOCKS * a_key <= MAX_BROADCAST
 
-    # A document is its id with a hash of its text: struct keys are equal where both ids are null, and no id or text alone is a hot key.
-    rows = docs.select(F.struct("doc_id", F.xxhash64(F.col("text").cast("string")).alias("row")).alias("doc"), words_of(F.col("text")).alias("words"))
+    rows = docs.select(document().alias("doc"), words_of(F.col("text")).alias("words"))
     pairs = checkpointed(candidates(rows, marked, lengths, small).join(texts.select("item", "m"), "item"))
     few = pairs.count() <= MAX_BROADCAST // 10
     side = lambda df: F.broadcast(df) if few else df.hint("merge")
@@ -262,8 +271,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = LEAST_PERCENT) -
     similar = compared.where((F.col("both") * 100 >= percent * (F.col("all") - F.col("both"))) | (F.col("both_n") * 100 >= percent * (F.col("all_n") - F.col("both_n"))))
     similar = similar.select("win", "item", F.expr("greatest(10000 * both div (all - both), 10000 * both_n div (all_n - both_n))").alias("similarity"))
     named = similar.join(items.select("item", "item_id"), "item").select("win", "item", "item_id", "similarity")
-    out = windows.select("doc.doc_id", "start", "win", "item").join(named, ["win", "item"])
-    return out.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.min("start").cast("long").alias("first_word"), F.countDistinct("start").alias("n_windows"))
+    return windows.select("doc", "start", "win", "item").join(named, ["win", "item"]).select("doc", "item_id", "similarity", "start")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,6 +69,18 @@ def test_stages_keep_the_columns_and_stand_odd_rows(spark):
     assert corpus_pipeline.encoded(spark, odd, SF).count() == 4
 
 
+def test_columns_of_any_name_and_repeated_items(spark):
+    names = "score words lines windows kept n_words base_failed row doc key whole component_id text_ c0".split()
+    docs = table(spark, SF, "documents")
+    docs = docs.selectExpr("doc_id", "text", *(f"concat('{n}', doc_id) AS {n}" for n in names)).limit(60)
+    docs = docs.union(docs.limit(1)).union(docs.limit(1).selectExpr("cast(null AS bigint)", *docs.columns[1:]))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns and kept.count() > 10, k
+        assert kept.exceptAll(docs).count() == 0
+        assert all(r[n] == f"{n}{r.doc_id}" for r in kept.where("doc_id is not null").collect() for n in names)
+
+
 def test_rows_of_one_id_and_rows_without_id_are_documents(spark):
     one, two, three = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
     near = one.replace("a59", "z")
