@@ -11,16 +11,22 @@ its trust.
 
 Mass is counted in whole units of a trillionth and every flow, computed from
 whole counts of pages, is rounded down to units, so results don't depend on
-the order of rows and no edge is too rare to carry mass. Each round is two
-joins of hosts and edges; ranks are checkpointed every CHECKPOINT_ROUNDS.
-There are ROUNDS rounds at least, and more until a round reaches no new host
-and changes no host's mass by more than TOLERANCE units.
+the order of rows and no edge is too rare to carry mass. Trust and distrust are
+spread side by side, so that a round is one join of hosts and edges; ranks are
+checkpointed every CHECKPOINT_ROUNDS. A host's edges are dealt to parts of
+about PART_EDGES, and its mass to each of them. There are ROUNDS rounds at
+least, and more until a round reaches no new host and changes no host's mass by
+more than TOLERANCE units.
+
+Up to MOST_INLINE rules are one expression; more of them are joined with the
+domains of the different hosts, and each host keeps those that may fit it.
 
 Cases: a null url, or one without `://`, has an empty host and path, fits no
 rule and is allowed, as is any host without mass; null html has no links;
-repeated rows are judged one by one and count as pages; without rules that
-fit, all is allowed; an empty table gives an empty table; further columns are
-not read.
+repeated rows are judged one by one and count as pages; of equally long rules
+the first in order of text decides; of equal rules that differ in verdict, a
+block; without rules that fit, all is allowed; an empty table gives an empty
+table; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linecue.llm.common import checkpointed, table
+from linecue.llm.common import checkpointed, joined_apart, table
 
 UNIT = 1_000_000_000_000
 ROUNDS, CHECKPOINT_ROUNDS = 12, 4
@@ -39,8 +45,11 @@ TOLERANCE = 1_000_000
 #: Hundredths of the mass that follow edges; the rest returns to the seeds.
 DAMPING = 85
 MOST_TIMES = 9
-#: Rules become one expression; more than this many would need a join.
-MAX_RULES = 1000
+#: Rules that are one expression; more are joined.
+MOST_INLINE = 200
+PART_EDGES = 2000
+#: Rows of hosts that are broadcast to judge the pages; more are joined in a shuffle.
+MOST_BROADCAST = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 
@@ -71,24 +80,31 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def longest_first(rules: list[Rule]) -> list[Rule]:
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
-    return sorted(rules, key=lambda r: (-len(r.text), r.text))
+    """Different rules in the order in which they are tried."""
+    return sorted({r.text: r for r in sorted(rules, key=lambda r: r.verdict == "block")}.values(), key=lambda r: (-len(r.text), r.text))
 
 
 def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
-    """Text of the longest rule that fits, or null; of equally long ones the first in order of text."""
-    out = F.lit(None).cast("string")
+    """struct<text, verdict> of the longest rule that fits, or null; of equally long ones the first in order of text."""
+    out = F.lit(None).cast("struct<text:string,verdict:string>")
     for r in reversed(longest_first(rules)):
-        out = F.when(((host == r.host) | host.endswith(f".{r.host}")) & path.startswith(r.path), r.text).otherwise(out)
+        fits = ((host == r.host) | host.endswith(f".{r.host}")) & path.startswith(r.path)
+        out = F.when(fits, F.struct(F.lit(r.text).alias("text"), F.lit(r.verdict).alias("verdict"))).otherwise(out)
     return out
 
 
-def verdict_of(rule: Column, rules: list[Rule]) -> Column:
-    out = F.lit(None).cast("string")
-    for r in rules:
-        out = F.when(rule == r.text, r.verdict).otherwise(out)
-    return out
+def ruled(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """rows (host, path, further columns) with fit, the rule that decides."""
+    if len(rules) <= MOST_INLINE:
+        return rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
+    ordered = longest_first(rules)
+    table = rows.sparkSession.createDataFrame([(k, r.host, r.path, r.text, r.verdict) for k, r in enumerate(ordered)], "k long, domain string, path string, text string, verdict string")
+    labels = F.split("host", r"\.")
+    every = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    hosts = rows.where("host <> ''").select("host").distinct().select("host", F.explode(every).alias("domain"))
+    known = hosts.join(table, "domain").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("k", "path", "text", "verdict"))).alias("rules"))
+    first = F.get(F.filter("rules", lambda r: F.col("path").startswith(r["path"])), F.lit(0))
+    return joined_apart(rows, known, "host", "left").withColumn("fit", F.when(first.isNotNull(), F.struct(first["text"].alias("text"), first["verdict"].alias("verdict")))).drop("rules")
 
 
 def parent(host: Column) -> Column:
@@ -114,44 +130,48 @@ def domains(host: str) -> Column:
 
 
 def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(host, mass) after `rounds` of personalised PageRank, or more until it has settled; edges: a, b, pages; seeds: host, pages."""
-    total = seeds.agg(F.sum("pages").alias("all"))
-    start = seeds.join(F.broadcast(total)).select("host", F.floor(F.lit(float(UNIT)) * (F.col("pages") / F.col("all"))).cast("long").alias("seed"))  # one row is broadcast
-    out = edges.groupBy("a").agg(F.sum("pages").alias("out"))
-    shares = checkpointed(edges.join(out, "a").select("a", "b", "pages", "out"))
+    """(kind, host, mass) after `rounds` of personalised PageRank, or more until it has settled; edges: kind, a, b, pages; seeds: kind, host, pages."""
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    totals = seeds.groupBy("kind").agg(F.sum("pages").alias("all"))  # a row for each kind
+    start = seeds.join(F.broadcast(totals), "kind").select("kind", "host", F.floor(F.lit(float(UNIT)) * (F.col("pages") / F.col("all"))).cast("long").alias("seed"), one.alias("parts"))
+    out = edges.groupBy("kind", "a").agg(F.sum("pages").alias("out"), F.count("*").alias("n"))
+    out = checkpointed(out.select("kind", "a", "out", F.expr(f"1 + n div {PART_EDGES}").alias("parts")))
+    shares = edges.withColumn("of", F.struct("kind", "a")).join(out.select(F.struct("kind", "a").alias("of"), "out", "parts"), "of")
+    shares = checkpointed(shares.select("kind", F.col("a").alias("host"), "b", "pages", "out", F.expr("pmod(xxhash64(b), parts)").alias("part")))
+    start = start.union(out.select("kind", F.col("a").alias("host"), none, "parts")).groupBy("kind", "host").agg(F.sum("seed").alias("seed"), F.max("parts").alias("parts"))
     start = checkpointed(start)
-    mass = start.select("host", F.col("seed").alias("mass"))
-    none, reached, k = F.lit(0).cast("long"), -1, 0
+    mass, reached, k = start.select("kind", "host", F.col("seed").alias("mass"), "parts"), -1, 0
     while True:
         k += 1
         settling = k % CHECKPOINT_ROUNDS == 0
         flow = F.expr("cast(mass as decimal(19,0)) * cast(pages as decimal(18,0)) div cast(out as decimal(18,0))")
-        rows = shares.join(mass, shares.a == mass.host).select(F.col("b").alias("host"), flow.alias("flow"), none.alias("seed"), none.alias("before"))
-        rows = rows.union(start.select("host", none, "seed", none))
+        dealt = mass.where("mass > 0").select("kind", "host", "mass", F.explode(F.sequence(none, F.col("parts") - 1)).alias("part"))
+        rows = shares.join(dealt, ["kind", "host", "part"]).select("kind", F.col("b").alias("host"), flow.alias("flow"), none.alias("seed"), one.alias("parts"), none.alias("before"))
+        rows = rows.union(start.select("kind", "host", none, "seed", "parts", none))
         if settling:
-            rows = rows.union(mass.select("host", none, none, "mass"))
-        mass = rows.groupBy("host").agg(F.expr(f"({DAMPING} * sum(flow) + {100 - DAMPING} * sum(seed)) div 100").alias("mass"), F.sum("before").alias("before"))
+            rows = rows.union(mass.select("kind", "host", none, none, one, "mass"))
+        mass = rows.groupBy("kind", "host").agg(F.expr(f"({DAMPING} * sum(flow) + {100 - DAMPING} * sum(seed)) div 100").alias("mass"), F.max("parts").alias("parts"), F.sum("before").alias("before"))
         if settling:
             mass = checkpointed(mass)
             now = mass.where("mass > 0 or before > 0").agg(F.count(F.when(F.col("mass") > 0, 1)), F.max(F.abs(F.col("mass") - F.col("before"))), F.count(F.when((F.col("mass") > 0) & (F.col("before") == 0), 1))).first()
             if k >= rounds and now[0] == reached and not now[2] and (now[1] or 0) <= TOLERANCE:
-                return mass.select("host", "mass")
+                return mass.select("kind", "host", "mass")
             reached = now[0]
-        mass = mass.select("host", "mass")
+        mass = mass.select("kind", "host", "mass", "parts")
 
 
 def judge(pages: DataFrame, rules: list[Rule] = RULES, rounds: int = ROUNDS) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every page; pages: page_id, url, html."""
     host, path = host_and_path(F.col("url").cast("string"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html"))
-    rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("ruled", verdict_of(F.col("rule"), rules))
+    rows = ruled(pages.select("page_id", host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html")), rules)
     edges = checkpointed(host_edges(rows))
-    seeds = checkpointed(rows.where("ruled is not null").groupBy("host", "ruled").agg(F.count("*").alias("pages")))
-    trust = spread(edges, seeds.where("ruled = 'allow'").select("host", "pages"), rounds)
-    distrust = spread(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "pages"), seeds.where("ruled = 'block'").select("host", "pages"), rounds)
-    blocked = distrust.withColumnRenamed("mass", "distrust").join(trust, "host", "left").where(F.col("distrust") > MOST_TIMES * F.coalesce("mass", F.lit(0))).select("host", F.lit(True).alias("blocked"))
-    judged = rows.select("page_id", "host", "path", "rule", "ruled").join(blocked, "host", "left")
-    return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"))
+    seeds = checkpointed(rows.where("fit is not null").groupBy(F.col("fit.verdict").alias("kind"), "host").agg(F.count("*").alias("pages")))
+    both = edges.select(F.lit("allow").alias("kind"), "a", "b", "pages").union(edges.select(F.lit("block"), "b", "a", "pages"))
+    mass = spread(both, seeds, rounds).groupBy("host").agg(*(F.sum(F.when(F.col("kind") == k, F.col("mass")).otherwise(0)).alias(k) for k in ("allow", "block")))
+    blocked = checkpointed(mass.where(F.col("block") > MOST_TIMES * F.col("allow")).select("host", F.lit(True).alias("blocked")))
+    few = blocked.count() <= MOST_BROADCAST
+    judged = rows.select("page_id", "host", "path", "fit").join(F.broadcast(blocked) if few else blocked, "host", "left")
+    return judged.select("page_id", "host", "path", F.col("fit.text").alias("rule"), F.coalesce("fit.verdict", F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,13 +182,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql_spread(name: str, a: str, b: str, verdict: str) -> str:
     ctes = [
         f"{name}_seed AS (SELECT host, CAST(floor({UNIT}.0::DOUBLE * (pages::DOUBLE / sum(pages) OVER ()::DOUBLE)) AS BIGINT) AS seed FROM seeds WHERE ruled = '{verdict}')",
-        f"{name}_share AS (SELECT {a} AS a, {b} AS b, CAST(floor(1e6 * (pages::DOUBLE / sum(pages) OVER (PARTITION BY {a})::DOUBLE)) AS BIGINT) AS ppm FROM edges)",
+        f"{name}_share AS (SELECT {a} AS a, {b} AS b, pages::HUGEINT AS pages, (sum(pages) OVER (PARTITION BY {a}))::HUGEINT AS out FROM edges)",
         f"{name}_0 AS (SELECT host, seed AS mass FROM {name}_seed)",
     ]
     for k in range(1, ROUNDS + 1):
         ctes.append(
             f"{name}_{k} AS (SELECT host, CAST(({DAMPING} * sum(flow) + {100 - DAMPING} * sum(seed)) // 100 AS BIGINT) AS mass FROM ("
-            f"SELECT b AS host, mass * ppm // 1000000 AS flow, 0 AS seed FROM {name}_share JOIN {name}_{k - 1} ON a = host UNION ALL SELECT host, 0, seed FROM {name}_seed) GROUP BY host)"
+            f"SELECT b AS host, mass * pages // out AS flow, 0 AS seed FROM {name}_share JOIN {name}_{k - 1} ON a = host UNION ALL SELECT host, 0, seed FROM {name}_seed) GROUP BY host)"
         )
     return ",\n".join(ctes)
 

@@ -17,12 +17,12 @@ def split(url):
     return lower(host), re.match(r"[^?#]*", rest[len(host) :])[0]
 
 
-def brute(pages):
+def brute(pages, rules=uf.RULES):
     fitted, links, seeds = [], Counter(), {"allow": Counter(), "block": Counter()}
     for page, url, html in pages:
         host, path = split(url)
-        fits = [r for r in uf.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
-        rule = max(fits, key=lambda r: len(r.text), default=None)
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        rule = min(fits, key=lambda r: (-len(r.text), r.text), default=None)
         fitted.append((page, host, path, rule))
         if host:
             links.update({(host, lower(b)): 1 for b in set(re.findall(uf.LINK, html or ""))})
@@ -51,7 +51,7 @@ def brute(pages):
         for _ in range(uf.ROUNDS):
             flow = defaultdict(int)
             for (a, b), n in edges.items():
-                flow[b] += mass.get(a, 0) * int(1e6 * (n / out[a])) // 1_000_000
+                flow[b] += mass.get(a, 0) * n // out[a]
             mass = {h: (uf.DAMPING * flow[h] + (100 - uf.DAMPING) * seed.get(h, 0)) // 100 for h in {*flow, *seed}}
         return mass
 
@@ -98,6 +98,25 @@ def test_no_rules_and_empty_table(spark):
     assert uf.judge(df.where("false")).count() == 0
 
 
+def test_thousands_of_rules(spark):
+    rules = [uf.Rule(("allow", "block")[k % 2], f"h{k % 700}.d{k % 7}.org/{'ab'[k % 2] * (k % 5)}") for k in range(5000)] + [uf.Rule("block", "org/x"), uf.Rule("allow", "d3.org/x"), uf.Rule("block", "d4.org/y"), uf.Rule("block", "d4.org/a")]
+    rules = list({r.text: r for r in rules}.values())
+    pages = [(i, f"http://www.h{i % 900}.d{i % 9}.org/{'ab'[i % 2] * (i % 6)}{'x' * (i % 3 == 0)}", None) for i in range(400)] + [(i, f"http://q{i}.d{i % 9}.org/{'xyab'[i % 4]}", "") for i in range(400, 500)]
+    assert len(rules) > uf.MOST_INLINE
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    ruled = lambda rows: sorted(tuple(r) for r in rows if r[3] is not None)
+    got = uf.judge(df, rules).collect()
+    assert len(got) == len(pages) and ruled(got) == ruled(brute(pages, rules))
+
+
+def test_ties_and_equal_rules(spark):
+    df = spark.createDataFrame([("a.b.org", "/xy")], "host string, path string")
+    rules = [uf.Rule("allow", "org/x"), uf.Rule("block", "org/x"), uf.Rule("block", "b.org"), uf.Rule("allow", "org/y")]
+    for most in (rules, rules * 100):
+        assert tuple(uf.ruled(df, most).first().fit) == ("b.org", "block")
+        assert tuple(uf.ruled(df, most[:2] * 150).first().fit) == ("org/x", "block")
+
+
 def test_query_equals_sql(spark):
     same_as_duckdb(uf.op10_url_filter, uf.ORACLE, spark, "/root/testdata/sf0.01")
 
@@ -105,7 +124,16 @@ def test_query_equals_sql(spark):
 def test_rare_edges_and_far_hosts_get_mass(spark):
     far = [(f"h{k}.io", f"h{k + 1}.io", 1) for k in range(20)]
     edges = spark.createDataFrame([("hot.io", "common.io", 5_000_000), ("hot.io", "rare.io", 1), *far], "a string, b string, pages long")
-    seeds = spark.createDataFrame([("hot.io", 1), ("h0.io", 1)], "host string, pages long")
-    got = {r.host: r.mass for r in uf.spread(edges, seeds).collect()}
+    seeds = spark.createDataFrame([("k", "hot.io", 1), ("k", "h0.io", 1)], "kind string, host string, pages long")
+    got = {r.host: r.mass for r in uf.spread(edges.selectExpr("'k' AS kind", "*"), seeds).collect()}
     assert got["rare.io"] == 85 * (uf.UNIT // 2 * 15 // 100 // 5_000_001) // 100 > 0
     assert got["common.io"] > got["rare.io"] and got["h20.io"] > 0
+
+
+def test_a_hub_gives_to_each_of_its_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(uf, "PART_EDGES", 1000)
+    edges = spark.range(50_000).selectExpr("'k' AS kind", "'hub.io' AS a", "concat('n', id, '.io') AS b", "1L + id % 3 AS pages")
+    seeds = spark.createDataFrame([("k", "hub.io", 1)], "kind string, host string, pages long")
+    got = uf.spread(edges, seeds, 4).where("host <> 'hub.io'").groupBy("mass").count().orderBy("mass").collect()
+    out = sum(1 + i % 3 for i in range(50_000))
+    assert [(r.mass, r["count"]) for r in got] == [(85 * (uf.UNIT * 15 // 100 * n // out) // 100, (50_000 + 3 - n) // 3) for n in (1, 2, 3)]
