@@ -1,58 +1,21 @@
-"""Errors of the library; `located` puts file and line before a message."""
+"""What is raised where an input can't be used at all; problems of single rows are rows themselves."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 
-class LinecueError(Exception):
-    """Base of all errors, with the file and line it concerns, if known."""
+class Unusable(ValueError):
+    """An input with problems, all of which it lists."""
 
-    def __init__(self, message: str, *, path: str | None = None, line: int | None = None):
-        self.message, self.path, self.line = message, path, line
-        where = " ".join(filter(None, [path, f"line {line}" if line is not None else None]))
-        super().__init__(f"{where}: {message}" if where else message)
+    def __init__(self, problems: list[str]):
+        super().__init__("\n".join(problems))
+        self.problems = problems
 
 
-class ScriptError(LinecueError):
-    """A script is missing or can't be read."""
-
-
-class ScriptParseError(ScriptError):
-    """A script has problems; all are listed."""
-
-
-class AudioError(LinecueError):
-    """Audio files are missing or don't fit the mode."""
-
-
-class TranscriptionError(LinecueError):
-    """Recognized words can't be had."""
-
-
-class ModelLoadError(TranscriptionError):
-    """A recognition model can't be loaded."""
-
-
-class TimingFileError(LinecueError):
-    """A timing document is missing or of another kind."""
-
-
-class ChartMapError(LinecueError):
-    """A chart map is wrong or names paragraphs that can't be used."""
-
-
-class OutputError(LinecueError):
-    """An output can't be written."""
-
-
-def located(message: Column, path: Column, line: Column) -> Column:
-    """`path line N: message`, leaving out what is null."""
-    where = F.concat_ws(" ", path, F.concat(F.lit("line "), line.cast("string")))
-    return F.when(where == "", message).otherwise(F.concat(where, F.lit(": "), message))
-
-
-def in_line_order(problems: DataFrame) -> DataFrame:
-    """Problems sorted for reading: by script, then line, those without a line last."""
-    return problems.orderBy("script_id", F.asc_nulls_last("line"), "seq")
+def usable(rows: DataFrame, problems: DataFrame, most: int = 20) -> DataFrame:
+    """rows, or Unusable with the first `most` problems (script_id, line, message)."""
+    found = problems.orderBy("script_id", problems["line"].asc_nulls_last(), "message").limit(most).collect()
+    if found:
+        raise Unusable([f"script {p.script_id}" + (f", line {p.line}" if p.line is not None else "") + f": {p.message}" for p in found])
+    return rows

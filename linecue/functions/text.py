@@ -22,6 +22,7 @@ TENS = {"twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seve
 DIGITS = {"zero": "0", "oh": "0", **{word: str(n) for word, n in UNITS.items()}}
 _VALUE = UNITS | TEENS | TENS
 
+# Characters that count as an apostrophe.
 APOSTROPHES = "'’ʼ"
 _MARKS = regex.compile(
     rf"(?P<apostrophe>(?<=[\p{{L}}\p{{N}}])[{APOSTROPHES}](?=[\p{{L}}\p{{N}}]))"

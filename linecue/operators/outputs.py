@@ -1,7 +1,7 @@
 """Documents of each script as rows: chapter list and its warnings, markers, timing document and table.
 
 Every function gives one row a script (or a line), so that a sink is one
-`write`; `sources.sinks` turns rows into single files.
+`write`; `sources.files` turns rows into single files.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linecue.functions.timefmt import EdlSettings, chapter_clock, frame_of, timecode, to_millis
+from linecue.functions.timefmt import Timebase, chapter_clock, frame_of, timecode, to_millis
 
 LEAST_CHAPTERS, LEAST_SECONDS, FIRST_TOLERANCE = 3, 10, 1.0
 HEADER = "id,chapter,start,end,duration,confidence,status"
@@ -38,11 +38,11 @@ def chapter_warnings(chapters: DataFrame, ends: DataFrame) -> DataFrame:
     return skipped.union(none).union(late).union(short).union(few)
 
 
-def markers(spans: DataFrame, settings: EdlSettings) -> DataFrame:
+def markers(spans: DataFrame, base: Timebase) -> DataFrame:
     """(script_id, n, id, frame, begin, end): a numbered marker at the start of each found paragraph."""
     n = F.row_number().over(Window.partitionBy("script_id").orderBy("ord"))
-    rows = spans.where("start is not null").select("script_id", n.alias("n"), "id", frame_of(F.col("start"), settings).alias("frame"))
-    return rows.withColumns({"begin": timecode(F.col("frame"), settings), "end": timecode(F.col("frame") + 1, settings)})
+    rows = spans.where("start is not null").select("script_id", n.alias("n"), "id", frame_of(F.col("start"), base).alias("frame"))
+    return rows.withColumns({"begin": timecode(F.col("frame"), base), "end": timecode(F.col("frame") + 1, base)})
 
 
 def edl_text(marked: DataFrame, titles: DataFrame) -> DataFrame:

@@ -25,8 +25,8 @@ HEADING = r"^(#{1,6})(?:[ \t]+(.*?))?[ \t]*$"
 QUOTED = r"^>[ \t]?(.*)$"
 CHART_TAG = r"(?is)<!--\s*chart\s*:(.*?)-->"
 PAUSE_TAG = r"(?is)<!--\s*pause\s*:(.*?)-->"
-CHART_USAGE = "use <!-- chart: bet-size --> or <!-- chart: bet-size, sequence -->"
-PAUSE_USAGE = "use <!-- pause: 4.0 --> with the seconds as a positive number"
+CHART_USAGE = "use <!-- chart: sales-2020 --> or <!-- chart: sales-2020, sequence -->"
+PAUSE_USAGE = "use <!-- pause: 2.5 -->, a number of seconds above 0"
 
 
 def script_lines(scripts: DataFrame) -> DataFrame:

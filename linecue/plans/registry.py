@@ -19,7 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-EDL = timefmt.EdlSettings.parse(29.97, "01:00:00:00")
+EDL = timefmt.timebase(29.97)
 
 
 def query(sql: str | None = None, base: str = SQL) -> Callable[[Query], Query]:
