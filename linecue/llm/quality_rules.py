@@ -1,7 +1,8 @@
 """Quality rules in native expressions: base statistics of a text and a log-likelihood ratio of its n-grams.
 
 Words and word pairs are hashed (CRC-32) into buckets, whose number grows with
-the corpus: one for about BYTES_A_BUCKET bytes of text, MIN_BUCKETS at least.
+the corpus as its vocabulary does, about with the square root of its length:
+BUCKETS_A_ROOT for each unit of that root in bytes, MIN_BUCKETS at least.
 Two multinomials over the buckets are counted: one over every document, one
 over the documents that a trusted table names. A document's score is the mean
 over its n-grams of log(trusted share / raw share), so length doesn't matter;
@@ -10,8 +11,9 @@ and their sums whole numbers, so a verdict never depends on the order of rows.
 
 Texts are never shuffled for the counts unless more than MOST_BROADCAST trusted
 ids are known: they are read once for all documents and once for the trusted
-ones. For the scores the n-grams meet the table of weights by bucket; the table
-is broadcast up to MOST_BROADCAST buckets, beyond that n-grams are shuffled.
+ones. Up to MOST_INLINE buckets, their weights are an array in the plan and a
+text is scored in its row. Beyond that its n-grams meet the table of weights by
+bucket, which is broadcast up to MOST_BROADCAST buckets and shuffled above.
 
 Cases: a null or empty text has no words and fails the base rules; rows of
 equal or null doc_id are judged one by one; a null doc_id is never trusted;
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 
 from linecue.llm.common import checkpointed, document, table, words_of
 
-MIN_BUCKETS, BYTES_A_BUCKET = 1 << 14, 1024
-MOST_BROADCAST = 1 << 21
+MIN_BUCKETS, BUCKETS_A_ROOT = 1 << 14, 2
+MOST_INLINE, MOST_BROADCAST = 1 << 17, 1 << 21
 #: Mean log-likelihood ratio (in nats) of a kept document.
 LEAST_SCORE = -0.1
 MIN_WORDS = 50
@@ -40,7 +42,7 @@ SYMBOLS = "#*$%&|<>"
 
 def n_buckets(text_bytes: int) -> int:
     """A power of two."""
-    return max(MIN_BUCKETS, 1 << (text_bytes // BYTES_A_BUCKET).bit_length())
+    return max(MIN_BUCKETS, 1 << (BUCKETS_A_ROOT**2 * text_bytes).bit_length() // 2)
 
 
 def _bucket(gram: Column, buckets: int) -> Column:
@@ -64,8 +66,8 @@ def _repeated(hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), covered).otherwise(0)
 
 
-def base_statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words); row: the text's hash, as common.document has it."""
+def base_statistics(docs: DataFrame, *further: Column) -> DataFrame:
+    """(doc_id, row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, further); row: the text's hash, as common.document has it; further: columns of words."""
     body = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)
     out = docs.select("doc_id", document()["row"].alias("row"), F.col("text").cast("string").alias("text"))
@@ -80,16 +82,26 @@ def base_statistics(docs: DataFrame) -> DataFrame:
         (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _repeated(F.col("windows")).cast("long").alias("n_repeat_words"),
+        *further,
     )
 
 
-def grams(rows: DataFrame, buckets: int, *keep: str) -> DataFrame:
-    """(keep, first, bucket): a row for each word and for each pair of words; rows: text and keep; first marks one row of a text."""
-    words = rows.select(*keep, words_of(F.col("text")).alias("words"))
-    pairs = words.select(*keep, F.posexplode(_pairs(F.col("words"), F.size("words"))).alias("at", "p")).select(*keep, "at", "p.a", "p.b")
+def grams(rows: DataFrame, buckets: int) -> DataFrame:
+    """(bucket): a row for each word and for each pair of words; rows: text."""
+    pairs = rows.select(words_of(F.col("text")).alias("words")).select(F.explode(_pairs(F.col("words"), F.size("words"))).alias("p")).select("p.a", "p.b")
+    return pairs.select(F.explode(F.array(_bucket(F.col("a"), buckets), _bucket(F.concat("a", F.lit(" "), F.col("b")), buckets))).alias("bucket")).where("bucket is not null")
+
+
+def joined_sums(docs: DataFrame, weights: DataFrame, buckets: int) -> DataFrame:
+    """(doc, llr_sum) by a join of n-grams and weights; texts without words are left out."""
+    words = docs.select(document().alias("doc"), words_of(F.col("text").cast("string")).alias("words"))
+    pairs = words.select("doc", F.posexplode(_pairs(F.col("words"), F.size("words"))).alias("at", "p")).select("doc", "at", "p.a", "p.b")
     both = F.posexplode(F.array(_bucket(F.col("a"), buckets), _bucket(F.concat("a", F.lit(" "), F.col("b")), buckets))).alias("kind", "bucket")
-    found = pairs.select(*keep, "at", both).where("bucket is not null")
-    return found.select(*keep, ((F.col("at") == 0) & (F.col("kind") == 0)).alias("first"), "bucket")
+    weights = F.broadcast(weights) if buckets <= MOST_BROADCAST else weights
+    found = pairs.select("doc", "at", both).where("bucket is not null").join(weights, "bucket")
+    # Rows that are equal in id and text are summed together: their number is how often their first word came.
+    sums = found.groupBy("doc").agg(F.sum("w").alias("all"), F.count(F.when((F.col("at") == 0) & (F.col("kind") == 0), 1)).alias("copies"))
+    return sums.select("doc", F.expr("all div copies").alias("llr_sum"))
 
 
 def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
@@ -111,12 +123,15 @@ def judge(docs: DataFrame, trusted: DataFrame, least_score: float = LEAST_SCORE)
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     buckets = n_buckets(size)
     weights = bucket_weights(docs, trusted, buckets)
-    weights = F.broadcast(weights) if buckets <= MOST_BROADCAST else weights
-    found = grams(docs.select(document().alias("doc"), F.col("text").cast("string").alias("text")), buckets, "doc")
-    # Rows that are equal in id and text are summed together: their number is how often their first word came.
-    sums = found.join(weights, "bucket").groupBy("doc").agg(F.sum("w").alias("all"), F.count(F.when(F.col("first"), 1)).alias("copies"))
-    sums = sums.select("doc", F.expr("all div copies").alias("llr_sum"))
-    out = base_statistics(docs).withColumn("doc", F.struct("doc_id", "row")).join(sums.hint("merge"), "doc", "left").drop("doc")
+    if buckets <= MOST_INLINE:
+        known = dict(weights.collect())
+        inline = F.split(F.lit(",".join(str(known.get(k, 0)) for k in range(buckets))), ",").cast("array<bigint>")  # the optimizer folds this into one literal
+        of = lambda gram: F.coalesce(F.get(inline, _bucket(gram, buckets)), F.lit(0).cast("long"))
+        total = F.aggregate(_pairs(F.col("words"), F.size("words")), F.lit(0).cast("long"), lambda acc, x: acc + of(x["a"]) + of(F.concat(x["a"], F.lit(" "), x["b"])))
+        out = base_statistics(docs, total.alias("llr_sum"))
+    else:
+        sums = joined_sums(docs, weights, buckets).hint("merge")
+        out = base_statistics(docs).withColumn("doc", F.struct("doc_id", "row")).join(sums, "doc", "left").drop("doc")
     out = out.withColumns({"llr_sum": F.coalesce("llr_sum", F.lit(0).cast("long")), "n_grams": F.greatest(2 * F.col("n_words") - 1, F.lit(0))})
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     verdict = F.col("llr_sum") >= F.lit(round(least_score * 1e6)) * F.col("n_grams")
@@ -154,7 +169,7 @@ def sql(documents: str = "documents", labels: str = "labels") -> str:
   rules_crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, n::BIGINT)) AS crc),
   rules_grams AS (
     SELECT rid, w AS gram FROM rules_near UNION ALL SELECT rid, w || ' ' || w1 FROM rules_near WHERE w1 IS NOT NULL),
-  rules_size AS (SELECT greatest({MIN_BUCKETS}, 1 << length(bin(coalesce(sum(strlen(text)), 0)::BIGINT // {BYTES_A_BUCKET}))::BIGINT) AS buckets FROM rules_docs),
+  rules_size AS (SELECT greatest({MIN_BUCKETS}, 1 << (length(bin({BUCKETS_A_ROOT**2} * coalesce(sum(strlen(text)), 0)::BIGINT)) // 2)::BIGINT) AS buckets FROM rules_docs),
   rules_hex AS (SELECT gram, hex(encode(gram)) AS h FROM (SELECT DISTINCT gram FROM rules_grams)),
   rules_bytes AS (SELECT gram, list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS b FROM rules_hex),
   rules_bucket AS (

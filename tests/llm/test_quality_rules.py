@@ -39,8 +39,9 @@ def brute(rows, trusted):
     return [(d, sum(map(weight, g)), len(g)) for (d, _), g in zip(rows, grams)]
 
 
-@pytest.mark.parametrize("trusted, most", [([], 1 << 21), ([2, 4, 11], 1 << 21), ([2, 4, 11], 0)])
-def test_scores(spark, monkeypatch, trusted, most):
+@pytest.mark.parametrize("trusted, inline, most", [([], 1 << 17, 1 << 21), ([2, 4, 11], 1 << 17, 1 << 21), ([2, 4, 11], 0, 1 << 21), ([2, 4, 11], 0, 0)])
+def test_scores(spark, monkeypatch, trusted, inline, most):
+    monkeypatch.setattr(quality_rules, "MOST_INLINE", inline)
     monkeypatch.setattr(quality_rules, "MOST_BROADCAST", most)
     monkeypatch.setattr(quality_rules, "MIN_BUCKETS", 16)
     rows = [*enumerate(ODD), (4, "a b c"), (4, "a b c a b c"), (4, "a b c a b c"), (None, "a b d"), (None, "a b d"), (None, None)]
@@ -51,8 +52,8 @@ def test_scores(spark, monkeypatch, trusted, most):
 
 
 def test_buckets_grow_with_the_corpus():
-    assert quality_rules.n_buckets(0) == quality_rules.n_buckets(10_000_000) == 1 << 14
-    assert quality_rules.n_buckets(1 << 40) == 1 << 31
+    assert quality_rules.n_buckets(0) == quality_rules.n_buckets(1_000_000) == 1 << 14
+    assert quality_rules.n_buckets(1 << 40) == 1 << 21 and quality_rules.n_buckets(10**14) == 1 << 24
 
 
 def test_empty_table(spark):
