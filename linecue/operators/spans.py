@@ -60,26 +60,27 @@ def refine(spans: DataFrame, heard: DataFrame) -> DataFrame:
     share it in proportion. Only found paragraphs are neighbours. Missing
     paragraphs get null times.
     """
-    order = Window.partitionBy("script_id").orderBy("ord")
+    # Found paragraphs are each other's neighbours in a partition of their own, so the rows of the others stay in the frame.
+    order = Window.partitionBy("script_id", "found").orderBy("ord")
     last_word = heard.groupBy("script_id").agg(F.max("idx").alias("last_word"))
-    found = spans.where(F.col("status") != MISSING).join(last_word, "script_id")
-    found = found.withColumns({"free_from": F.coalesce(F.lag("last_idx").over(order) + 1, F.lit(0)), "free_to": F.coalesce(F.lead("first_idx").over(order) - 1, F.col("last_word"))})
+    rows = spans.withColumn("found", F.col("status") != MISSING).join(last_word, "script_id", "left")
+    rows = rows.withColumns({"free_from": F.coalesce(F.lag("last_idx").over(order) + 1, F.lit(0)), "free_to": F.coalesce(F.lead("first_idx").over(order) - 1, F.col("last_word"))})
     at = lambda key, value, name: heard.select("script_id", F.col("idx").alias(key), F.col(value).alias(name))
-    found = found.join(at("free_from", "start", "free_start"), ["script_id", "free_from"], "left").join(at("free_to", "end", "free_end"), ["script_id", "free_to"], "left")
+    rows = rows.join(at("free_from", "start", "free_start"), ["script_id", "free_from"], "left").join(at("free_to", "end", "free_end"), ["script_id", "free_to"], "left")
     zero = F.lit(0.0)
     wish_start = F.when(F.col("free_from") < F.col("first_idx"), F.greatest(zero, F.least(F.col("before") * F.col("word_length"), F.col("start") - F.col("free_start")))).otherwise(zero)
     wish_end = F.when(F.col("last_idx") < F.col("free_to"), F.greatest(zero, F.least(F.col("after") * F.col("word_length"), F.col("free_end") - F.col("end")))).otherwise(zero)
-    found = found.withColumns({"move_start": wish_start, "move_end": wish_end})
+    rows = rows.withColumns({"move_start": wish_start, "move_end": wish_end})
 
     def share(room: Column, mine: Column, other: Column) -> Column:
         room = F.greatest(zero, room)
         return F.when(mine + other > room, mine * (room / (mine + other))).otherwise(mine)
 
-    found = found.withColumns({"room_after": F.lead("start").over(order) - F.col("end"), "room_before": F.col("start") - F.lag("end").over(order), "next_move": F.lead("move_start").over(order), "last_move": F.lag("move_end").over(order)})
+    rows = rows.withColumns({"room_after": F.lead("start").over(order) - F.col("end"), "room_before": F.col("start") - F.lag("end").over(order), "next_move": F.lead("move_start").over(order), "last_move": F.lag("move_end").over(order)})
     end = F.col("end") + F.when(F.col("room_after").isNull(), F.col("move_end")).otherwise(share(F.col("room_after"), F.col("move_end"), F.col("next_move")))
     start = F.col("start") - F.when(F.col("room_before").isNull(), F.col("move_start")).otherwise(share(F.col("room_before"), F.col("move_start"), F.col("last_move")))
-    moved = found.select("script_id", "ord", start.alias("start"), end.alias("end"))
-    return spans.drop("start", "end").join(moved, ["script_id", "ord"], "left")
+    moved = rows.withColumns({"new_start": F.when(F.col("found"), start), "new_end": F.when(F.col("found"), end)})
+    return moved.select(*[c for c in spans.columns if c not in ("start", "end")], F.col("new_start").alias("start"), F.col("new_end").alias("end"))
 
 
 def compute_spans(paragraphs: DataFrame, matches: DataFrame, heard: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:

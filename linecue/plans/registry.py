@@ -310,7 +310,12 @@ def markers(s, d):
     return outputs.markers(true_spans(s, d), EDL)
 
 
-@query()
+@query(
+    f""", f AS (SELECT script_id, CAST(row_number() OVER (PARTITION BY script_id ORDER BY ord) AS INTEGER) AS n, id, {_FRAME} AS frame FROM spans WHERE s IS NOT NULL),
+    m AS (SELECT script_id, n, id, {_TIMECODE.format('frame')} || ' ' || {_TIMECODE.format('(frame + 1)')} AS t FROM f),
+    events AS (SELECT script_id, string_agg(format('\n{{:03d}}  001      V     C        {{}} {{}}  \n |C:ResolveColorBlue |M:{{}} |D:1\n', n, t, t, id), '' ORDER BY n) AS e FROM m GROUP BY script_id)
+    SELECT script_id, 'TITLE: script-' || script_id || '\nFCM: NON-DROP FRAME\n' || coalesce(e, '') AS text FROM (SELECT DISTINCT script_id FROM paragraphs) LEFT JOIN events USING (script_id)"""
+)
 def edl_text(s, d):
     titles = bridge.paragraphs(s, d).select("script_id").distinct().withColumn("title", F.concat(F.lit("script-"), F.col("script_id"), F.lit(".md")))
     return outputs.edl_text(outputs.markers(true_spans(s, d), EDL), titles)
@@ -340,7 +345,35 @@ def parsed_times(s, d):
     return table(s, d, "events").select("event_id", F.round(timefmt.parse_time(text), 1).alias("seconds"))
 
 
-@query()
+def _json_list(fields: dict[str, str], order: str) -> str:
+    """SQL of a JSON list of objects; fields: SQL of each value's text, null where there is none."""
+    values = " || ',' || ".join(f"""'"{name}":' || coalesce({value}, 'null')""" for name, value in fields.items())
+    return f"'[' || string_agg('{{' || {values} || '}}', ',' ORDER BY {order}) || ']'"
+
+
+def _quoted(value: str) -> str:
+    return f"""'"' || {value} || '"'"""
+
+
+_MS = "round_even({}, 3)::VARCHAR"
+
+
+@query(
+    _PACE
+    + _CHAPTERS
+    + f""",
+    warned AS (
+      SELECT script_id, ord * 10 AS seq, id || ': not found in the audio.' AS w FROM slowed WHERE status = 'missing'
+      UNION ALL SELECT script_id, ord * 10, format('{{}}: low confidence ({{:.2f}}). The narration may differ from the script.', id, confidence) FROM slowed WHERE status = 'low_confidence'
+      UNION ALL SELECT script_id, ord * 10 + CASE WHEN status = 'low_confidence' THEN 1 ELSE 0 END, format('{{}}: {{:.1f}} s for {{}} words, much longer than the other paragraphs. The script may be read more than once or out of order.', id, e - s, n) FROM slowed WHERE slow AND status <> 'missing'),
+    warning_lists AS (SELECT script_id, '[' || string_agg('"' || w || '"', ',' ORDER BY seq) || ']' AS ws FROM warned GROUP BY script_id),
+    laid AS (SELECT *, coalesce(sum(duration) OVER (PARTITION BY script_id ORDER BY part_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM parts),
+    audio AS (SELECT script_id, sum(duration) AS total, {_json_list({"file": _quoted("'part' || part_no || '.wav'"), "offset": _MS.format("o"), "duration": _MS.format("duration")}, "part_no")} AS xs FROM laid GROUP BY script_id),
+    chapter_lists AS (SELECT script_id, {_json_list({"title": _quoted("title"), "start": _MS.format("s"), "end": _MS.format("e"), "first": _quoted("first"), "last": _quoted("last")}, "chapter_no")} AS cs FROM chapters GROUP BY script_id),
+    paragraph_lists AS (SELECT script_id, {_json_list({"id": _quoted("id"), "chapter": _quoted("'Chapter ' || chapter_no"), "start": _MS.format("s"), "end": _MS.format("e"), "duration": _MS.format("(e - s)"), "confidence": _MS.format("confidence::DOUBLE"), "status": _quoted("status")}, "ord")} AS ps FROM spans GROUP BY script_id)
+    SELECT script_id, '{{"version":1,"tool":"linecue","script":"script-' || script_id || '.md","mode":"parts","offset":0.0,"total_duration":' || round_even(total, 3)::VARCHAR || ',"audio":' || xs || ',"chapters":' || cs || ',"paragraphs":' || ps || ',"warnings":' || coalesce(ws, '[]') || '}}' AS document
+    FROM audio JOIN chapter_lists USING (script_id) JOIN paragraph_lists USING (script_id) LEFT JOIN warning_lists USING (script_id)"""
+)
 def timing_documents(s, d):
     """The timing document of each script."""
     found = true_spans(s, d).withColumn("chapter", F.concat(F.lit("Chapter "), F.col("chapter_no")))
@@ -489,12 +522,39 @@ def chart_single(s, d):
     return timed.where(F.size("clips") == 0).select("script_id", "chart_ord", "id", F.round(F.col("start") * 100).cast("long").alias("start_cs"), F.round(F.col("duration") * 100).cast("long").alias("duration_cs"))
 
 
-@query()
+def _short(value: str) -> str:
+    return f"regexp_replace(regexp_replace(printf('%.3f', {value}), '0+$', ''), '[.]$', '.0')"
+
+
+_TIMED = (
+    _MEMBERS
+    + """,
+clip AS (SELECT *, round_even(s, 3) AS a, round_even(until - s, 3) AS d FROM good),
+timed AS (
+  SELECT script_id, chart_ord, any_value(chart) AS id, any_value(sequence) AS sequence, arg_min(a, k) AS a, round_even(arg_max(e, k) - arg_min(s, k), 3) AS whole, arg_min(d, k) AS d, max(d) FILTER (k > 0) AS step
+  FROM clip GROUP BY script_id, chart_ord)"""
+)
+
+
+@query(
+    _TIMED
+    + f""", clips AS (SELECT script_id, chart_ord, string_agg('      - {{ n: ' || (k + 1) || ', start: ' || {_short("a")} || ', duration: ' || {_short("d")} || ' }}\n', '' ORDER BY k) AS cs FROM clip GROUP BY ALL),
+    blocks AS (
+      SELECT script_id, chart_ord, '  ' || id || ':\n    start: ' || {_short("a")} || '\n    duration: ' || {_short("CASE WHEN sequence THEN d ELSE whole END")} || '\n'
+        || CASE WHEN sequence THEN '    step_duration: ' || {_short("step")} || '\n    clips:\n' || cs ELSE '' END AS b FROM timed JOIN clips USING (script_id, chart_ord))
+    SELECT script_id, 'charts:\n' || string_agg(b, '' ORDER BY chart_ord) AS text FROM blocks GROUP BY script_id"""
+)
 def chart_documents(s, d):
     return charts.timing_text(charts.chart_timing(bridge.charts(s, d), true_spans(s, d)))
 
 
-@query()
+@query(
+    _TIMED
+    + """ SELECT script_id, chart_ord, CAST(k AS INTEGER) AS seq, format('{}: {} has low confidence ({:.2f}), its time may be off.', chart, id, confidence) AS warning FROM good WHERE status = 'low_confidence'
+    UNION ALL SELECT script_id, chart_ord, 100, format('{}: the clip is only {:.1f} s long, a clip needs at least 2 s.', id, whole) FROM timed WHERE NOT sequence AND whole < 2
+    UNION ALL SELECT script_id, chart_ord, CAST(k + 101 AS INTEGER), format('{}: clip {} is only {:.1f} s long, a clip needs at least 2 s.', chart, k + 1, d) FROM clip WHERE sequence AND d < 2
+    UNION ALL SELECT script_id, chart_ord, CAST(k + 201 AS INTEGER), format('{}: clip {} ({:.1f} s) is much shorter than step_duration ({:.1f} s); trim it in the editor.', chart, k + 1, c.d, t.step) FROM clip c JOIN timed t USING (script_id, chart_ord) WHERE c.sequence AND k > 0 AND c.d < 0.5 * t.step"""
+)
 def chart_warnings(s, d):
     found, rows = true_spans(s, d), bridge.charts(s, d)
     return charts.timing_warnings(rows, found, charts.chart_timing(rows, found))
@@ -563,16 +623,69 @@ def paragraph_text_inline(s, d):
     return script.paragraphs(bridge.script_lines(s, d), script.INLINE).select("script_id", F.col("line").alias("owner"), "text")
 
 
-@query()
+_PARSED = rf""",
+raws AS (SELECT script_id, owner, string_agg(regexp_replace(text, '^>[ \t]?', ''), ' ' ORDER BY line) FILTER (kind = 'quote') AS raw FROM outline WHERE owner IS NOT NULL GROUP BY ALL),
+texts AS (SELECT script_id, owner, raw, {_CLEAN} AS text FROM raws),
+heads AS (SELECT script_id, chapter_key, regexp_replace(trim(string_split(trim(regexp_replace(text, '^#+', '')), ' / ')[-1]), '^\d+\.(?:\s+|$)', '') AS title, line FROM outline WHERE kind = 'heading' AND level IN (2, 3)),
+chart_parts AS (SELECT script_id, owner, line, generate_subscripts(cs, 1) - 1 AS seq, string_split(unnest(cs), ',') AS parts FROM (SELECT *, regexp_extract_all(text, '(?is)<!--\s*chart\s*:(.*?)-->', 1) AS cs FROM outline) WHERE len(cs) > 0),
+chart_cut AS (SELECT *, regexp_replace(parts[1], '^\s+|\s+$', '', 'g') AS id, regexp_replace(parts[2], '^\s+|\s+$', '', 'g') AS opt FROM chart_parts),
+chart_judged AS (
+  SELECT *, len(parts) = 2 AS sequence, CASE WHEN owner IS NULL THEN 'the chart tag is not under a paragraph' WHEN id = '' OR len(parts) > 2 THEN 'invalid chart tag ({script.CHART_USAGE})'
+    WHEN NOT regexp_matches(id, '^[a-z0-9-]+$') THEN 'chart id ''' || id || ''' may only use a-z, 0-9 and ''-''' WHEN len(parts) = 2 AND lower(opt) <> 'sequence' THEN 'unknown chart option ''' || opt || ''' (the only option is ''sequence'')' END AS problem FROM chart_cut),
+chart_tags AS (
+  SELECT j.* EXCLUDE problem, CASE WHEN j.problem IS NULL AND row_number() OVER (PARTITION BY j.script_id, j.owner, id, j.problem IS NULL ORDER BY j.line, seq) > 1 THEN 'chart ''' || id || ''' is tagged twice on P' || o.number ELSE j.problem END AS problem
+  FROM chart_judged j LEFT JOIN numbers o ON o.script_id = j.script_id AND o.line = j.owner),
+pause_cut AS (SELECT script_id, owner, line, generate_subscripts(ps, 1) - 1 AS seq, trim(unnest(ps)) AS p FROM (SELECT *, regexp_extract_all(text, '(?is)<!--\s*pause\s*:(.*?)-->', 1) AS ps FROM outline) WHERE len(ps) > 0),
+pause_judged AS (
+  SELECT *, CASE WHEN regexp_matches(p, '^\d+(\.\d+)?$') THEN p::DOUBLE END AS pause, CASE WHEN owner IS NULL THEN 'the pause tag is not under a paragraph' WHEN NOT regexp_matches(p, '^\d+(\.\d+)?$') OR try_cast(p AS DOUBLE) <= 0 THEN 'invalid pause tag ({script.PAUSE_USAGE})' END AS problem FROM pause_cut),
+pause_ranked AS (SELECT *, row_number() OVER w AS nth, first_value(line) OVER w AS first_line FROM pause_judged WINDOW w AS (PARTITION BY script_id, owner, problem IS NULL ORDER BY line, seq)),
+pause_tags AS (
+  SELECT r.* EXCLUDE problem, CASE WHEN r.problem IS NULL AND nth > 1 THEN 'P' || o.number || ' has two pause tags (first at line ' || first_line || ')' ELSE r.problem END AS problem
+  FROM pause_ranked r LEFT JOIN numbers o ON o.script_id = r.script_id AND o.line = r.owner),
+parsed AS (
+  SELECT o.script_id, CAST(dense_rank() OVER (PARTITION BY o.script_id ORDER BY o.chapter_key) - 1 AS INTEGER) AS chapter_no, coalesce(h.title, 'Intro') AS chapter, CAST(row_number() OVER (PARTITION BY o.script_id ORDER BY o.line) - 1 AS INTEGER) AS ord,
+    'P' || o.number AS id, o.number, o.line, t.text, coalesce(c.tags, '') AS tags, p.pause_after
+  FROM outline o JOIN texts t ON t.script_id = o.script_id AND t.owner = o.line AND t.raw IS NOT NULL AND t.text <> ''
+  LEFT JOIN heads h ON h.script_id = o.script_id AND h.chapter_key = o.chapter_key
+  LEFT JOIN (SELECT script_id, owner, string_agg(id || ':' || sequence || ':' || line, ' ' ORDER BY line, seq) AS tags FROM chart_tags WHERE problem IS NULL GROUP BY ALL) c ON c.script_id = o.script_id AND c.owner = o.line
+  LEFT JOIN (SELECT script_id, owner, min(pause) AS pause_after FROM pause_tags WHERE problem IS NULL GROUP BY ALL) p ON p.script_id = o.script_id AND p.owner = o.line
+  WHERE o.kind = 'paragraph')"""
+
+
+@query(_PARSED + " SELECT * FROM parsed", LINES_SQL)
 def script_paragraphs(s, d):
-    return script.paragraphs(bridge.script_lines(s, d))
+    """Paragraphs of scripts, their chart tags as id:sequence:line."""
+    tags = F.array_join(F.transform("charts", lambda c: F.concat_ws(":", c["id"], c["sequence"].cast("string"), c["line"].cast("string"))), " ")
+    return script.paragraphs(bridge.script_lines(s, d)).withColumn("tags", tags).drop("charts")
 
 
-@query()
+@query(
+    _PARSED
+    + r""", lasts AS (SELECT script_id, arg_max(owner, owner) AS owner FROM texts WHERE text <> '' GROUP BY script_id),
+    ordered AS (SELECT script_id, line, number, min(line) OVER (PARTITION BY script_id, number) AS first_line, lag(number) OVER (PARTITION BY script_id ORDER BY line) AS before FROM numbers WHERE kind = 'paragraph')
+    SELECT script_id, line, 0 AS seq, CASE WHEN line > first_line THEN 'P' || number || ' is repeated (first at line ' || first_line || ')' ELSE 'P' || number || ' comes after P' || before || ' but numbers must increase' END AS message FROM ordered WHERE line > first_line OR number < before
+    UNION ALL SELECT script_id, line, 1, 'P' || number || ' is missing a separator after the identifier (use ''-'', '':'', ''.'', an en dash or an em dash)' FROM outline WHERE kind = 'unseparated'
+    UNION ALL SELECT script_id, line, 1, 'chapter heading has no title' FROM heads WHERE title = ''
+    UNION ALL SELECT script_id, line, 2, problem FROM chart_tags WHERE problem IS NOT NULL
+    UNION ALL SELECT script_id, line, 3, problem FROM pause_tags WHERE problem IS NOT NULL
+    UNION ALL SELECT o.script_id, o.line, 4, CASE WHEN raw IS NULL THEN 'P' || number || ' has no blockquote (use --text inline?)' ELSE 'P' || number || ' has no text to align (empty after cleaning)' END
+      FROM outline o LEFT JOIN texts t ON t.script_id = o.script_id AND t.owner = o.line WHERE o.kind = 'paragraph' AND (raw IS NULL OR t.text = '')
+    UNION ALL SELECT script_id, NULL, 5, 'no paragraphs found' FROM outline GROUP BY script_id HAVING count(*) FILTER (kind = 'paragraph') = 0
+    UNION ALL SELECT p.script_id, p.line, 6, 'P' || o.number || ' is the last paragraph, no paragraph follows its pause'
+      FROM pause_tags p JOIN lasts USING (script_id, owner) JOIN numbers o ON o.script_id = p.script_id AND o.line = p.owner WHERE problem IS NULL""",
+    LINES_SQL,
+)
 def script_problems(s, d):
     return script.problems(bridge.script_lines(s, d))
 
 
-@query()
+@query(
+    _PARSED
+    + """, tagged AS (SELECT t.script_id, t.id, p.ord, t.line, p.id AS para, t.sequence FROM chart_tags t JOIN parsed p ON p.script_id = t.script_id AND p.line = t.owner WHERE t.problem IS NULL),
+    made AS (SELECT script_id, id, min(ord * 1000000 + line) AS first, string_agg(para, ' ' ORDER BY ord, line) AS paragraphs, arg_min(sequence, line) AS sequence, count(DISTINCT sequence) AS kinds, min(line) AS line FROM tagged GROUP BY ALL)
+    SELECT script_id, id, paragraphs, sequence, kinds, line, CAST(row_number() OVER (PARTITION BY script_id ORDER BY first, id) - 1 AS INTEGER) AS chart_ord FROM made""",
+    LINES_SQL,
+)
 def charts_of_tags(s, d):
-    return charts.charts_of_tags(script.paragraphs(bridge.script_lines(s, d)))
+    """Charts that the tags of scripts make, their paragraphs as one text."""
+    return charts.charts_of_tags(script.paragraphs(bridge.script_lines(s, d))).withColumn("paragraphs", F.array_join("paragraphs", " "))
