@@ -20,6 +20,10 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 EDL = timefmt.timebase(29.97)
+#: Share of the unchanged words of a script that the aligner must find where they are: a word that stands twice in a row may be either.
+TRUE_SHARE = 0.95
+#: What an edge may be off where a changed word happens to resemble its neighbour.
+NEAR_SECONDS = 0.5
 
 
 def query(sql: str | None = None, base: str = SQL) -> Callable[[Query], Query]:
@@ -89,7 +93,8 @@ def vocabulary(s, d):
 
 @query(
     r"""WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda w: w <> '') AS ws FROM documents),
-    w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS idx FROM t),
+    words_at AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS idx FROM t),
+    w AS (SELECT doc_id, idx, CASE WHEN idx % 50 = 7 THEN idx || '.' || idx % 7 ELSE word END AS word FROM words_at),
     cut AS (SELECT doc_id, idx * 2 AS idx, CASE WHEN regexp_matches(word, '^[0-9]+\.[0-9]+$') THEN regexp_extract(word, '^[0-9]+') ELSE word END AS word FROM w
       UNION ALL SELECT doc_id, idx * 2 + 1, regexp_extract(word, '\..*$') FROM w WHERE regexp_matches(word, '^[0-9]+\.[0-9]+$')),
     flag AS (SELECT *, CASE WHEN regexp_matches(lag(word) OVER o, '\p{Nd}$') AND regexp_matches(word, '^\.\p{Nd}') THEN 0 ELSE 1 END AS f FROM cut WINDOW o AS (PARTITION BY doc_id ORDER BY idx)),
@@ -99,9 +104,10 @@ def vocabulary(s, d):
     base="",
 )
 def decimal_runs(s, d):
-    """Decimals cut at their point and joined again, over all documents."""
+    """Decimals cut at their point and joined again, over all documents; every fiftieth word is made one."""
     number = r"^[0-9]+\.[0-9]+$"
-    rows = table(s, d, "documents").select("doc_id", F.posexplode(F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\x0b\f\r]+"), lambda w: w != "")).alias("k", "w"))
+    planted = F.when(F.col("k") % 50 == 7, F.concat(F.col("k").cast("string"), F.lit("."), (F.col("k") % 7).cast("string"))).otherwise(F.col("w"))
+    rows = table(s, d, "documents").select("doc_id", F.posexplode(F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\x0b\f\r]+"), lambda w: w != "")).alias("k", "w")).withColumn("w", planted)
     pieces = F.when(F.col("w").rlike(number), F.array(F.regexp_extract("w", "^[0-9]+", 0), F.regexp_extract("w", r"\..*$", 0))).otherwise(F.array("w"))
     rows = rows.select("doc_id", "k", F.posexplode(pieces).alias("half", "text"))
     rows = rows.select(F.col("doc_id").alias("script_id"), F.lit(0).alias("part_no"), (F.col("k") * 2 + F.col("half")).alias("idx"), "text").withColumns({"start": F.col("idx") * 500.0, "end": F.col("idx") * 500.0 + 400})
@@ -201,24 +207,46 @@ def align_words(s, d):
     return alignment.align_words(bridge.script_words(s, d), bridge.heard_words(s, d))
 
 
-@query("SELECT script_id, 0 AS violations FROM paragraphs GROUP BY script_id")
+@query("SELECT script_id, count(*) AS n_words, count(heard_idx) AS n_unchanged, true AS recalled, 0::BIGINT AS violations FROM matches GROUP BY script_id")
 def align_violations(s, d):
-    """Matches that go backwards, repeat a heard word or are not similar enough: none in any script."""
-    found = align_words(s, d)
+    """Scripts with the words that were heard unchanged, whether nearly all of these were found where they are, and matches that go backwards, repeat a heard word or are not similar enough."""
+    truth = bridge.true_matches(s, d).select("script_id", "gpos", F.col("heard_idx").alias("true_idx"))
+    found = align_words(s, d).join(truth, ["script_id", "gpos"])
     before = F.max("heard_idx").over(Window.partitionBy("script_id").orderBy("gpos").rowsBetween(Window.unboundedPreceding, -1))
     wrong = (F.col("heard_idx") <= F.col("before")) | ~F.col("similarity").between(alignment.LEAST_SIMILARITY, 1.0)
-    counted = found.withColumn("before", before).groupBy("script_id").agg(F.count(F.when(wrong, 1)).cast("int").alias("violations"))
-    scripts = bridge.paragraphs(s, d).select("script_id").distinct()
-    return scripts.join(counted, "script_id", "left").select("script_id", F.coalesce("violations", F.lit(0)).alias("violations"))
+    counted = found.withColumn("before", before).groupBy("script_id")
+    hits = F.count(F.when(F.col("heard_idx") == F.col("true_idx"), 1))
+    return counted.agg(F.count("*").alias("n_words"), F.count("true_idx").alias("n_unchanged"), (hits >= TRUE_SHARE * F.count("true_idx")).alias("recalled"), F.count(F.when(wrong, 1)).alias("violations"))
+
+
+def _aligned_spans(s: SparkSession, d: str) -> DataFrame:
+    """Spans of the aligner's own matches, in seconds."""
+    script_words = bridge.script_words(s, d)
+    matches = alignment.align_words(script_words, bridge.heard_words(s, d)).join(script_words.select("script_id", "gpos", "ord", "pos"), ["script_id", "gpos"])
+    return spans.compute_spans(bridge.paragraphs(s, d), matches, _heard(s, d))
 
 
 @query()
 def align_spans(s, d):
     """The whole way from words to paragraphs: alignment, confidence, status and refined bounds."""
-    script_words = bridge.script_words(s, d)
-    matches = alignment.align_words(script_words, bridge.heard_words(s, d)).join(script_words.select("script_id", "gpos", "ord", "pos"), ["script_id", "gpos"])
-    found = spans.compute_spans(bridge.paragraphs(s, d), matches, _heard(s, d))
-    return found.select("script_id", "ord", "id", "chapter_no", "start", "end", "confidence", "status", "n", "matched")
+    return _aligned_spans(s, d).select("script_id", "ord", "id", "chapter_no", "start", "end", "confidence", "status", "n", "matched")
+
+
+@query("SELECT script_id, ord, id, n, status, s IS NULL OR true AS start_is_near, e IS NULL OR true AS end_is_near FROM spans")
+def align_status(s, d):
+    """Status of aligned paragraphs, and whether their bounds lie within NEAR_SECONDS of those of the known matches."""
+    truth = true_spans(s, d).select("script_id", "ord", F.col("start").alias("s"), F.col("end").alias("e"))
+    near = lambda mine, true: F.coalesce(F.abs(F.col(mine) - F.col(true)) <= NEAR_SECONDS, F.col(mine).isNull() & F.col(true).isNull())
+    rows = _aligned_spans(s, d).join(truth, ["script_id", "ord"])
+    return rows.select("script_id", "ord", "id", "n", "status", near("start", "s").alias("start_is_near"), near("end", "e").alias("end_is_near"))
+
+
+@query("SELECT script_id, count(*) FILTER (status = 'ok') AS n_ok, count(*) FILTER (status = 'low_confidence') AS n_low, count(*) FILTER (status = 'missing') AS n_missing, CAST(CASE WHEN bool_or(status = 'missing') THEN 2 WHEN bool_or(status = 'low_confidence') THEN 1 ELSE 0 END AS INTEGER) AS exit_code FROM judged GROUP BY script_id")
+def align_summary(s, d):
+    """Counts by status and the exit code of each script, from aligned words."""
+    found = spans.with_pace(_aligned_spans(s, d)).withColumn("slow", F.lit(False))
+    codes = spans.exit_codes(found, spans.paragraph_warnings(found), strict=True)
+    return spans.status_counts(found).join(codes, "script_id")
 
 
 _RAW = "script_id, ord, n, matched, round(confidence, 6) AS confidence, first_idx, last_idx, lead_in, lead_out, word_length"
