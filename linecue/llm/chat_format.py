@@ -3,7 +3,8 @@
 A layout is known by the SHA-256 of its nested field paths, in order of name
 and without types (`messages[].role` is a field of an array's elements).
 MAPPINGS says for each known set of paths where the turns stand; a table's
-columns and a JSON record in a string column are fingerprinted alike. Conversations of all
+columns and a JSON record in a string column are fingerprinted alike. Fields
+whose names no mapping has (an id, a source, scores) don't count. Conversations of all
 layouts become (conv_id, turns array<struct<role, text>>), are written with
 one template, and can be read back from it without loss.
 
@@ -16,8 +17,8 @@ Cases: null texts and roles count as empty; rows of a conversation are put in
 order of turn, then role, then text, null first, so that ties and repeated
 rows have one order; a null conv_id is a conversation of its own; records of
 an unknown layout, and what isn't JSON, have null turns and can be listed by
-their fingerprint; an empty table gives an empty table; further columns change a
-table's fingerprint, so select those of the layout first.
+their fingerprint; an empty table gives an empty table; further columns of a
+table and further fields of records and of their turns are passed over.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ START, SEP, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Never left standing inside a text: this template's marks and those of common others.
 CONTROL = [START, SEP, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>"]
 TURNS = "array<struct<role:string,text:string>>"
+#: Depth to which fields that no mapping knows may be nested.
+LEVELS = 4
 
 
 @dataclass(frozen=True)
@@ -98,11 +101,18 @@ def field_paths(kind: DataType, at: str = "") -> list[str]:
     return [at]
 
 
+#: Names of fields that mappings of records know.
+FIELDS = sorted({part.removesuffix("[]") for m in MAPPINGS if not m.rows for p in m.paths for part in p.split(".")})
+
+
 def json_fingerprint(record: Column) -> Column:
-    """Fingerprint of a JSON record's field paths; null if it is no JSON object."""
+    """Fingerprint of a JSON record's field paths, those of FIELDS; null if it is no JSON object."""
     found = F.schema_of_variant(F.try_parse_json(record))
     leaf = r"[A-Z_]+(?:\([0-9, ]+\))?"
     paths = F.regexp_replace(F.regexp_replace(found, f": {leaf}(?=[,>])", ""), f"ARRAY<{leaf}>", "ARRAY<>")
+    other = rf"(?<=[< ])(?!(?:{'|'.join(FIELDS)})[,>:])[^<>,: ]+(?:: (?:OBJECT<>|ARRAY<>|ARRAY<OBJECT<>>))?(?=[,>])"
+    for _ in range(LEVELS):  # from the innermost fields outwards
+        paths = F.regexp_replace(F.regexp_replace(paths, other, ""), "(?<=<)(?:, )+|(?:, )+(?=[,>])", "")
     return F.when(found.startswith("OBJECT<"), F.sha2(paths, 256))
 
 
@@ -146,10 +156,11 @@ def from_json(df: DataFrame, record: str, key: str = "conv_id") -> DataFrame:
 
 def from_rows(df: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
     """(key, fingerprint, turns) of a table with a row a turn, by the mapping that its fingerprint selects."""
-    found = fingerprint(field_paths(df.schema))
-    mapping = BY_FINGERPRINT.get(found)
-    if mapping is None or mapping.rows is None:
-        raise ValueError(f"no mapping for rows of the fields {sorted(field_paths(df.schema))}")
+    given = set(field_paths(df.schema))
+    mapping = max((m for m in MAPPINGS if m.rows and given.issuperset(m.paths)), key=lambda m: len(m.paths), default=None)
+    if mapping is None:
+        raise ValueError(f"no mapping for rows of the fields {sorted(given)}")
+    found = fingerprint(mapping.paths)
     role, text = mapping.rows
     turn = F.struct(F.col(order).alias("at"), _role(F.col(role), mapping).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = df.groupBy(key).agg(F.sort_array(F.collect_list(turn)).alias("rows"))
@@ -213,9 +224,10 @@ PROBE = "</s>[INST] ok [/INST]"
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one of control strings, formatted and read back."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.explode(F.expr("array(struct(0L as turn, 'user' as role), struct(1L as turn, 'assistant' as role))")).alias("t")).select("conv_id", "t.turn", "t.role", F.lit(PROBE).alias("text"))
-    return digests(format_turns(from_rows(rows.unionByName(probe))))
+    turns = "array(struct('user' AS from, probe AS value, 0 AS rank), struct('assistant' AS from, probe AS value, 1 AS rank))"
+    probe = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(PROBE).alias("probe")).select("conv_id", F.expr(f"to_json(struct('probe' AS source, {turns} AS conversations))").alias("record"))
+    rows = from_rows(table(spark, sf_dir, "conversations"))
+    return digests(format_turns(rows.unionByName(from_json(probe, "record"))))
 
 
 def _sql_escape(text: str) -> str:

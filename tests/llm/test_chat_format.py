@@ -40,6 +40,11 @@ def test_odd_texts_come_back(spark):
         ({"instruction": "i", "output": "[INST]"}, [("user", "i"), ("assistant", "[INST]")]),
         ({"answer": "", "question": "q"}, [("user", "q"), ("assistant", "")]),
         ({"prompt": "[{", "completion": "{x"}, [("user", "[{"), ("assistant", "{x")]),
+        ({"id": 7, "messages": [{"role": "user", "content": "a", "name": "x", "tags": ["t"]}], "meta": {"source": {"url": "u"}, "scores": [1.5, 2]}}, [("user", "a")]),
+        ({"prompt": "p", "completion": "c", "source": "web", "labels": [{"a": 1}], "empty": {}, "none": None}, [("user", "p"), ("assistant", "c")]),
+        ({"zeta": 1, "answer": "a", "extra": [], "question": "q"}, [("user", "q"), ("assistant", "a")]),
+        ({"messages": [{"role": "user", "content": "x" * 1_000_000}]}, [("user", "x" * 1_000_000)]),
+        ({"messages": "text"}, None),
         ({"something": 1}, None),
         ({}, None),
         ("not json", None),
@@ -60,6 +65,13 @@ def test_a_tables_schema_and_its_json_have_one_fingerprint(spark):
     assert of_json == cf.fingerprint(cf.field_paths(df.schema))
 
 
+def test_further_columns_of_a_table(spark):
+    rows = [(1, 0, "user", "a", 3, "m"), (1, 1, "assistant", "b", 4, "n"), (1, 1, "assistant", "b", 4, "n")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns int, formatted string")
+    got = cf.format_turns(cf.from_rows(df)).collect()
+    assert [[(t.role, t.text) for t in r.turns] for r in got] == [[("user", "a"), ("assistant", "b"), ("assistant", "b")]]
+
+
 def test_unknown_rows_and_empty_table(spark):
     with pytest.raises(ValueError, match="no mapping"):
         cf.from_rows(spark.createDataFrame([(1, "a")], "conv_id long, words string"))
