@@ -81,7 +81,7 @@ def records_of_page(key: str, url: str, payload: bytes, digest: str, stored: str
     """The records of one page; stored: the record that holds its payload, None for itself."""
     name, target = f"<urn:page:{key}>", " ".join(url.split())
     common = [("WARC-Date", DATE), ("WARC-Target-URI", target)]
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Payload-Length: {len(payload)}\r\n"
+    http = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if stored is not None:
         about = [("WARC-Type", "revisit"), ("WARC-Record-ID", name), *common, ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Profile", REVISIT), ("WARC-Refers-To", f"<urn:page:{stored}>"), ("Content-Type", "application/http; msgtype=response")]
         return [record(about, f"{http}\r\n".encode())]
@@ -208,7 +208,7 @@ def reassemble(records: DataFrame) -> DataFrame:
     parts = records.where("origin is not null or segment is not null").withColumn("origin", F.coalesce("origin", "record_id"))
     first = lambda c: F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c)
     joined = parts.groupBy("origin").agg(*(first(c) for c in ("record_id", "type", "target", "digest", "refers_to")), F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"))
-    block = F.aggregate("parts", F.lit(b""), lambda acc, p: F.concat(acc, p["block"]))
+    block = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["block"])), ""))  # joined at once: a concat for each part would copy all before it
     numbers = F.transform("parts", lambda p: p["segment"])
     joined = joined.withColumn("block", block)
     error = F.when(numbers != F.sequence(F.lit(1), F.size("parts")), "a segment is missing or twice there").when(F.col("total").isNull(), "the last segment is missing").when(F.octet_length("block") != F.col("total"), "the total length differs")
@@ -217,7 +217,7 @@ def reassemble(records: DataFrame) -> DataFrame:
 
 
 def payloads(records: DataFrame) -> DataFrame:
-    """record_id, type, target, digest, refers_to, payload (null for revisits), payload_length, computed digest, error."""
+    """record_id, type, target, digest, refers_to, payload and payload_length (null for revisits), computed digest, error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,8 +233,6 @@ def payloads(records: DataFrame) -> DataFrame:
                         if kind == "response":
                             payload = unchunked(body) if about.get(b"transfer-encoding") == b"chunked" else body
                             length = len(payload)
-                        else:
-                            length = int(about[b"x-payload-length"])
                     except (ValueError, KeyError) as e:
                         payload, error = None, f"broken block: {e}"
                 found.append((payload, length, None if payload is None else payload_digest(payload), error))
@@ -257,14 +255,14 @@ def archived_pages(pages: DataFrame, **sizes) -> DataFrame:
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, error string")
     found = payloads(reassemble(read_records(spark, path)))
     wrong = F.when((F.col("type") == "response") & (F.col("computed") != F.col("digest")), "the digest differs")
-    return found.select(
-        page_of(F.col("record_id")).alias("page_id"),
-        F.col("payload_length").alias("payload_bytes"),
-        F.coalesce("computed", "digest").alias("payload_digest"),
-        F.col("type").alias("record_type"),
-        page_of(F.col("refers_to")).alias("refers_to"),
-        F.coalesce("error", wrong).alias("error"),
-    )
+    found = checkpointed(found.select("record_id", "type", "refers_to", "payload_length", F.coalesce("computed", "digest").alias("payload_digest"), F.coalesce("error", wrong).alias("error")))
+    # What a revisit's payload is, the response that it refers to tells.
+    stored = found.where("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("payload_length").alias("stored_length"))
+    revisits = found.where("type <> 'response'").join(stored, "refers_to", "left")
+    lost = F.when(F.col("stored_length").isNull(), "the response it refers to is missing")
+    revisits = revisits.select("record_id", "type", "refers_to", F.col("stored_length").alias("payload_length"), "payload_digest", F.coalesce("error", lost).alias("error"))
+    found = found.where("type = 'response'").unionByName(revisits)
+    return found.select(page_of(F.col("record_id")).alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", F.col("type").alias("record_type"), page_of(F.col("refers_to")).alias("refers_to"), "error")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
