@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from linecue.llm.common import table
 
 NONE, UNKNOWN = "none", "unknown"
-#: Bounds of what is taken from the corpus to learn from: documents, characters of each, and lines of them in all.
-NEGATIVE_DOCS, NEGATIVE_CHARS, NEGATIVES = 200, 20_000, 1500
+#: Bounds of what is taken from the corpus to learn from: documents, read whole, and lines of them in all.
+NEGATIVE_DOCS, NEGATIVES = 200, 1500
 LEAST_PROBABILITY, LEAST_PERCENT, WIDTH = 0.5, 80, 5
 MILLION = 1_000_000
 #: Words of the windows; a notice fills two thirds of one of them, or it is longer and fills them all.
@@ -64,6 +64,7 @@ TEMPLATES = {
         "This project is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction.",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
     ],
     "gpl-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -81,6 +82,9 @@ TEMPLATES = {
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Released under the BSD 3-Clause License.",
     ],
@@ -88,6 +92,26 @@ TEMPLATES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License.",
+    ],
+    "zlib": [
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    ],
+    "boost-1.0": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software.",
+    ],
+    "epl-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "Licensed under the Eclipse Public License, version 2.0.",
+    ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
     "cc-by-nc": [
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
@@ -187,7 +211,7 @@ class Classifier:
 
 def corpus_lines(docs: DataFrame) -> list[str]:
     """At most NEGATIVES lines of at most NEGATIVE_DOCS documents, none of which holds a word of RIGHTS or half of a template or of OTHER_TERMS; the same ones whatever the partitioning."""
-    some = docs.select("doc_id", F.substring(F.col("text").cast("string"), 1, NEGATIVE_CHARS).alias("text")).where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(NEGATIVE_DOCS)
+    some = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(NEGATIVE_DOCS)
     lines = some.select(F.explode(F.split("text", "\n")).alias("line")).where(F.length(F.trim("line")) > 0).distinct()
     found = [r.line for r in lines.orderBy(F.xxhash64("line"), "line").limit(NEGATIVES).collect()]
     known = [set(_grams(plain_words(t))) for of in [*TEMPLATES.values(), OTHER_TERMS] for t in of]

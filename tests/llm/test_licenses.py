@@ -56,6 +56,15 @@ def test_templates_are_known_and_other_lines_are_not(spark, model):
     assert len(unknown) == len(licenses.OTHER_TERMS) and {r.family for r in unknown} == {licenses.UNKNOWN}
 
 
+def test_notices_wrapped_over_lines_and_inside_long_ones(spark, model):
+    isc, mit = licenses.TEMPLATES["isc"][0], licenses.TEMPLATES["mit"][2]
+    wrap = lambda t, n: "\n".join(t[i : i + n] for i in range(0, len(t), n)) if " " not in t else "\n".join(" ".join(t.split()[i : i + 9]) for i in range(0, len(t.split()), 9))
+    prose = "the boats came back late and nobody had lit the lamp above the door " * 30
+    docs = [(1, wrap(isc, 72)), (2, f"{prose}{mit} {prose}"), (3, prose), (4, f"{prose}\n# {wrap(mit, 72)}\n{prose}")]
+    got = licenses.scan_passages(spark.createDataFrame(docs, "doc_id long, text string"), model).where("confirmed").collect()
+    assert {(r.doc_id, r.family) for r in got} == {(1, "isc"), (2, "mit"), (4, "mit")}
+
+
 def test_empty_table(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
