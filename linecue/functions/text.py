@@ -99,12 +99,15 @@ def plain_words(text: Column) -> Column:
 def clean_text(text: Column) -> Column:
     """Text without comments, bracketed source marks (link texts stay) and emphasis, spaces collapsed.
 
-    Marks nest; a pass removes the inner ones. As every pass that changes
-    anything takes a bracket away, as many passes as brackets reach the end.
+    Marks nest; a pass removes the inner ones, so as many passes as brackets
+    are open at once reach the end.
     """
     body = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)<!--.*?-->", "")
-    brackets = F.length(body) - F.length(F.replace(body, F.lit("["), F.lit("")))
-    bare = F.when(brackets > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(brackets, F.lit(1))), body, lambda t, _: F.regexp_replace(t, r"\[[^\[\]]*\](?!\()", ""))).otherwise(body)
+    marks = F.split(F.regexp_replace(body, r"[^\[\]]", ""), "")
+    level = lambda acc, c: F.when(c == "[", acc["now"] + 1).when(c == "]", F.greatest(acc["now"] - 1, F.lit(0))).otherwise(acc["now"])
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    depth = F.aggregate(marks, start, lambda acc, c: F.struct(level(acc, c).alias("now"), F.greatest(acc["most"], level(acc, c)).alias("most")), lambda acc: acc["most"])
+    bare = F.when(F.instr(body, "[") > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), body, lambda t, _: F.regexp_replace(t, r"\[[^\[\]]*\](?!\()", ""))).otherwise(body)
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, "[*_`]", ""), r"(?U)\s+", " "), "^ | $", "")
 
 

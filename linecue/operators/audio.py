@@ -37,6 +37,14 @@ def ignored_warnings(assigned: DataFrame) -> DataFrame:
     return assigned.where("para_id is null").select("script_id", "file_ord", F.concat("name", F.lit(": matches no paragraph of the script, ignored.")).alias("warning"))
 
 
+def join_problems(assigned: DataFrame) -> DataFrame:
+    """(script_id, line, message) of the scripts whose files can't be joined, as they aren't one a paragraph; lists the names that fit none."""
+    names = F.transform(F.sort_array(F.collect_list(F.when(F.col("para_id").isNull(), F.struct("file_ord", "name")))), lambda x: x["name"])
+    rows = modes(assigned).where(F.col("mode") != PER_PARAGRAPH).join(assigned.groupBy("script_id").agg(names.alias("names")), "script_id")
+    said = F.when(F.size("names") == 0, "the files are parts of one recording, and only one file a paragraph can be joined").otherwise(F.concat(F.lit("only one file a paragraph can be joined, and no paragraph has "), F.array_join("names", ", ")))
+    return rows.select("script_id", F.lit(None).cast("int").alias("line"), said.alias("message"))
+
+
 def repeated_files(assigned: DataFrame) -> DataFrame:
     """(script_id, para_id, message) of paragraphs with more than one file; names the first two."""
     names = F.transform(F.sort_array(F.collect_list(F.struct("file_ord", "name"))), lambda x: x["name"])

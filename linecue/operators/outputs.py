@@ -67,6 +67,12 @@ def timing_csv(rows: DataFrame) -> DataFrame:
     return head.union(rows.select("script_id", (F.col("ord") + 1).alias("ord"), line.alias("line")))
 
 
+def csv_text(lines: DataFrame) -> DataFrame:
+    """(script_id, text): the table of each script as a file that spreadsheets open: a byte order mark, lines that end in CRLF."""
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("ord", "line"))), lambda x: F.concat(x["line"], F.lit("\r\n")))
+    return lines.groupBy("script_id").agg(F.concat(F.lit("\ufeff"), F.array_join(ordered, "")).alias("text"))
+
+
 def timing_document(runs: DataFrame, audio: DataFrame, chapters: DataFrame, paragraphs: DataFrame, warnings: DataFrame) -> DataFrame:
     """(script_id, document): one JSON text a script, missing times as null.
 

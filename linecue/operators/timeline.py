@@ -102,7 +102,11 @@ def speech_segments(levels: DataFrame, frame: float, pause: float, share: float
     levels: script_id, part_no, i, level; frames of `frame` seconds.
     """
     keys = ["script_id", "part_no"]
-    loud = levels.groupBy(*keys).agg(F.expr(f"sort_array(collect_list(level))[cast(floor(count(*) * {quantile}) as int)]").alias("loud"))
+    # The level at that place in order, from counts of equal levels: a part of any length is never one value.
+    counts = levels.groupBy(*keys, "level").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy("level").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counts = counts.select(*keys, "level", upto.alias("upto"), F.sum("n").over(Window.partitionBy(*keys)).alias("all"))
+    loud = counts.where(F.col("upto") > F.floor(F.col("all") * quantile)).groupBy(*keys).agg(F.min("level").alias("loud"))
     heard = levels.join(loud, keys).where(F.col("level") > F.greatest(F.lit(1.0), F.col("loud") * share))
     order = Window.partitionBy(*keys).orderBy("i")
     fresh = F.coalesce((F.col("i") - F.lag("i").over(order) - 1) * frame >= pause, F.lit(True))

@@ -422,6 +422,17 @@ def csv_of_missing(s, d):
     return rows.where("ord = 0 OR line LIKE '%,missing'")
 
 
+@query(
+    """, lines AS (
+      SELECT script_id, ord, concat_ws(',', id, 'Chapter ' || chapter_no, coalesce(round_even(s, 3)::VARCHAR, ''), coalesce(round_even(e, 3)::VARCHAR, ''), coalesce(round_even(e - s, 3)::VARCHAR, ''), round_even(confidence::DOUBLE, 3)::VARCHAR, status) || '\r\n' AS line FROM spans)
+    SELECT script_id, '\ufeff' || 'id,chapter,start,end,duration,confidence,status\r\n' || string_agg(line, '' ORDER BY ord) AS text FROM lines GROUP BY script_id"""
+)
+def csv_files(s, d):
+    """The timing table of each script as a file."""
+    found = true_spans(s, d).withColumn("chapter", F.concat(F.lit("Chapter "), F.col("chapter_no")))
+    return outputs.csv_text(outputs.timing_csv(outputs.timing_rows(found)))
+
+
 # Audio files
 
 
@@ -440,6 +451,15 @@ def ignored_files(s, d):
     return audio.ignored_warnings(audio.roles(bridge.files(s, d), bridge.paragraphs(s, d)))
 
 
+@query(
+    """SELECT script_id, NULL::INTEGER AS line, CASE WHEN count(*) FILTER (para_id IS NULL) = 0 THEN 'the files are parts of one recording, and only one file a paragraph can be joined'
+      ELSE 'only one file a paragraph can be joined, and no paragraph has ' || string_agg(name, ', ' ORDER BY file_ord) FILTER (para_id IS NULL) END AS message
+    FROM assigned GROUP BY script_id HAVING NOT (count(para_id) > 0 AND (count(para_id) * 2 > count(*) OR count(in_name) = count(*)))"""
+)
+def join_problems(s, d):
+    return audio.join_problems(audio.roles(bridge.files(s, d), bridge.paragraphs(s, d)))
+
+
 @query(
     """, r AS (SELECT p.script_id, p.ord, p.id, CASE WHEN a.para_id IS NOT NULL THEN CAST(length(p.text) AS DOUBLE) END AS dur FROM paragraphs p LEFT JOIN assigned a ON a.script_id = p.script_id AND a.para_id = p.id)
     SELECT script_id, ord, id, CASE WHEN dur IS NOT NULL THEN o END AS start_ms, o + dur AS end_ms, CASE WHEN dur IS NULL THEN 'missing' ELSE 'ok' END AS status

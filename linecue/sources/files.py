@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from linecue.errors import Unusable
+
 TIMING = (
     "version int, tool string, script string, mode string, offset double, total_duration double, "
     "audio array<struct<file:string,offset:double,duration:double>>, "
@@ -18,6 +20,8 @@ TIMING = (
     "warnings array<string>"
 )
 TIMING_VERSION = 1
+#: What write_outputs can write.
+FORMATS = ("json", "csv", "chapters", "edl", "srt")
 
 
 def read_scripts(spark: SparkSession, path: str) -> DataFrame:
@@ -71,6 +75,14 @@ def wav_info(files: DataFrame) -> DataFrame:
     return files.select("*", info("content").alias("i")).select(*files.columns, "i.*")
 
 
+def durations(files: DataFrame) -> DataFrame:
+    """files (content binary) with duration in seconds and problem, which says why there is none."""
+    found = wav_info(files)
+    problem = F.when(F.col("content").isNull(), "the file can't be read").when(F.col("rate").isNull(), "the file is no PCM WAV").when(F.col("frames") == 0, "the file holds no audio")
+    rows = found.withColumns({"duration": F.when(F.col("frames") > 0, F.col("frames") / F.col("rate")), "problem": problem})
+    return rows.select(*files.columns, "duration", "problem")
+
+
 def join_wavs(layout: DataFrame) -> DataFrame:
     """(script_id, content): the joined PCM file of each script.
 
@@ -96,5 +108,21 @@ def join_wavs(layout: DataFrame) -> DataFrame:
 
 
 def write_texts(texts: DataFrame, path: str) -> None:
-    """Texts (script_id, text) in folders script_id=N of path, as they are."""
-    texts.select("script_id", "text").write.mode("overwrite").partitionBy("script_id").option("lineSep", "").text(path)
+    """Texts (script_id, text) in folders script_id=N of path, as they are but for a line end at the end of those without one."""
+    bodies = texts.select("script_id", F.regexp_replace("text", r"\n\z", "").alias("text"))
+    bodies.write.mode("overwrite").partitionBy("script_id").option("lineSep", "\n").text(path)
+
+
+def write_outputs(texts: dict[str, DataFrame], path: str, formats: str = "json,csv") -> list[str]:
+    """Writes the texts (script_id, text) of the chosen formats below path and returns the folders; Unusable for a format that FORMATS doesn't have.
+
+    Scripts without a text of a format, and null or empty texts, have no file.
+    """
+    chosen = [f.strip() for f in formats.split(",") if f.strip()]
+    wrong = [f for f in chosen if f not in FORMATS]
+    if wrong:
+        raise Unusable([f"there is no format {f}, only {', '.join(FORMATS)}" for f in wrong])
+    folders = [f"{path.rstrip('/')}/{f}" for f in dict.fromkeys(chosen) if f in texts]
+    for folder in folders:
+        write_texts(texts[folder.rpartition("/")[2]].where("text <> ''"), folder)
+    return folders

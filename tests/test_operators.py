@@ -48,7 +48,7 @@ def test_timed_words(spark):
 
 
 def test_clean_text_and_names(spark):
-    cases = {"Marks [one [two] three] go, [this": "Marks go, [this", "See [here](https://x.org) too": "See [here](https://x.org) too", "*a* <!-- b\nc --> `d`_e_ [1][2]": "a de", "": ""}
+    cases = {"Marks [one [two] three] go, [this": "Marks go, [this", "See [here](https://x.org) too": "See [here](https://x.org) too", "*a* <!-- b\nc --> `d`_e_ [1][2]": "a de", "": "", "[" * 40 + "x" + "]" * 40 + " y": "y", "] [a] [b [c](d) e": "] [b [c](d) e"}
     rows = spark.createDataFrame(list(cases.items()), "t string, want string").select("want", text.clean_text(F.col("t")).alias("got")).collect()
     assert all(r.got == r.want for r in rows), rows
     names = {"p8_take2.mp3": "P8", "P008.wav": "P8", "xp8.wav": None, "a P12b.wav": "P12", "take.wav": None, "P1-P2.wav": "P1"}
@@ -248,6 +248,20 @@ def test_audio_and_script_files(spark, tmp_path):
     assert got["a.md"].problem is None and got["b.md"].text is None and "UTF-8" in got["b.md"].problem
 
 
+def test_durations_and_outputs(spark, tmp_path):
+    rows = spark.createDataFrame([(1, bytearray(tone(1, 1500))), (2, bytearray(tone(1, 0))), (3, bytearray(b"x")), (4, None)], "script_id long, content binary")
+    got = files.durations(rows).orderBy("script_id").collect()
+    assert [(r.duration, r.problem) for r in got] == [(1.5, None), (None, "the file holds no audio"), (None, "the file is no PCM WAV"), (None, "the file can't be read")]
+    lines = spark.createDataFrame([(1, 1, "P1,é"), (1, 0, "id,chapter")], "script_id long, ord int, line string")
+    texts = {"csv": outputs.csv_text(lines), "srt": spark.createDataFrame([(1, "1\n"), (2, "")], "script_id long, text string")}
+    made = files.write_outputs(texts, str(tmp_path / "out"), "srt, csv,edl")
+    assert [m[-3:] for m in made] == ["srt", "csv"]
+    read = lambda kind: [p.read_bytes() for p in (tmp_path / "out" / kind).rglob("part-*")]
+    assert read("csv") == ["\ufeffid,chapter\r\nP1,é\r\n".encode()] and read("srt") == [b"1\n"]
+    with pytest.raises(Unusable, match="no format doc"):
+        files.write_outputs(texts, str(tmp_path / "out"), "csv,doc")
+
+
 def test_streams(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0.0), (1, 0.2), (1, 5.0), (2, 0.1)], "key long, t double").withColumn("at", F.timestamp_seconds("t"))
     assert sorted((r.key, r.n) for r in speech_sessions(rows, "key", "at").collect()) == [(1, 1), (1, 2), (2, 1)]
