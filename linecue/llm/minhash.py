@@ -238,7 +238,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, row
     named = classes.select("set_id", "least").join(linked, "set_id", "left").select("set_id", "least", F.coalesce("component", "set_id").alias("component"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = joined_apart(named, ids, "component").select("set_id", "component_id")
-    out = joined_apart(found.select("doc", "n_shingles", "set_id"), named, "set_id", "left")
+    out = found.select("doc", "n_shingles", "set_id").join(named, "set_id", "left")
     own = F.col(f"doc.{key}")
     component = F.when(F.col("set_id").isNull(), own).otherwise(F.col("component_id"))
     return out.select(own.alias(key), "doc.row", "n_shingles", component.alias("component_id"), F.coalesce(own == component, F.lit(False)).alias("kept"))

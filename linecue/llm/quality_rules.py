@@ -124,8 +124,9 @@ def judge(docs: DataFrame, trusted: DataFrame, least_score: float = LEAST_SCORE)
     buckets = n_buckets(size)
     weights = bucket_weights(docs, trusted, buckets)
     if buckets <= MOST_INLINE:
-        known = dict(weights.collect())
-        inline = F.split(F.lit(",".join(str(known.get(k, 0)) for k in range(buckets))), ",").cast("array<bigint>")  # the optimizer folds this into one literal
+        every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(weights, "bucket", "left")
+        ordered = F.transform(F.sort_array(F.collect_list(F.struct("bucket", F.coalesce("w", F.lit(0)).alias("w")))), lambda x: x["w"].cast("string"))
+        inline = F.split(F.lit(every.agg(F.array_join(ordered, ",")).first()[0]), ",").cast("array<bigint>")  # the optimizer folds this into one literal
         of = lambda gram: F.coalesce(F.get(inline, _bucket(gram, buckets)), F.lit(0).cast("long"))
         total = F.aggregate(_pairs(F.col("words"), F.size("words")), F.lit(0).cast("long"), lambda acc, x: acc + of(x["a"]) + of(F.concat(x["a"], F.lit(" "), x["b"])))
         out = base_statistics(docs, total.alias("llr_sum"))
