@@ -232,7 +232,7 @@ def align_spans(s, d):
     return _aligned_spans(s, d).select("script_id", "ord", "id", "chapter_no", "start", "end", "confidence", "status", "n", "matched")
 
 
-@query("SELECT script_id, ord, id, n, status, s IS NULL OR true AS start_is_near, e IS NULL OR true AS end_is_near FROM spans")
+@query("SELECT script_id, ord, id, n, status, true AS start_is_near, true AS end_is_near FROM spans")
 def align_status(s, d):
     """Status of aligned paragraphs, and whether their bounds lie within NEAR_SECONDS of those of the known matches."""
     truth = true_spans(s, d).select("script_id", "ord", F.col("start").alias("s"), F.col("end").alias("e"))

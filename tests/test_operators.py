@@ -262,6 +262,13 @@ def test_durations_and_outputs(spark, tmp_path):
         files.write_outputs(texts, str(tmp_path / "out"), "csv,doc")
 
 
+def test_files_of_a_script(spark):
+    rows = spark.createDataFrame([(1, 0, "p1.wav", "P1"), (1, 1, "take P1.wav", "P1"), (1, 2, "p2.wav", "P2"), (2, 0, "x.wav", None)], "script_id long, file_ord int, name string, para_id string")
+    assert [r.message for r in audio.repeated_files(rows).collect()] == ["P1 has two audio files: p1.wav and take P1.wav"]
+    kinds = spark.createDataFrame([(1, 0, "a.wav", 1, 2, 8000), (1, 1, "b.wav", 1, 2, 8000), (1, 2, "c.wav", 2, 2, 44100)], "script_id long, ord int, name string, channels int, width int, rate int")
+    assert [r.message for r in audio.format_problems(kinds).collect()] == ["c.wav is 44100 Hz, 16-bit, 2 channel(s), but a.wav is 8000 Hz, 16-bit, 1 channel(s); the files to join must all have one format"]
+
+
 def test_streams(spark, tmp_path):
     rows = spark.createDataFrame([(1, 0.0), (1, 0.2), (1, 5.0), (2, 0.1)], "key long, t double").withColumn("at", F.timestamp_seconds("t"))
     assert sorted((r.key, r.n) for r in speech_sessions(rows, "key", "at").collect()) == [(1, 1), (1, 2), (2, 1)]
