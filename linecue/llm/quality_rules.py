@@ -9,9 +9,8 @@ over its n-grams of log(trusted share / raw share), so length doesn't matter;
 it is kept if the score is LEAST_SCORE or more. Weights are whole millionths
 and their sums whole numbers, so a verdict never depends on the order of rows.
 
-Texts are never shuffled for the counts unless more than MOST_BROADCAST trusted
-ids are known: they are read once for all documents and once for the trusted
-ones. Up to MOST_INLINE buckets, their weights are an array in the plan and a
+Texts are read once for the counts, and shuffled for those of the trusted ones
+only if more than MOST_BROADCAST trusted ids are known. Up to MOST_INLINE buckets, their weights are an array in the plan and a
 text is scored in its row. Beyond that its n-grams meet the table of weights by
 bucket, which is broadcast up to MOST_BROADCAST buckets and shuffled above.
 
@@ -87,9 +86,9 @@ def base_statistics(docs: DataFrame, *further: Column) -> DataFrame:
 
 
 def grams(rows: DataFrame, buckets: int) -> DataFrame:
-    """(bucket): a row for each word and for each pair of words; rows: text."""
-    pairs = rows.select(words_of(F.col("text")).alias("words")).select(F.explode(_pairs(F.col("words"), F.size("words"))).alias("p")).select("p.a", "p.b")
-    return pairs.select(F.explode(F.array(_bucket(F.col("a"), buckets), _bucket(F.concat("a", F.lit(" "), F.col("b")), buckets))).alias("bucket")).where("bucket is not null")
+    """(trusted, bucket): a row for each word and for each pair of words; rows: text, trusted."""
+    pairs = rows.select("trusted", words_of(F.col("text")).alias("words")).select("trusted", F.explode(_pairs(F.col("words"), F.size("words"))).alias("p")).select("trusted", "p.a", "p.b")
+    return pairs.select("trusted", F.explode(F.array(_bucket(F.col("a"), buckets), _bucket(F.concat("a", F.lit(" "), F.col("b")), buckets))).alias("bucket")).where("bucket is not null")
 
 
 def joined_sums(docs: DataFrame, weights: DataFrame, buckets: int) -> DataFrame:
@@ -108,11 +107,15 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFra
     """(bucket, w) in millionths, for the buckets in use. trusted: doc_id of the documents to resemble."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     named = trusted.select("doc_id").where("doc_id is not null").distinct()
-    few = named.count() <= MOST_BROADCAST
-    aims = rows.join(F.broadcast(named) if few else named.hint("merge"), "doc_id", "left_semi")
-    raw = grams(rows, buckets).groupBy("bucket").agg(F.count("*").alias("r"))
-    aim = grams(aims, buckets).groupBy("bucket").agg(F.count("*").alias("t"))
-    counts = checkpointed(raw.join(aim, "bucket", "left").select("bucket", "r", F.coalesce("t", F.lit(0)).alias("t")))
+    if named.count() <= MOST_BROADCAST:  # one reading of the texts for both counts
+        rows = rows.join(F.broadcast(named.withColumn("trusted", F.lit(1))), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(0)).alias("trusted"))
+        counts = grams(rows, buckets).groupBy("bucket").agg(F.count("*").alias("r"), F.sum("trusted").alias("t"))
+    else:  # one for all documents, where they are, and one for the trusted ones
+        raw = grams(rows.select("text", F.lit(0).alias("trusted")), buckets).groupBy("bucket").agg(F.count("*").alias("r"))
+        aims = rows.join(named.hint("merge"), "doc_id", "left_semi").select("text", F.lit(1).alias("trusted"))
+        aim = grams(aims, buckets).groupBy("bucket").agg(F.count("*").alias("t"))
+        counts = raw.join(aim, "bucket", "left").select("bucket", "r", F.coalesce("t", F.lit(0)).alias("t"))
+    counts = checkpointed(counts)
     rs, ts = (int(x or 0) for x in counts.agg(F.sum("r"), F.sum("t")).first())
     share = lambda n, total: (F.col(n) + 1.0) / F.lit(float(total) + float(buckets))
     return counts.select("bucket", F.round(F.lit(1e6) * F.log(share("t", ts) / share("r", rs))).cast("long").alias("w"))
