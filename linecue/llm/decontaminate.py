@@ -48,7 +48,7 @@ from linecue.llm.common import checkpointed, document, table
 
 WIDTH = 5
 LEAST_PERCENT = 80
-BITS, BLOCKS = 60, 4
+BITS, BLOCKS = 60, 6
 STRIDE, SIZES = 8, (8, 16, 24, 32, 48, 64, 96)
 #: Items of fewer words are looked for from every word on, as they may hold no whole window of a stride.
 SHORT = 2 * STRIDE - 1
