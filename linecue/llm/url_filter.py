@@ -11,12 +11,10 @@ its trust.
 
 Mass is counted in whole units of a trillionth and every flow, computed from
 whole counts of pages, is rounded down to units, so results don't depend on
-the order of rows and no edge is too rare to carry mass. Trust and distrust are
-spread side by side, so that a round is one join of hosts and edges; ranks are
-checkpointed every CHECKPOINT_ROUNDS. A host's edges are dealt to parts of
-about PART_EDGES, and its mass to each of them. There are ROUNDS rounds at
-least, and more until a round reaches no new host and changes no host's mass by
-more than TOLERANCE units.
+the order of rows and no edge is too rare to carry mass. Each round is two
+joins of hosts and edges; ranks are checkpointed every CHECKPOINT_ROUNDS.
+There are ROUNDS rounds at least, and more until a round reaches no new host
+and changes no host's mass by more than TOLERANCE units.
 
 Up to MOST_INLINE rules are one expression; more of them are joined with the
 domains of the different hosts, and each host keeps those that may fit it.
@@ -47,7 +45,6 @@ DAMPING = 85
 MOST_TIMES = 9
 #: Rules that are one expression; more are joined.
 MOST_INLINE = 200
-PART_EDGES = 2000
 #: Rows of hosts that are broadcast to judge the pages; more are joined in a shuffle.
 MOST_BROADCAST = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -130,34 +127,30 @@ def domains(host: str) -> Column:
 
 
 def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, host, mass) after `rounds` of personalised PageRank, or more until it has settled; edges: kind, a, b, pages; seeds: kind, host, pages."""
-    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    totals = seeds.groupBy("kind").agg(F.sum("pages").alias("all"))  # a row for each kind
-    start = seeds.join(F.broadcast(totals), "kind").select("kind", "host", F.floor(F.lit(float(UNIT)) * (F.col("pages") / F.col("all"))).cast("long").alias("seed"), one.alias("parts"))
-    out = edges.groupBy("kind", "a").agg(F.sum("pages").alias("out"), F.count("*").alias("n"))
-    out = checkpointed(out.select("kind", "a", "out", F.expr(f"1 + n div {PART_EDGES}").alias("parts")))
-    shares = edges.withColumn("of", F.struct("kind", "a")).join(out.select(F.struct("kind", "a").alias("of"), "out", "parts"), "of")
-    shares = checkpointed(shares.select("kind", F.col("a").alias("host"), "b", "pages", "out", F.expr("pmod(xxhash64(b), parts)").alias("part")))
-    start = start.union(out.select("kind", F.col("a").alias("host"), none, "parts")).groupBy("kind", "host").agg(F.sum("seed").alias("seed"), F.max("parts").alias("parts"))
+    """(host, mass) after `rounds` of personalised PageRank, or more until it has settled; edges: a, b, pages; seeds: host, pages."""
+    total = seeds.agg(F.sum("pages").alias("all"))
+    start = seeds.join(F.broadcast(total)).select("host", F.floor(F.lit(float(UNIT)) * (F.col("pages") / F.col("all"))).cast("long").alias("seed"))  # one row is broadcast
+    out = edges.groupBy("a").agg(F.sum("pages").alias("out"))
+    shares = checkpointed(edges.join(out, "a").select("a", "b", "pages", "out"))
     start = checkpointed(start)
-    mass, reached, k = start.select("kind", "host", F.col("seed").alias("mass"), "parts"), -1, 0
+    mass = start.select("host", F.col("seed").alias("mass"))
+    none, reached, k = F.lit(0).cast("long"), -1, 0
     while True:
         k += 1
         settling = k % CHECKPOINT_ROUNDS == 0
         flow = F.expr("cast(mass as decimal(19,0)) * cast(pages as decimal(18,0)) div cast(out as decimal(18,0))")
-        dealt = mass.where("mass > 0").select("kind", "host", "mass", F.explode(F.sequence(none, F.col("parts") - 1)).alias("part"))
-        rows = shares.join(dealt, ["kind", "host", "part"]).select("kind", F.col("b").alias("host"), flow.alias("flow"), none.alias("seed"), one.alias("parts"), none.alias("before"))
-        rows = rows.union(start.select("kind", "host", none, "seed", "parts", none))
+        rows = shares.join(mass, shares.a == mass.host).select(F.col("b").alias("host"), flow.alias("flow"), none.alias("seed"), none.alias("before"))
+        rows = rows.union(start.select("host", none, "seed", none))
         if settling:
-            rows = rows.union(mass.select("kind", "host", none, none, one, "mass"))
-        mass = rows.groupBy("kind", "host").agg(F.expr(f"({DAMPING} * sum(flow) + {100 - DAMPING} * sum(seed)) div 100").alias("mass"), F.max("parts").alias("parts"), F.sum("before").alias("before"))
+            rows = rows.union(mass.select("host", none, none, "mass"))
+        mass = rows.groupBy("host").agg(F.expr(f"({DAMPING} * sum(flow) + {100 - DAMPING} * sum(seed)) div 100").alias("mass"), F.sum("before").alias("before"))
         if settling:
             mass = checkpointed(mass)
             now = mass.where("mass > 0 or before > 0").agg(F.count(F.when(F.col("mass") > 0, 1)), F.max(F.abs(F.col("mass") - F.col("before"))), F.count(F.when((F.col("mass") > 0) & (F.col("before") == 0), 1))).first()
             if k >= rounds and now[0] == reached and not now[2] and (now[1] or 0) <= TOLERANCE:
-                return mass.select("kind", "host", "mass")
+                return mass.select("host", "mass")
             reached = now[0]
-        mass = mass.select("kind", "host", "mass", "parts")
+        mass = mass.select("host", "mass")
 
 
 def judge(pages: DataFrame, rules: list[Rule] = RULES, rounds: int = ROUNDS) -> DataFrame:
@@ -165,10 +158,11 @@ def judge(pages: DataFrame, rules: list[Rule] = RULES, rounds: int = ROUNDS) ->
     host, path = host_and_path(F.col("url").cast("string"))
     rows = ruled(pages.select("page_id", host.alias("host"), path.alias("path"), F.col("html").cast("string").alias("html")), rules)
     edges = checkpointed(host_edges(rows))
-    seeds = checkpointed(rows.where("fit is not null").groupBy(F.col("fit.verdict").alias("kind"), "host").agg(F.count("*").alias("pages")))
-    both = edges.select(F.lit("allow").alias("kind"), "a", "b", "pages").union(edges.select(F.lit("block"), "b", "a", "pages"))
-    mass = spread(both, seeds, rounds).groupBy("host").agg(*(F.sum(F.when(F.col("kind") == k, F.col("mass")).otherwise(0)).alias(k) for k in ("allow", "block")))
-    blocked = checkpointed(mass.where(F.col("block") > MOST_TIMES * F.col("allow")).select("host", F.lit(True).alias("blocked")))
+    seeds = checkpointed(rows.where("fit is not null").groupBy("host", F.col("fit.verdict").alias("ruled")).agg(F.count("*").alias("pages")))
+    trust = spread(edges, seeds.where("ruled = 'allow'").select("host", "pages"), rounds)
+    distrust = spread(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "pages"), seeds.where("ruled = 'block'").select("host", "pages"), rounds)
+    blocked = distrust.withColumnRenamed("mass", "distrust").join(trust, "host", "left").where(F.col("distrust") > MOST_TIMES * F.coalesce("mass", F.lit(0)))
+    blocked = checkpointed(blocked.select("host", F.lit(True).alias("blocked")))
     few = blocked.count() <= MOST_BROADCAST
     judged = rows.select("page_id", "host", "path", "fit").join(F.broadcast(blocked) if few else blocked, "host", "left")
     return judged.select("page_id", "host", "path", F.col("fit.text").alias("rule"), F.coalesce("fit.verdict", F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"))
