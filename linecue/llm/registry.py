@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linecue.llm import chat_format, decontaminate, licenses, minhash, quality_classifier, quality_rules, sentencepieces, token_files, url_filter, warc
+from linecue.llm import chat_format, decontaminate, licenses, minhash, quality_classifier, quality_rules, runs, sentencepieces, token_files, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": warc.op8_warc,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op13_periodic_runs": runs.op13_periodic_runs,
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,
@@ -26,4 +27,5 @@ ORACLES: dict[str, str] = {
     "op8_warc": warc.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
+    "op13_periodic_runs": runs.ORACLE,
 }
