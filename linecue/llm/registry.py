@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linecue.llm import chat_format, decontaminate, hard_negatives, licenses, minhash, quality_classifier, quality_rules, runs, sentencepieces, token_files, url_filter, warc
+from linecue.llm import chat_format, decontaminate, hard_negatives, language_model, licenses, minhash, quality_classifier, quality_rules, runs, sentencepieces, token_files, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": warc.op8_warc,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_language_model": language_model.op11_language_model,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_periodic_runs": runs.op13_periodic_runs,
 }
