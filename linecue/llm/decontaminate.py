@@ -8,7 +8,10 @@ leaves STRIDE - 1 words of it over, one from each of STRIDE words in its middle
 on: wherever a document holds the item, one of its windows has the very words
 of one of these. Digits are counted side by side in a few numbers, so that a
 window is a sum of blocks of STRIDE words. Items of fewer than SHORT words meet
-windows of their own size from every word on.
+windows from every word on, two words shorter than the item, from its first and
+its second word: no more than a word at an end of so short an item can differ.
+No window reaches the item's last word, as a short word counts with the next
+one, which behind the item is another (a single word counts alone).
 
 Fingerprints meet in a multi-index of BLOCKS blocks: two of them that differ in
 no more digits than radius(size) differ in a BLOCKS-th of these or fewer in one
@@ -51,7 +54,7 @@ LEAST_PERCENT = 80
 BITS, BLOCKS = 60, 6
 STRIDE, SIZES = 8, (8, 16, 24, 32, 48, 64, 96)
 #: Items of fewer words are looked for from every word on, as they may hold no whole window of a stride.
-SHORT = 2 * STRIDE - 1
+SHORT = 2 * STRIDE
 #: Added to the size in the key of such windows.
 SHORT_MARK = 128
 #: Shorter words count with the word after them, as on their own they make all texts alike.
@@ -86,7 +89,7 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 def window_size(m: int) -> int:
     """Words of the windows that an item of m words is looked for with: those in its middle stay clear of the words that may differ at its ends."""
-    return m if m < SHORT else max(s for s in SIZES if s <= max(SIZES[0], m - STRIDE + 1 - 2 * (m - WIDTH + 1) // 9))
+    return max(1, m - 2) if m < SHORT else max(s for s in SIZES if s <= max(SIZES[0], m - STRIDE + 1 - 2 * (m - WIDTH + 1) // 9))
 
 
 def radius(size: int) -> int:
@@ -94,9 +97,9 @@ def radius(size: int) -> int:
     return 11 if 32 <= size < SHORT_MARK else 3
 
 
-def features(words: Column) -> Column:
-    """A hash for each word."""
-    return F.transform(words, lambda w, i: F.when(F.length(w) < SHORT_WORD, F.xxhash64(w, F.get(words, i + 1))).otherwise(F.xxhash64(w)))
+def features(words: Column, alone: bool | Column = False) -> Column:
+    """A hash for each word; alone: whatever stands behind it."""
+    return F.transform(words, lambda w, i: F.when(~F.lit(alone) & (F.length(w) < SHORT_WORD), F.xxhash64(w, F.get(words, i + 1))).otherwise(F.xxhash64(w)))
 
 
 def fingerprints(texts: DataFrame, *keys: str) -> DataFrame:
@@ -158,9 +161,9 @@ def stride_fingerprints(docs: DataFrame, sizes: list[int]) -> DataFrame:
     return rows.select("doc", *(F.when(F.col("left") >= s // STRIDE, F.col(f"f{s}")).alias(f"f{s}") for s in sizes))
 
 
-def word_fingerprints(docs: DataFrame, size: int) -> DataFrame:
+def word_fingerprints(docs: DataFrame, size: int, alone: bool = False) -> DataFrame:
     """(doc, f{size}): a row for every word that a window of so few words begins with."""
-    rows = docs.select("doc", features(F.col("words")).alias("h"))
+    rows = docs.select("doc", features(F.col("words"), alone).alias("h"))
     rows = rows.select("doc", "h", F.explode_outer(_places(F.size("h") - (size - 1))).alias("p"))
     digits = lambda j, k: F.shiftrightunsigned(F.get("h", F.col("p") + j), k).bitwiseAND(F.lit(_ONES if k < 4 else _ONES >> 8))
     counts = [reduce(lambda x, y: x + y, [digits(j, k) for j in range(size)]) for k in range(8)]
@@ -188,10 +191,10 @@ def probes(marked: DataFrame) -> DataFrame:
 def marks_of(texts: DataFrame, sizes: list[int]) -> DataFrame:
     """(item, size, fingerprint): the windows that stand for each item; texts: item, m, words."""
     size_of = F.element_at(F.create_map(*(F.lit(x) for m in sizes for x in (m, window_size(m)))), F.col("m"))
-    rows = texts.select("item", features(F.col("words")).alias("features"), "m", size_of.alias("size"))
+    rows = texts.select("item", features(F.col("words"), F.col("m") == 1).alias("features"), "m", size_of.alias("size"))
     spare = F.col("m") - F.col("size")
     first = F.floor((spare - (STRIDE - 1)) / 2).cast("int")
-    starts = F.when(F.col("m") < SHORT, F.array(F.lit(0))).otherwise(F.sequence(F.greatest(first, F.lit(0)), F.least(F.greatest(first, F.lit(0)) + STRIDE - 1, spare)))
+    starts = F.when(F.col("m") < 3, F.array(F.lit(0))).when(F.col("m") < SHORT, F.array(F.lit(0), F.lit(1))).otherwise(F.sequence(F.greatest(first, F.lit(0)), F.least(F.greatest(first, F.lit(0)) + STRIDE - 1, spare)))
     rows = rows.select("item", F.when(F.col("m") < SHORT, SHORT_MARK + F.col("m")).otherwise(F.col("size")).alias("mark"), "size", "features", F.explode(starts).alias("from"))
     return fingerprints(rows.select("item", F.col("mark").alias("size"), "from", F.slice("features", F.col("from") + 1, F.col("size")).alias("features")), "item", "size", "from")
 
@@ -204,7 +207,8 @@ def candidates(docs: DataFrame, marked: DataFrame, lengths: list[int], small: bo
         rows = stride_fingerprints(docs, strides).select("doc", F.posexplode_outer(F.array(*(f"f{s}" for s in strides))).alias("place", "f_win"))
         size = reduce(lambda x, s: F.when(F.col("place") == strides.index(s), s).otherwise(x), strides[1:], F.lit(strides[0]))
         found.append(rows.select("doc", "f_win", size.alias("size")))
-    found += [word_fingerprints(docs, m).select("doc", F.col(f"f{m}").alias("f_win"), F.lit(SHORT_MARK + m).alias("size")) for m in sorted({m for m in lengths if m < SHORT})]
+    short = {m: window_size(m) for m in sorted(set(lengths)) if m < SHORT}
+    found += [word_fingerprints(docs, s, m == 1).select("doc", F.col(f"f{s}").alias("f_win"), F.lit(SHORT_MARK + m).alias("size")) for m, s in short.items()]
     met = reduce(DataFrame.union, (x.select("doc", "f_win", F.explode(F.array(*block_keys(F.col("size"), F.col("f_win")))).alias("key")) for x in found))
     index = probes(marked)
     met = met.join(F.broadcast(index) if small else index, "key")
@@ -257,15 +261,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = LEAST_PERCENT)
 
     def weighed(df: DataFrame, key: str) -> DataFrame:
         each = df.select(key, F.explode("shingles").alias("s")).join(weights, "s", "left").select(key, "s", F.coalesce("w", F.lit(WEIGHT).cast("long")).alias("w"))
-        return each.groupBy(key).agg(F.collect_list(F.struct("s", "w")).alias(f"{key}_shingles"), F.sum("w").alias(f"{key}_weight"), F.count("*").alias(f"{key}_n"))
+        # A shingle with its weight as one long: hashes meet by their upper 54 digits.
+        marked = F.shiftleft(F.shiftrightunsigned("s", 10), 10).bitwiseOR(F.col("w"))
+        return each.groupBy(key).agg(F.collect_list(marked).alias(f"{key}_shingles"), F.sum("w").alias(f"{key}_weight"), F.count("*").alias(f"{key}_n"))
 
     # Windows that many documents share are compared once.
     different = windows.groupBy("win").agg(F.first("words").alias("words")).select("win", _shingles(F.col("words")).alias("shingles"))
     compared = windows.select("win", "item").distinct().join(weighed(different, "win"), "win").join(weighed(texts, "item"), "item")
-    common = F.filter("win_shingles", lambda x: F.array_contains(F.transform("item_shingles", lambda y: y["s"]), x["s"]))
-    compared = compared.withColumn("common", common).select(
+    compared = compared.withColumn("common", F.array_intersect("win_shingles", "item_shingles")).select(
         "win", "item",
-        F.aggregate("common", F.lit(0).cast("long"), lambda acc, x: acc + x["w"]).alias("both"), (F.col("win_weight") + F.col("item_weight")).alias("all"),
+        F.aggregate("common", F.lit(0).cast("long"), lambda acc, x: acc + x.bitwiseAND(F.lit(1023).cast("long"))).alias("both"), (F.col("win_weight") + F.col("item_weight")).alias("all"),
         F.size("common").cast("long").alias("both_n"), (F.col("win_n") + F.col("item_n")).alias("all_n"),
     )
     similar = compared.where((F.col("both") * 100 >= percent * (F.col("all") - F.col("both"))) | (F.col("both_n") * 100 >= percent * (F.col("all_n") - F.col("both_n"))))

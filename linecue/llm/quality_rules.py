@@ -65,11 +65,11 @@ def _repeated(hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), covered).otherwise(0)
 
 
-def base_statistics(docs: DataFrame, *further: Column) -> DataFrame:
-    """(doc_id, row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, further); row: the text's hash, as common.document has it; further: columns of words."""
+def base_statistics(docs: DataFrame, *further: Column, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, further, carried); row: the text's hash, as common.document has it; further: columns of words; carried: columns of docs."""
     body = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)
-    out = docs.select("doc_id", document()["row"].alias("row"), F.col("text").cast("string").alias("text"))
+    out = docs.select("doc_id", document()["row"].alias("row"), F.col("text").cast("string").alias("text"), *carried)
     out = out.withColumns({"words": words_of(F.col("text")), "lines": lines})
     windows = F.arrays_zip("words", F.slice("words", F.lit(2), F.size("words")), F.slice("words", F.lit(3), F.size("words")))
     out = out.withColumn("windows", F.transform(F.slice(windows, F.lit(1), F.greatest(F.size("words") - 2, F.lit(0))), lambda x: F.xxhash64(x)))
@@ -82,6 +82,7 @@ def base_statistics(docs: DataFrame, *further: Column) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _repeated(F.col("windows")).cast("long").alias("n_repeat_words"),
         *further,
+        *carried,
     )
 
 
@@ -121,8 +122,8 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFra
     return counts.select("bucket", F.round(F.lit(1e6) * F.log(share("t", ts) / share("r", rs))).cast("long").alias("w"))
 
 
-def judge(docs: DataFrame, trusted: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
-    """(doc_id, row, base statistics, llr_sum (millionths), n_grams, score, base_failed, kept) for every row; row: the text's hash, as common.document has it."""
+def judge(docs: DataFrame, trusted: DataFrame, least_score: float = LEAST_SCORE, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, row, base statistics, llr_sum (millionths), n_grams, score, base_failed, kept, carried) for every row; row: the text's hash, as common.document has it; carried: columns of docs that go along."""
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     buckets = n_buckets(size)
     weights = bucket_weights(docs, trusted, buckets)
@@ -132,10 +133,10 @@ def judge(docs: DataFrame, trusted: DataFrame, least_score: float = LEAST_SCORE)
         inline = F.split(F.lit(every.agg(F.array_join(ordered, ",")).first()[0]), ",").cast("array<bigint>")  # the optimizer folds this into one literal
         of = lambda gram: F.coalesce(F.get(inline, _bucket(gram, buckets)), F.lit(0).cast("long"))
         total = F.aggregate(_pairs(F.col("words"), F.size("words")), F.lit(0).cast("long"), lambda acc, x: acc + of(x["a"]) + of(F.concat(x["a"], F.lit(" "), x["b"])))
-        out = base_statistics(docs, total.alias("llr_sum"))
+        out = base_statistics(docs, total.alias("llr_sum"), carried=carried)
     else:
         sums = joined_sums(docs, weights, buckets).hint("merge")
-        out = base_statistics(docs).withColumn("doc", F.struct("doc_id", "row")).join(sums, "doc", "left").drop("doc")
+        out = base_statistics(docs, carried=carried).withColumn("doc", F.struct("doc_id", "row")).join(sums, "doc", "left").drop("doc")
     out = out.withColumns({"llr_sum": F.coalesce("llr_sum", F.lit(0).cast("long")), "n_grams": F.greatest(2 * F.col("n_words") - 1, F.lit(0))})
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     verdict = F.col("llr_sum") >= F.lit(round(least_score * 1e6)) * F.col("n_grams")

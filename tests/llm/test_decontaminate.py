@@ -100,6 +100,23 @@ def test_windows_have_the_fingerprints_of_their_words(spark, size):
     assert sorted(got) == sorted(want.values())
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_every_exact_copy_is_found_whatever_stands_behind(spark, seed):
+    """Items of 1 to 24 words that end in words of one to three letters; short ones also with another first or last word."""
+    rand = random.Random(seed)
+    say = lambda n: ["".join(rand.choices("abcdefgh", k=rand.randint(1, 7))) for _ in range(n)]
+    items, docs, want = [], [], set()
+    for i, m in enumerate([*range(1, 25), *range(5, 20)]):
+        item = [*say(m - 1), "".join(rand.choices("xyz", k=rand.randint(1, 3)))]
+        items.append((i, " ".join(item)))
+        copies = [item, item] + ([["other", *item[1:]], [*item[:-1], "of"]] if 13 < m < dc.SHORT else [])
+        for k, copy in enumerate(copies):
+            docs.append((100 * i + k, " ".join([*say(rand.randint(0, 20)), *copy, *say(rand.randint(0, 20))])))
+            want.add((100 * i + k, i))
+    found = dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert want <= {(r.doc_id, r.item_id) for r in found}
+
+
 def test_nothing_is_found_without_the_index(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b c d e f g h i j k l m n o p q")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "a b c d e f g h i j k l m n o p q")], "item_id long, text string")
