@@ -18,7 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linecue.llm import decontaminate, minhash, quality_classifier, quality_rules, sentencepieces
-from linecue.llm.common import document, shared_path, table
+from linecue.llm.common import checkpointed, document, shared_path, table
+
+#: Leaking documents that are broadcast at most; their keys have 16 bytes.
+MAX_BROADCAST = 1_000_000
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -39,9 +42,8 @@ def _whole(docs: DataFrame) -> DataFrame:
 
 def by_the_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and resemble the trusted ones."""
-    judged = quality_rules.judge(docs, quality_rules.trusted_labels(table(spark, sf_dir, "labels")))
-    kept = judged.where("kept").select(F.struct("doc_id", "row").alias("doc")).distinct()
-    return _whole(docs).join(kept.hint("merge"), "doc", "left_semi").select("whole.*")
+    rows = docs.select("doc_id", "text", F.struct("*").alias("whole"))
+    return quality_rules.judge(rows, quality_rules.trusted_labels(table(spark, sf_dir, "labels")), carried=("whole",)).where("kept").select("whole.*")
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +57,9 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontaminate.leaking(docs, table(spark, sf_dir, "benchmark"))
-    return _whole(docs).join(found.hint("merge"), "doc", "left_anti").select("whole.*")
+    found = checkpointed(decontaminate.leaking(docs, table(spark, sf_dir, "benchmark")))
+    few = found.count() <= MAX_BROADCAST
+    return _whole(docs).join(F.broadcast(found) if few else found.hint("merge"), "doc", "left_anti").select("whole.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
