@@ -31,7 +31,6 @@ _MARKS = regex.compile(
     rf"|(?P<drop>[\p{{P}}\p{{S}}{APOSTROPHES}])"
 )
 _INSTEAD = {"apostrophe": "'", "point": ".", "gap": " ", "drop": ""}
-_SPLIT_DECIMAL = regex.compile(r"(?<=\d)\s+(?=\.\d)")
 
 
 def _any(words) -> str:
@@ -42,7 +41,10 @@ def _any(words) -> str:
 _TEN = f"(?:{_any(TENS)}(?: {_any(UNITS)})?|{_any(TEENS)}|{_any(UNITS)})"
 _HUNDRED = rf"(?>{_any(UNITS)} hundred(?!\S)(?:(?>(?: and(?!\S))?+ {_TEN})(?! hundred(?!\S)))?|{_TEN})"
 _THOUSAND = rf"{_HUNDRED}(?: thousand(?!\S)(?:(?> and(?!\S) {_TEN}| {_HUNDRED})(?! (?:hundred|thousand)(?!\S)))?)?"
-_NUMBER = regex.compile(rf"(?<!\S)(?>zero(?!\S)|{_THOUSAND})(?: point(?!\S)(?P<fraction>(?: {_any(DIGITS)})+))?")
+NUMBER = rf"(?<!\S)(?>zero(?!\S)|{_THOUSAND})(?: point(?!\S)(?: {_any(DIGITS)})+)?"
+_NUMBER = regex.compile(NUMBER)
+#: Words that can be part of a number.
+NUMBER_WORDS = ("zero", "oh", *_VALUE, "hundred", "thousand", "and", "point")
 
 
 def fold(text: str) -> list[str]:
@@ -50,39 +52,64 @@ def fold(text: str) -> list[str]:
     return _MARKS.sub(lambda m: _INSTEAD[m.lastgroup], unicodedata.normalize("NFKC", text).casefold()).split()
 
 
-def _digits(number: regex.Match) -> str:
+def _digits(number: str) -> str:
     whole, small = 0, 0
-    for word in number[0].split(" point ")[0].split():
+    cardinal, _, fraction = number.partition(" point ")
+    for word in cardinal.split():
         if word == "hundred":
             small *= 100
         elif word == "thousand":
             whole, small = small * 1000, 0
         else:
             small += _VALUE.get(word, 0)
-    fraction = "".join(DIGITS[w] for w in (number["fraction"] or "").split())
-    return f"{whole + small}" + ("." + fraction if fraction else "")
+    return f"{whole + small}" + ("." + "".join(DIGITS[w] for w in fraction.split()) if fraction else "")
 
 
-def merge_numbers(words: list[str]) -> list[tuple[str, int, int]]:
-    """(word, first, last): spelled-out numbers become digits; first and last tell the words that each came from."""
+def merged_list(words: list[str]) -> list[tuple[str, int, int]]:
+    """merge_numbers inside a task: (word, first, last), first and last telling the words that each came from."""
     line, out, done = " ".join(words), [], 0
     for m in _NUMBER.finditer(line):
         first = line.count(" ", 0, m.start())
         last = first + m[0].count(" ")
-        out += [(words[i], i, i) for i in range(done, first)] + [(_digits(m), first, last)]
+        out += [(words[i], i, i) for i in range(done, first)] + [(_digits(m[0]), first, last)]
         done = last + 1
     return out + [(words[i], i, i) for i in range(done, len(words))]
 
 
-def normalized(text: str | None) -> list[str]:
-    """Comparable words of a text; null and punctuation give none."""
-    return [w for w, _, _ in merge_numbers(fold(_SPLIT_DECIMAL.sub("", text or "")))]
-
-
-@pandas_udf(ArrayType(StringType()))
-def normalize_text(text: pd.Series) -> pd.Series:
-    """Comparable words of each text, with numbers in digits."""
-    return text.map(normalized)
+def _looked_up(word: Column, table: dict) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), word)
+
+
+def in_digits(number: Column) -> Column:
+    """`four hundred two point five` as `402.5`; number: words that NUMBER fits."""
+    words = F.split(number, " ")
+    point = F.array_position(words, "point").cast("int")
+    whole = F.when(point > 0, F.slice(words, F.lit(1), F.greatest(point - 1, F.lit(0)))).otherwise(words)
+    start = F.struct(F.lit(0).alias("thousands"), F.lit(0).alias("rest"))
+    step = lambda acc, w: (
+        F.when(w == "hundred", F.struct(acc["thousands"].alias("thousands"), (acc["rest"] * 100).alias("rest")))
+        .when(w == "thousand", F.struct((acc["rest"] * 1000).alias("thousands"), F.lit(0).alias("rest")))
+        .otherwise(F.struct(acc["thousands"].alias("thousands"), (acc["rest"] + F.coalesce(_looked_up(w, _VALUE), F.lit(0))).alias("rest")))
+    )
+    value = F.aggregate(whole, start, step, lambda acc: (acc["thousands"] + acc["rest"]).cast("string"))
+    fraction = F.array_join(F.transform(F.slice(words, point + 1, F.size(words)), lambda w: _looked_up(w, DIGITS)), "")
+    return F.when(point > 0, F.concat(value, F.lit("."), fraction)).otherwise(value)
+
+
+def merge_numbers(words: Column) -> Column:
+    """array<struct<word, n>>: words with spelled-out numbers in digits, and how many words each came from."""
+    # No word has a line break: it marks where numbers begin and end.
+    pieces = F.split(F.regexp_replace(F.array_join(words, " "), NUMBER, "\n$0\n"), "\n")
+    kept = lambda p: F.transform(F.filter(F.split(p, " "), lambda w: w != ""), lambda w: F.struct(w.alias("word"), F.lit(1).alias("n")))
+    number = lambda p: F.array(F.struct(in_digits(p).alias("word"), F.size(F.split(p, " ")).alias("n")))
+    merged = F.flatten(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, number(p)).otherwise(kept(p))))
+    return F.when(F.arrays_overlap(words, F.array(*map(F.lit, ("zero", *_VALUE)))), merged).otherwise(F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(1).alias("n"))))
+
+
+def normalize_text(text: Column | str) -> Column:
+    """Comparable words of a text, numbers in digits; null and punctuation give none."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.transform(merge_numbers(fold_text(F.regexp_replace(text, r"(?<=\p{Nd})[\s\p{Z}\x1c-\x1f\x85]+(?=\.\p{Nd})", ""))), lambda x: x["word"])
 
 
 @pandas_udf(ArrayType(StringType()))

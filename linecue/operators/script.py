@@ -25,8 +25,8 @@ HEADING = r"^(#{1,6})(?:[ \t]+(.*?))?[ \t]*$"
 QUOTED = r"^>[ \t]?(.*)$"
 CHART_TAG = r"(?is)<!--\s*chart\s*:(.*?)-->"
 PAUSE_TAG = r"(?is)<!--\s*pause\s*:(.*?)-->"
-CHART_USAGE = "use <!-- chart: sales-2020 --> or <!-- chart: sales-2020, sequence -->"
-PAUSE_USAGE = "use <!-- pause: 2.5 -->, a number of seconds above 0"
+CHART_USAGE = "use <!-- chart: tides-by-month --> or <!-- chart: tides-by-month, sequence -->"
+PAUSE_USAGE = "use <!-- pause: 0.75 -->, a number of seconds above 0"
 
 
 def script_lines(scripts: DataFrame) -> DataFrame:
@@ -36,20 +36,21 @@ def script_lines(scripts: DataFrame) -> DataFrame:
 
 
 def line_kinds(lines: DataFrame) -> DataFrame:
-    """lines with kind, number (of paragraphs), level and title text (of headings) and body (what the line says)."""
+    """lines with kind, digits and number (of paragraphs; null beyond an int's range), level and title text (of headings) and body (what the line says)."""
     text = F.col("text")
     part = lambda shape, k: F.regexp_extract(text, shape, k)
-    number = lambda shape: F.concat(part(shape, 2), part(shape, 3)).cast("int")
+    digits = lambda shape: F.regexp_replace(F.concat(part(shape, 2), part(shape, 3)), r"^0+(?=\d)", "")
     blank = text.rlike(r"(?U)^\s*$")
     kind = F.when(text.rlike(PARAGRAPH), "paragraph").when(text.rlike(UNSEPARATED), "unseparated").when(text.rlike(HEADING), "heading").when(text.rlike(QUOTED), "quote").when(blank, "blank").otherwise("text")
     out = lines.withColumn("kind", kind)
-    return out.withColumns(
+    out = out.withColumns(
         {
-            "number": F.when(F.col("kind") == "paragraph", number(PARAGRAPH)).when(F.col("kind") == "unseparated", number(UNSEPARATED)),
+            "digits": F.when(F.col("kind") == "paragraph", digits(PARAGRAPH)).when(F.col("kind") == "unseparated", digits(UNSEPARATED)),
             "level": F.when(F.col("kind") == "heading", F.length(part(HEADING, 1))),
             "body": F.when(F.col("kind") == "paragraph", part(PARAGRAPH, 4)).when(F.col("kind") == "heading", F.coalesce(part(HEADING, 2), F.lit(""))).when(F.col("kind") == "quote", part(QUOTED, 1)).otherwise(text),
         }
     )
+    return out.withColumn("number", F.col("digits").try_cast("int"))
 
 
 def chapter_title(heading: Column, mode: str = QUOTE) -> Column:
@@ -92,7 +93,7 @@ def chart_tags(outline: DataFrame) -> DataFrame:
     )
     rows = rows.select("script_id", "owner", "line", "seq", name.alias("id"), (F.size("parts") == 2).alias("sequence"), problem.alias("problem"))
     again = F.row_number().over(Window.partitionBy("script_id", "owner", "id", F.col("problem").isNull()).orderBy("line", "seq")) > 1
-    owners = outline.where("kind = 'paragraph'").select("script_id", F.col("line").alias("owner"), F.concat(F.lit("P"), "number").alias("of"))
+    owners = outline.where("kind = 'paragraph'").select("script_id", F.col("line").alias("owner"), F.concat(F.lit("P"), "digits").alias("of"))
     rows = rows.withColumn("again", again & F.col("problem").isNull()).join(owners, ["script_id", "owner"], "left")
     return rows.withColumn("problem", F.when(F.col("again"), F.format_string("chart '%s' is tagged twice on %s", "id", "of")).otherwise(F.col("problem"))).drop("again", "of")
 
@@ -106,7 +107,7 @@ def pause_tags(outline: DataFrame) -> DataFrame:
     rows = rows.select("script_id", "owner", "line", "seq", value.alias("pause"), problem.alias("problem"))
     good = Window.partitionBy("script_id", "owner", F.col("problem").isNull()).orderBy("line", "seq")
     rows = rows.withColumns({"nth": F.row_number().over(good), "first_line": F.first("line").over(good)})
-    owners = outline.where("kind = 'paragraph'").select("script_id", F.col("line").alias("owner"), F.concat(F.lit("P"), "number").alias("of"))
+    owners = outline.where("kind = 'paragraph'").select("script_id", F.col("line").alias("owner"), F.concat(F.lit("P"), "digits").alias("of"))
     twice = F.col("problem").isNull() & (F.col("nth") > 1)
     rows = rows.join(owners, ["script_id", "owner"], "left")
     return rows.withColumn("problem", F.when(twice, F.format_string("%s has two pause tags (first at line %d)", "of", "first_line")).otherwise(F.col("problem"))).drop("nth", "first_line", "of")
@@ -114,10 +115,11 @@ def pause_tags(outline: DataFrame) -> DataFrame:
 
 def number_problems(outline: DataFrame) -> DataFrame:
     """(script_id, line, message): numbers that are repeated or smaller than the one before."""
-    rows = outline.where("kind = 'paragraph'").select("script_id", "line", "number")
-    first = F.min("line").over(Window.partitionBy("script_id", "number"))
-    rows = rows.withColumns({"first_line": first, "last": F.lag("number").over(Window.partitionBy("script_id").orderBy("line"))})
-    message = F.when(F.col("line") > F.col("first_line"), F.format_string("P%d is repeated (first at line %d)", "number", "first_line")).when(F.col("number") < F.col("last"), F.format_string("P%d comes after P%d but numbers must increase", "number", "last"))
+    # Numbers of any length: fewer digits come first.
+    rows = outline.where("kind = 'paragraph'").select("script_id", "line", "digits", F.struct(F.length("digits").alias("n"), "digits").alias("size"))
+    first = F.min("line").over(Window.partitionBy("script_id", "digits"))
+    rows = rows.withColumns({"first_line": first, "last": F.lag("size").over(Window.partitionBy("script_id").orderBy("line"))})
+    message = F.when(F.col("line") > F.col("first_line"), F.format_string("P%s is repeated (first at line %d)", "digits", "first_line")).when(F.col("size") < F.col("last"), F.format_string("P%s comes after P%s but numbers must increase", "digits", "last.digits"))
     return rows.select("script_id", "line", message.alias("message")).where("message is not null")
 
 
@@ -132,7 +134,7 @@ def paragraphs(lines: DataFrame, mode: str = QUOTE) -> DataFrame:
     tags = chart_tags(outline).where("problem is null").groupBy("script_id", "owner").agg(F.transform(F.sort_array(F.collect_list(F.struct("line", "seq", "id", "sequence"))), lambda t: F.struct(t["id"].alias("id"), t["sequence"].alias("sequence"), t["line"].alias("line"))).alias("charts"))
     pauses = pause_tags(outline).where("problem is null").groupBy("script_id", "owner").agg(F.min("pause").alias("pause_after"))
     texts = _texts(outline, mode).select("script_id", "owner", clean_text(F.col("raw")).alias("text")).where("text <> ''")
-    rows = outline.where("kind = 'paragraph'").select("script_id", "chapter_key", "number", "line", F.col("line").alias("owner"))
+    rows = outline.where("kind = 'paragraph'").select("script_id", "chapter_key", "digits", "number", "line", F.col("line").alias("owner"))
     rows = rows.join(texts, ["script_id", "owner"]).join(tags, ["script_id", "owner"], "left").join(pauses, ["script_id", "owner"], "left").join(heads, ["script_id", "chapter_key"], "left")
     order = Window.partitionBy("script_id").orderBy("line")
     none = F.array().cast("array<struct<id:string,sequence:boolean,line:int>>")
@@ -141,7 +143,7 @@ def paragraphs(lines: DataFrame, mode: str = QUOTE) -> DataFrame:
         (F.dense_rank().over(Window.partitionBy("script_id").orderBy("chapter_key")) - 1).alias("chapter_no"),
         F.coalesce("title", F.lit(INTRO)).alias("chapter"),
         (F.row_number().over(order) - 1).alias("ord"),
-        F.concat(F.lit("P"), "number").alias("id"),
+        F.concat(F.lit("P"), "digits").alias("id"),
         "number",
         "line",
         "text",
@@ -154,9 +156,9 @@ def problems(lines: DataFrame, mode: str = QUOTE) -> DataFrame:
     """(script_id, line, seq, message) of everything that is wrong with each script."""
     outline = outlined(lines)
     at = lambda df, seq, message: df.select("script_id", "line", F.lit(seq).alias("seq"), message.alias("message"))
-    unseparated = F.format_string("P%d is missing a separator after the identifier (use '-', ':', '.', an en dash or an em dash)", "number")
+    unseparated = F.format_string("P%s is missing a separator after the identifier (use '-', ':', '.', an en dash or an em dash)", "digits")
     untitled = outline.where("kind = 'heading' AND level IN (2, 3)").where(chapter_title(F.col("body"), mode) == "")
-    heads = outline.where("kind = 'paragraph'").select("script_id", "line", F.col("line").alias("owner"), F.concat(F.lit("P"), "number").alias("id"))
+    heads = outline.where("kind = 'paragraph'").select("script_id", "line", F.col("line").alias("owner"), F.concat(F.lit("P"), "digits").alias("id"))
     texts = heads.join(_texts(outline, mode), ["script_id", "owner"], "left").withColumn("text", clean_text(F.col("raw")))
     empty = F.when(F.col("raw").isNull(), F.format_string("%s has no blockquote (use --text inline?)", "id")).when(F.col("text") == "", F.format_string("%s has no text to align (empty after cleaning)", "id"))
     last = texts.where("text <> ''").groupBy("script_id").agg(F.max_by(F.struct("owner", "id"), "line").alias("last")).select("script_id", "last.*")

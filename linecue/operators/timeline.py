@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linecue.functions.text import fold_text, merge_numbers
+from linecue.functions.text import NUMBER_WORDS, fold_text, merge_numbers
 
 TOLERANCE, LEAST_LENGTH, MIN_PULL, MAX_PULL = 0.05, 0.02, 0.3, 2.0
 
@@ -84,16 +83,25 @@ def split_words(words: DataFrame, tokens: Column) -> DataFrame:
 
 
 def normalize_words(words: DataFrame) -> DataFrame:
-    """(script_id, part_no, idx, word, start, end): timed comparable words; decimals joined, hyphenated words split, numbers in digits."""
+    """(script_id, part_no, idx, word, start, end): timed comparable words; decimals joined, hyphenated words split, numbers in digits.
 
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["idx", "sub"]).reset_index(drop=True)
-        found = merge_numbers(rows.word.tolist())
-        first, last = [f for _, f, _ in found], [t for _, _, t in found]
-        return pd.DataFrame({"script_id": rows.script_id[first].to_numpy(), "part_no": rows.part_no[first].to_numpy(), "idx": range(len(found)), "word": [w for w, _, _ in found], "start": rows.start[first].to_numpy(), "end": rows.end[last].to_numpy()})
-
-    tokens = split_words(join_decimals(words), fold_text(F.col("text"))).select("script_id", "part_no", "idx", "sub", "word", "start", "end")
-    return tokens.groupBy("script_id", "part_no").applyInPandas(merge, "script_id long, part_no int, idx int, word string, start double, end double")
+    Only words that can be part of a number meet, those that follow one another:
+    a run of them is one group, however long the part is.
+    """
+    keys = ["script_id", "part_no"]
+    tokens = split_words(join_decimals(words), fold_text(F.col("text"))).select(*keys, "idx", "sub", "word", "start", "end")
+    order = Window.partitionBy(*keys).orderBy("idx", "sub")
+    # What can't be part of a number is a run of its own.
+    tokens = tokens.withColumn("spelled", F.col("word").isin(*NUMBER_WORDS))
+    fresh = ~(F.col("spelled") & F.coalesce(F.lag("spelled").over(order), F.lit(False)))
+    runs = tokens.withColumn("run", F.sum(fresh.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    gathered = runs.where("spelled").groupBy(*keys, "run").agg(F.sort_array(F.collect_list(F.struct("idx", "sub", "word", "start", "end"))).alias("ws"))
+    merged = gathered.select(*keys, "run", "ws", merge_numbers(F.transform("ws", lambda w: w["word"])).alias("m"))
+    merged = merged.select(*keys, "run", "ws", F.posexplode("m").alias("k", "x"), F.transform("m", lambda x: x["n"]).alias("n"))
+    before = F.aggregate(F.slice("n", F.lit(1), F.col("k")), F.lit(0), lambda acc, n: acc + n)
+    merged = merged.select(*keys, "run", "k", F.col("x.word").alias("word"), F.get("ws", before)["start"].alias("start"), F.get("ws", before + F.col("x.n") - 1)["end"].alias("end"))
+    rows = merged.union(runs.where("NOT spelled").select(*keys, "run", F.lit(0).alias("k"), "word", "start", "end"))
+    return rows.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy("run", "k")) - 1).alias("idx"), "word", "start", "end")
 
 
 def speech_segments(levels: DataFrame, frame: float, pause: float, share: float = 0.05, quantile: float = 0.98, least: float = 0.2) -> DataFrame:

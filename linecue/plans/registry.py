@@ -47,6 +47,75 @@ def _sql_millis(expression: str, name: str) -> str:
     return f"CAST(floor({expression} * 1000 + 0.5) AS BIGINT) AS {name}"
 
 
+def _merged_sql(lists: str) -> str:
+    """CTEs that end in merged (rid, i, n, w): spelled-out numbers of word lists as digits; lists: a table (rid, ws). Lengths of readings are built up from tens over hundreds and thousands."""
+    names = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    small, tens = [*words.UNITS, *words.TEENS], [*words.TENS]
+    digit = f"list_contains({names(words.DIGITS)}, %s)"
+    unit, teen, ten = f"list_contains({names(words.UNITS)}, ws[%s])", f"list_contains({names(small)}, ws[%s])", f"list_contains({names(tens)}, ws[%s])"
+    each = "list_transform(range(1, len(ws) + 1), lambda i: {})"
+    open_tail = "CASE WHEN {0} > 0 AND coalesce(ws[{1} + {0}], '') NOT IN ({2}) THEN {0} ELSE 0 END"
+    value = f"list_sum(list_transform({{}}, lambda w: coalesce(list_position({names(small)}, w), 10 + 10 * list_position({names(tens)}, w), 0)))"
+    part = f"(CASE WHEN list_contains({{0}}, 'hundred') THEN 100 * list_position({names(small)}, {{0}}[1]) + coalesce({value.format('{0}[3:]')}, 0) ELSE coalesce({value.format('{0}')}, 0) END)"
+    return f"""
+  tens_of AS (SELECT rid, ws, {each.format(f"CASE WHEN {ten % 'i'} THEN CASE WHEN {unit % 'i + 1'} THEN 2 ELSE 1 END WHEN {teen % 'i'} THEN 1 ELSE 0 END")} AS tl FROM {lists}),
+  hundreds_of AS (
+    SELECT rid, ws, tl, {each.format(f"CASE WHEN {unit % 'i'} AND ws[i + 1] = 'hundred' THEN 2 + CASE WHEN ws[i + 2] = 'and' THEN CASE WHEN tl[i + 3] > 0 AND coalesce(ws[i + 3 + tl[i + 3]], '') <> 'hundred' THEN 1 + tl[i + 3] ELSE 0 END ELSE " + open_tail.format("tl[i + 2]", "i + 2", "'hundred'") + " END ELSE tl[i] END")} AS hl FROM tens_of),
+  behind_thousand AS (SELECT rid, ws, hl, {each.format("CASE WHEN ws[i] = 'and' THEN CASE WHEN tl[i + 1] > 0 THEN 1 + tl[i + 1] ELSE 0 END ELSE hl[i] END")} AS bl FROM hundreds_of),
+  thousands_of AS (
+    SELECT rid, ws, {each.format("CASE WHEN ws[i] = 'zero' THEN 1 WHEN hl[i] > 0 AND ws[i + hl[i]] = 'thousand' THEN hl[i] + 1 + " + open_tail.format("bl[i + hl[i] + 1]", "i + hl[i] + 1", "'hundred', 'thousand'") + " ELSE hl[i] END")} AS nl FROM behind_thousand),
+  cardinals AS (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS i, unnest(nl) AS n FROM thousands_of),
+  readings AS (
+    SELECT rid, i, n + CASE WHEN ws[i + n] = 'point' AND {digit % 'ws[i + n + 1]'} THEN coalesce(list_position(list_transform(ws[i + n + 1 :], lambda w: {digit % 'w'}), false), len(ws) - i - n + 1) ELSE 0 END AS n
+    FROM cardinals WHERE n > 0),
+  picks AS (
+    SELECT rid, min(i) AS i, arg_min(n, i) AS n FROM readings GROUP BY rid
+    UNION ALL SELECT r.rid, min(r.i), arg_min(r.n, r.i) FROM picks p JOIN readings r ON r.rid = p.rid AND r.i >= p.i + p.n GROUP BY r.rid),
+  phrases AS (SELECT p.rid, p.i, p.n, ws[p.i : p.i + p.n - 1] AS ph FROM picks p JOIN {lists} USING (rid)),
+  cardinal_parts AS (SELECT rid, i, n, CASE WHEN list_contains(ph, 'point') THEN ph[: list_position(ph, 'point') - 1] ELSE ph END AS card, CASE WHEN list_contains(ph, 'point') THEN ph[list_position(ph, 'point') + 1 :] ELSE [] END AS frac FROM phrases),
+  values_of AS (
+    SELECT rid, i, n, (CASE WHEN list_contains(card, 'thousand') THEN 1000 * {part.format("card[: list_position(card, 'thousand') - 1]")} + {part.format("card[list_position(card, 'thousand') + 1 :]")} ELSE {part.format("card")} END)::BIGINT::VARCHAR
+      || CASE WHEN len(frac) > 0 THEN '.' || array_to_string(list_transform(frac, lambda w: CASE WHEN w IN ('zero', 'oh') THEN 0 ELSE list_position({names(words.UNITS)}, w) END), '') ELSE '' END AS w FROM cardinal_parts),
+  merged AS (
+    SELECT rid, i, n, w FROM values_of
+    UNION ALL SELECT c.rid, c.i, 1, c.ws[c.i] FROM cardinals c WHERE NOT EXISTS (SELECT 1 FROM picks p WHERE p.rid = c.rid AND c.i BETWEEN p.i AND p.i + p.n - 1))"""
+
+
+def _folded_sql(text: str) -> str:
+    """Comparable words of a text in SQL, as far as the tables' letters need it: of those that NFKC and case folding change in another way than lower(), they have ß only."""
+    twice = lambda t, a, b: f"regexp_replace(regexp_replace({t}, '{a}', {b}, 'g'), '{a}', {b}, 'g')"
+    t = twice(f"coalesce({text}, '')", r"(\d)\s+(\.\d)", r"'\1\2'")
+    t = twice(f"replace(lower({t}), 'ß', 'ss')", r"([\p{L}\p{N}])[''’ʼ]([\p{L}\p{N}])", r"'\1' || chr(1) || '\2'")
+    t = twice(t, r"(\p{Nd})\.(\p{Nd})", r"'\1' || chr(2) || '\2'")
+    t = rf"regexp_replace(regexp_replace({t}, '[\p{{Pd}}/\s]', ' ', 'g'), '[\p{{P}}\p{{S}}ʼ]', '', 'g')"
+    return f"list_filter(string_split_regex(replace(replace({t}, chr(1), ''''), chr(2), '.'), '\\s+'), lambda w: w <> '')"
+
+
+def _spoken(word: str, at: str) -> F.Column:
+    """The word, or in three of five places a number word that a whole-number rule gives, so that numbers of all shapes stand in the texts."""
+    names = F.array(*map(F.lit, words.NUMBER_WORDS))
+    k = F.col(at).cast("long")
+    return F.when((k * 7 + F.col("script_id")) % 5 < 3, F.get(names, ((k * k + F.col("script_id")) % len(words.NUMBER_WORDS)).cast("int"))).otherwise(F.col(word))
+
+
+def _spoken_sql(word: str, at: str) -> str:
+    return f"CASE WHEN ({at}::BIGINT * 7 + script_id) % 5 < 3 THEN {list(words.NUMBER_WORDS)}[({at}::BIGINT * {at} + script_id) % {len(words.NUMBER_WORDS)} + 1] ELSE {word} END"
+
+
+NUMBERS_SQL = f"""{SQL.replace("WITH paragraphs", "WITH RECURSIVE paragraphs", 1)},
+  given AS (
+    SELECT script_id, ord, text FROM paragraphs UNION ALL SELECT doc_id, -1, text FROM documents
+    UNION ALL SELECT script_id, 1000 + ord, string_agg({_spoken_sql("word", "gpos")}, ' ' ORDER BY pos) FROM script_words GROUP BY script_id, ord),
+  listed AS (SELECT row_number() OVER () AS rid, script_id, ord, {_folded_sql("text")} AS ws FROM given),{_merged_sql("listed")}
+SELECT script_id, ord, coalesce(string_agg(w, ' ' ORDER BY i), '') AS words FROM listed LEFT JOIN merged USING (rid) GROUP BY rid, script_id, ord"""
+TIMED_NUMBERS_SQL = f"""{SQL.replace("WITH paragraphs", "WITH RECURSIVE paragraphs", 1)},
+  tokens AS (SELECT script_id, part_no, idx, s, e, unnest({_folded_sql(_spoken_sql("word", "idx"))}) AS word FROM heard_words),
+  timed AS (SELECT *, row_number() OVER (PARTITION BY script_id, part_no ORDER BY idx) AS i FROM tokens),
+  listed AS (SELECT script_id * 100000 + part_no AS rid, list(word ORDER BY i) AS ws FROM timed GROUP BY ALL),{_merged_sql("listed")}
+SELECT a.script_id, a.part_no, CAST(row_number() OVER (PARTITION BY m.rid ORDER BY m.i) - 1 AS INTEGER) AS idx, m.w AS word, a.s / 1000 AS start, b.e / 1000 AS "end"
+FROM merged m JOIN timed a ON a.script_id * 100000 + a.part_no = m.rid AND a.i = m.i JOIN timed b ON b.script_id = a.script_id AND b.part_no = a.part_no AND b.i = m.i + m.n - 1"""
+
+
 def _heard(s: SparkSession, d: str) -> DataFrame:
     """Heard words in seconds."""
     return bridge.heard_words(s, d).withColumns({"start": F.col("start") / 1000, "end": F.col("end") / 1000})
@@ -127,16 +196,18 @@ def split_word_times(s, d):
     return timeline.split_words(rows, tokens).select("script_id", "idx", "sub", "word", F.col("start").alias("start_ms"), F.col("end").alias("end_ms"))
 
 
-@query()
+@query(NUMBERS_SQL, base="")
 def normalize_numbers(s, d):
-    """Comparable words of every turn and of every document, numbers in digits."""
+    """Comparable words of every turn and of every document, numbers in digits, joined by spaces."""
     texts = bridge.paragraphs(s, d).select("script_id", "ord", "text").union(table(s, d, "documents").select(F.col("doc_id"), F.lit(-1), "text"))
-    return texts.select("script_id", "ord", words.normalize_text("text").alias("words"))
+    spoken = bridge.script_words(s, d).groupBy("script_id", "ord").agg(F.sort_array(F.collect_list(F.struct("pos", _spoken("word", "gpos").alias("w")))).alias("ws"))
+    texts = texts.union(spoken.select("script_id", F.col("ord") + 1000, F.array_join(F.transform("ws", lambda x: x["w"]), " ")))
+    return texts.select("script_id", "ord", F.array_join(words.normalize_text("text"), " ").alias("words"))
 
 
-@query()
+@query(TIMED_NUMBERS_SQL, base="")
 def normalize_timed_words(s, d):
-    rows = _heard(s, d).select("script_id", "part_no", "idx", F.col("word").alias("text"), "start", "end")
+    rows = _heard(s, d).select("script_id", "part_no", "idx", _spoken("word", "idx").alias("text"), "start", "end")
     return timeline.normalize_words(rows)
 
 

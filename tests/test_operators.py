@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import random
 import wave
 
 import pytest
@@ -16,29 +17,61 @@ from linecue.sources import files
 from linecue.streaming.live import align_stream, speech_sessions
 
 
-@pytest.mark.parametrize(
-    "given, want",
-    [
-        ("Mara's ferries don't wait", "mara's ferries don't wait"),
-        ("the sailors' knots of the '80s", "the sailors knots of the 80s"),
-        ("oﬀ the coast, ３１ boats", "off the coast 31 boats"),
-        ("GROSS groß", "gross gross"),
-        ("412 18,000 2.75 009", "412 18000 2.75 009"),
-        ("£30 or 15% at 6:45", "30 or 15 at 645"),
-        ("six hundred and eighty-two", "682"),
-        ("four thousand and nine hundred", "4000 and 900"),
-        ("thirty thirty-one", "30 31"),
-        ("sixty-two thousand point eight", "62000.8"),
-        ("three point forty", "3 point 40"),
-        ("zero point oh seven tens", "0.07 tens"),
-        ("two hundred thirty two hundred", "200 32 hundred"),
-        ("$18 .25. and/or — x", "18.25 and or x"),
-        ("...", ""),
-        (None, ""),
-    ],
-)
-def test_normalized(given, want):
-    assert text.normalized(given) == want.split()
+def spelled(rand, n):
+    """A cardinal in words, with or without `and` and hyphens."""
+    units = [None, *text.UNITS, *text.TEENS]
+    if n >= 1000:
+        return spelled(rand, n // 1000) + " thousand" + (f" {spelled(rand, n % 1000)}" if n % 1000 else "")
+    if n >= 100:
+        return f"{units[n // 100]} hundred" + (rand.choice([" and ", " "]) + spelled(rand, n % 100) if n % 100 else "")
+    if n >= 20:
+        return [*text.TENS][n // 10 - 2] + (rand.choice(["-", " "]) + units[n % 10] if n % 10 else "")
+    return units[n] or "zero"
+
+
+def normalized(spark, rows):
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i long, t string").repartition(2)
+    return [r.w for r in df.select("i", text.normalize_text("t").alias("w")).orderBy("i").collect()]
+
+
+def test_spelled_numbers_become_digits(spark):
+    """Random cardinals and fractions between random words and marks."""
+    rand, given, want = random.Random(4), [], []
+    for _ in range(1500):
+        said, words = [], []
+        for _ in range(rand.randint(1, 4)):
+            n = rand.choice([rand.randint(0, 30), rand.randint(0, 999), rand.randint(0, 999_999)])
+            digits = [rand.randint(0, 9) for _ in range(rand.choice([0, 0, 1, 3]))]
+            names = [rand.choice(["zero", "oh"]) if d == 0 else [*text.UNITS][d - 1] for d in digits]
+            said += [rand.choice(["Boats", "(boats)", "boats…", "“boats”"]), spelled(rand, n) + (" point " + " ".join(names) if digits else "") + rand.choice([",", "!", ""])]
+            words += ["boats", str(n) + ("." + "".join(map(str, digits)) if digits else "")]
+        given.append(rand.choice([" ", "\n", "  "]).join(said))
+        want.append(words)
+    assert normalized(spark, given) == want
+
+
+def test_numbers_equal_a_reader_of_lists(spark):
+    """Any sequence of number words: the expression and the list form take the same ones together."""
+    rand = random.Random(9)
+    rows = [" ".join(rand.choices(["boats", "5", *text.NUMBER_WORDS], [6, 3, *[1] * (len(text.NUMBER_WORDS) - 4), 9, 9, 9, 9], k=rand.randint(0, 12))) for _ in range(4000)]
+    assert normalized(spark, rows) == [[w for w, _, _ in text.merged_list(r.split())] for r in rows]
+
+
+def test_marks_are_kept_or_dropped_by_their_neighbours(spark):
+    rand = random.Random(2)
+    for mark, between, alone in [("'", "'", ""), ("’", "'", ""), (".", ".", ""), (",", "", ""), ("/", " ", " "), ("–", " ", " "), ("€", "", ""), ("“", "", "")]:
+        a, b = rand.sample(["12", "345", "6"], 2)
+        got = normalized(spark, [f"{a}{mark}{b}", f"{mark} {a}{mark} {b}", f"Ab{mark}cD"])
+        inside = between if mark != "." else ""
+        assert got == [f"{a}{between}{b}".split(), [a, b], f"ab{inside}cd".split()]
+    assert normalized(spark, [None, "", "?! …", "ﬁn ４２ STRASSE straße", "7 .5"]) == [[], [], [], ["fin", "42", "strasse", "strasse"], ["7.5"]]
+
+
+def test_numbers_without_bound_stop_no_script(spark):
+    lines = "P7 - a\n> a\nP99999999999 - b\n> b\nP" + "9" * 60 + " - c\n> c\nP012 - d\n> d\n"
+    rows = script.paragraphs(lines_of(spark, lines)).orderBy("ord").collect()
+    assert [(r.id, r.number) for r in rows] == [("P7", 7), ("P99999999999", None), ("P" + "9" * 60, None), ("P12", 12)]
+    assert [(r.line, r.message) for r in script.problems(lines_of(spark, lines)).collect()] == [(7, f"P12 comes after P{'9' * 60} but numbers must increase")]
 
 
 def test_timed_words(spark):
