@@ -1,19 +1,18 @@
-"""Text to comparable words: cleaning and tokens as expressions, Unicode folding and spelled-out numbers as an Arrow UDF.
+"""Text to comparable words as expressions: cleaning, folding, marks and spelled-out numbers.
 
-Spark has neither NFKC nor case folding, and numbers in words need a grammar,
-so the exact path is one pandas UDF whose helper is a few regular expressions.
+Classes of characters are those of the JVM's Unicode version. `fold` and
+`merged_list` do the same inside the Python tasks that need it.
 """
 
 from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType
+
+from linecue.functions.unicode import bound, fold_case
 
 # Number words.
 UNITS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9}
@@ -24,6 +23,8 @@ _VALUE = UNITS | TEENS | TENS
 
 # Characters that count as an apostrophe.
 APOSTROPHES = "'’ʼ"
+#: What Python takes for white space.
+WHITE = r"[\s\p{Z}\x1c-\x1f\x85]"
 _MARKS = regex.compile(
     rf"(?P<apostrophe>(?<=[\p{{L}}\p{{N}}])[{APOSTROPHES}](?=[\p{{L}}\p{{N}}]))"
     r"|(?P<point>(?<=\p{Nd})\.(?=\p{Nd}))"
@@ -99,23 +100,29 @@ def in_digits(number: Column) -> Column:
 def merge_numbers(words: Column) -> Column:
     """array<struct<word, n>>: words with spelled-out numbers in digits, and how many words each came from."""
     # No word has a line break: it marks where numbers begin and end.
-    pieces = F.split(F.regexp_replace(F.array_join(words, " "), NUMBER, "\n$0\n"), "\n")
+    pieces = lambda ws: F.split(F.regexp_replace(F.array_join(ws, " "), NUMBER, "\n$0\n"), "\n")
     kept = lambda p: F.transform(F.filter(F.split(p, " "), lambda w: w != ""), lambda w: F.struct(w.alias("word"), F.lit(1).alias("n")))
     number = lambda p: F.array(F.struct(in_digits(p).alias("word"), F.size(F.split(p, " ")).alias("n")))
-    merged = F.flatten(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, number(p)).otherwise(kept(p))))
-    return F.when(F.arrays_overlap(words, F.array(*map(F.lit, ("zero", *_VALUE)))), merged).otherwise(F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(1).alias("n"))))
+    merged = lambda ws: F.flatten(F.transform(pieces(ws), lambda p, i: F.when(i % 2 == 1, number(p)).otherwise(kept(p))))
+    as_they_are = lambda ws: F.transform(ws, lambda w: F.struct(w.alias("word"), F.lit(1).alias("n")))
+    return bound(words, lambda ws: F.when(F.arrays_overlap(ws, F.array(*map(F.lit, ("zero", *_VALUE)))), merged(ws)).otherwise(as_they_are(ws)))
 
 
 def normalize_text(text: Column | str) -> Column:
     """Comparable words of a text, numbers in digits; null and punctuation give none."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.transform(merge_numbers(fold_text(F.regexp_replace(text, r"(?<=\p{Nd})[\s\p{Z}\x1c-\x1f\x85]+(?=\.\p{Nd})", ""))), lambda x: x["word"])
+    return F.transform(merge_numbers(fold_text(F.regexp_replace(text, rf"(?<=\p{{Nd}}){WHITE}+(?=\.\p{{Nd}})", ""))), lambda x: x["word"])
+
 
+def fold_text(text: Column) -> Column:
+    """Comparable words of each text, numbers as they are written; null gives none.
 
-@pandas_udf(ArrayType(StringType()))
-def fold_text(text: pd.Series) -> pd.Series:
-    """Comparable words of each text, numbers as they are written."""
-    return text.map(lambda t: fold(t or ""))
+    Marks are judged where they stand, so one pass drops all that go; what is
+    left of apostrophes, points and gaps needs no look at its neighbours.
+    """
+    kept = rf"(?<=[\p{{L}}\p{{N}}])[{APOSTROPHES}](?=[\p{{L}}\p{{N}}])|(?<=\p{{Nd}})\.(?=\p{{Nd}})|\p{{Pd}}|/"
+    bare = F.regexp_replace(fold_case(F.coalesce(text, F.lit(""))), rf"(?!{kept})[\p{{P}}\p{{S}}{APOSTROPHES}]", "")
+    return F.filter(F.split(F.translate(bare, APOSTROPHES, "'" * len(APOSTROPHES)), rf"(?:\p{{Pd}}|/|{WHITE})+"), lambda w: w != "")
 
 
 def plain_words(text: Column) -> Column:

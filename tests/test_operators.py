@@ -5,13 +5,14 @@ from __future__ import annotations
 import io
 import json
 import random
+import unicodedata
 import wave
 
 import pytest
 from pyspark.sql import functions as F
 
 from linecue.errors import Unusable, usable
-from linecue.functions import text, timefmt
+from linecue.functions import text, timefmt, unicode
 from linecue.operators import audio, captions, charts, outputs, script, spans, timeline
 from linecue.sources import files
 from linecue.streaming.live import align_stream, speech_sessions
@@ -57,6 +58,27 @@ def test_numbers_equal_a_reader_of_lists(spark):
     assert normalized(spark, rows) == [[w for w, _, _ in text.merged_list(r.split())] for r in rows]
 
 
+def test_texts_fold_as_in_python(spark):
+    """All code points between others, and random sequences of characters that melt together or change places."""
+    rand, every = random.Random(3), [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rows = ["-".join(every[i : i + 60]) for i in range(0, len(every), 60)]
+    seconds, composed = sorted(unicode._seconds()), [c for c in every if unicodedata.decomposition(c)]
+    for _ in range(5000):
+        pick = lambda: rand.choice([rand.choice("aAeouİΣßｱ "), rand.choice(seconds), rand.choice(seconds), rand.choice(composed), chr(rand.randint(0x1100, 0x11FF)), chr(rand.randint(0xAC00, 0xD7A3)), rand.choice("\u3099\u0323\u0301\u0307")])
+        rows.append("".join(pick() for _ in range(rand.randint(1, 9))))
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i long, t string").repartition(4)
+    got = {r.i: r.f for r in df.select("i", unicode.fold_case(F.col("t")).alias("f")).collect()}
+    assert [i for i, r in enumerate(rows) if got[i] != unicodedata.normalize("NFKC", r).casefold()] == []
+
+
+def test_words_fold_as_in_the_tasks(spark):
+    rand = random.Random(8)
+    rows = ["".join(rand.choices("ab1٣.,’'ʼ-–/ \u00a0\n\x1f€éß½", k=rand.randint(0, 12))) for _ in range(4000)]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i long, t string")
+    got = {r.i: r.f for r in df.select("i", text.fold_text(F.col("t")).alias("f")).collect()}
+    assert [(r, got[i], text.fold(r)) for i, r in enumerate(rows) if got[i] != text.fold(r)] == []
+
+
 def test_marks_are_kept_or_dropped_by_their_neighbours(spark):
     rand = random.Random(2)
     for mark, between, alone in [("'", "'", ""), ("’", "'", ""), (".", ".", ""), (",", "", ""), ("/", " ", " "), ("–", " ", " "), ("€", "", ""), ("“", "", "")]:
