@@ -9,8 +9,8 @@ on: wherever a document holds the item, one of its windows has the very words
 of one of these. Digits are counted side by side in a few numbers, so that a
 window is a sum of blocks of STRIDE words. Items of fewer than SHORT words meet
 windows from every word on, two words shorter than the item, from its first and
-its second word: no more than a word at an end of so short an item can differ.
-No window reaches the item's last word, as a short word counts with the next
+its second word: no more than a word at an end of so short an item can differ; those of SHORT
+words meet windows of a stride without its last word. No window reaches the item's last word, as a short word counts with the next
 one, which behind the item is another (a single word counts alone).
 
 Fingerprints meet in a multi-index of BLOCKS blocks: two of them that differ in
@@ -54,7 +54,7 @@ LEAST_PERCENT = 80
 BITS, BLOCKS = 60, 6
 STRIDE, SIZES = 8, (8, 16, 24, 32, 48, 64, 96)
 #: Items of fewer words are looked for from every word on, as they may hold no whole window of a stride.
-SHORT = 2 * STRIDE
+SHORT = 2 * STRIDE - 1
 #: Added to the size in the key of such windows.
 SHORT_MARK = 128
 #: Shorter words count with the word after them, as on their own they make all texts alike.
@@ -89,6 +89,8 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 def window_size(m: int) -> int:
     """Words of the windows that an item of m words is looked for with: those in its middle stay clear of the words that may differ at its ends."""
+    if m == SHORT:  # a window of each stride that stops before the last word
+        return STRIDE - 1
     return max(1, m - 2) if m < SHORT else max(s for s in SIZES if s <= max(SIZES[0], m - STRIDE + 1 - 2 * (m - WIDTH + 1) // 9))
 
 
@@ -121,15 +123,16 @@ def _marks(counts: list[Column], add: int, half: int, place: int) -> Column:
     return reduce(lambda x, y: x.bitwiseOR(y), [F.shiftrightunsigned(m, place - k) if k <= place else F.shiftleft(m, k - place) for k, m in enumerate(over)])
 
 
-def block_counts(docs: DataFrame) -> DataFrame:
-    """docs (words, further columns) with s0 to s3 instead of words: an array each with a long for every STRIDE words; four digits of long k, from 4 j on, count digit 4 j + k."""
+def block_counts(docs: DataFrame, lasts: bool = False) -> DataFrame:
+    """docs (words, further columns) with s0 to s3 instead of words: an array each with a long for every STRIDE words; four digits of long k, from 4 j on, count digit 4 j + k. lasts: also last, the hash of each block's last word."""
     rows = docs.select(*[c for c in docs.columns if c != "words"], features(F.col("words")).alias("h"))
 
     def counts(k: int) -> Column:
         digits = lambda i, j: F.shiftrightunsigned(F.get("h", i * STRIDE + j), k).bitwiseAND(F.lit(_NIBBLES))
         return F.transform(_places(F.floor(F.size("h") / STRIDE).cast("int")), lambda i: reduce(lambda x, y: x + y, [digits(i, j) for j in range(STRIDE)]))
 
-    return rows.select(*[c for c in rows.columns if c != "h"], *(counts(k).alias(f"s{k}") for k in range(4)))
+    last = F.transform(_places(F.floor(F.size("h") / STRIDE).cast("int")), lambda i: F.get("h", i * STRIDE + STRIDE - 1))
+    return rows.select(*[c for c in rows.columns if c != "h"], *(counts(k).alias(f"s{k}") for k in range(4)), *([last.alias("last")] if lasts else []))
 
 
 def stride_fingerprints(docs: DataFrame, sizes: list[int]) -> DataFrame:
@@ -138,18 +141,22 @@ def stride_fingerprints(docs: DataFrame, sizes: list[int]) -> DataFrame:
     The blocks' counts are summed in generated code, so the sums of a row cost
     little, and no row carries more than its own numbers.
     """
-    most = max(sizes) // STRIDE
-    rows = block_counts(docs)
+    most, without_last = max(1, max(sizes) // STRIDE), STRIDE - 1 in sizes
+    rows = block_counts(docs, without_last)
     # The outer form: a plain one lets the optimizer test for empty arrays before they are made, by making them twice.
-    rows = rows.select("doc", "s0", "s1", "s2", "s3", F.size("s0").alias("n"), F.explode_outer(_places(F.size("s0"))).alias("j"))
+    rows = rows.select("doc", "s0", "s1", "s2", "s3", *(["last"] if without_last else []), F.size("s0").alias("n"), F.explode_outer(_places(F.size("s0"))).alias("j"))
     block = lambda k, t: F.coalesce(F.get(f"s{k}", F.col("j") + t), F.lit(0).cast("long")).alias(f"b{k}_{t}")
-    rows = rows.select("doc", (F.col("n") - F.col("j")).alias("left"), *(block(k, t) for t in range(most) for k in range(4)))
+    rows = rows.select("doc", (F.col("n") - F.col("j")).alias("left"), *(block(k, t) for t in range(most) for k in range(4)), *([F.get("last", F.col("j")).alias("last")] if without_last else []))
     low = lambda c: c.bitwiseAND(F.lit(_LOW))
     part = lambda t: [low(F.col(f"b{k}_{t}")) for k in range(4)] + [low(F.shiftrightunsigned(f"b{k}_{t}", 4)) for k in range(4)]
     first = _marks([F.col(f"b{k}_0") for k in range(4)], (7 - STRIDE // 2) * _NIBBLES, 8 * _NIBBLES, 3)
-    # Longs 0 to 7 of a larger window count digit 8 j + k in their byte j.
-    rows = rows.select("doc", "left", *(f"b{k}_{t}" for t in range(1, most) for k in range(4)), first.alias(f"f{STRIDE}"), *(c.alias(f"c{k}") for k, c in enumerate(part(0))))
     names = [f"f{STRIDE}"]
+    if without_last:  # the block's counts less those of its last word
+        fewer = [F.col(f"b{k}_0") - F.shiftrightunsigned("last", k).bitwiseAND(F.lit(_NIBBLES)) for k in range(4)]
+        rows = rows.select("*", _marks(fewer, (7 - (STRIDE - 1) // 2) * _NIBBLES, 8 * _NIBBLES, 3).alias(f"f{STRIDE - 1}"))
+        names.append(f"f{STRIDE - 1}")
+    # Longs 0 to 7 of a larger window count digit 8 j + k in their byte j.
+    rows = rows.select("doc", "left", *(f"b{k}_{t}" for t in range(1, most) for k in range(4)), first.alias(f"f{STRIDE}"), *names[1:], *(c.alias(f"c{k}") for k, c in enumerate(part(0))))
     for t in range(1, most):
         size = (t + 1) * STRIDE
         rest = [f"b{k}_{u}" for u in range(t + 1, most) for k in range(4)]
@@ -158,7 +165,7 @@ def stride_fingerprints(docs: DataFrame, sizes: list[int]) -> DataFrame:
             mark = _marks([F.col(f"c{k}") for k in range(8)], (63 - size // 2) * _ONES, 0x40 * _ONES, 6)
             rows = rows.select("doc", "left", *names, *rest, *(f"c{k}" for k in range(8)), mark.alias(f"f{size}"))
             names.append(f"f{size}")
-    return rows.select("doc", *(F.when(F.col("left") >= s // STRIDE, F.col(f"f{s}")).alias(f"f{s}") for s in sizes))
+    return rows.select("doc", *(F.when(F.col("left") >= -(-s // STRIDE), F.col(f"f{s}")).alias(f"f{s}") for s in sizes))
 
 
 def word_fingerprints(docs: DataFrame, size: int, alone: bool = False) -> DataFrame:
