@@ -9,9 +9,11 @@ links; distrust is the same from the hosts whose pages the rules block,
 against the links. A host is blocked if its distrust is more than MOST_TIMES
 its trust.
 
-Mass is counted in whole units of a trillionth and every flow, computed from
-whole counts of pages, is rounded down to units, so results don't depend on
-the order of rows and no edge is too rare to carry mass. Each round is two
+Mass is counted in whole units, UNIT of them in all, and every flow, computed
+from whole counts of pages, is rounded down to units, so results don't depend
+on the order of rows. An edge is without flow only where its host has fewer
+units than it has links: with a hundred million hosts a mean host has ten
+thousand million units. Each round is two
 joins of hosts and edges; ranks are checkpointed every CHECKPOINT_ROUNDS.
 There are ROUNDS rounds at least, and more until a round reaches no new host
 and changes no host's mass by more than TOLERANCE units.
@@ -36,10 +38,10 @@ from pyspark.sql import functions as F
 
 from linecue.llm.common import checkpointed, joined_apart, table
 
-UNIT = 1_000_000_000_000
+UNIT = 1_000_000_000_000_000_000
 ROUNDS, CHECKPOINT_ROUNDS = 12, 4
 #: Units, a millionth of all mass.
-TOLERANCE = 1_000_000
+TOLERANCE = UNIT // 1_000_000
 #: Hundredths of the mass that follow edges; the rest returns to the seeds.
 DAMPING = 85
 MOST_TIMES = 9
@@ -143,7 +145,7 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFram
         rows = rows.union(start.select("host", none, "seed", none))
         if settling:
             rows = rows.union(mass.select("host", none, none, "mass"))
-        mass = rows.groupBy("host").agg(F.expr(f"({DAMPING} * sum(flow) + {100 - DAMPING} * sum(seed)) div 100").alias("mass"), F.sum("before").alias("before"))
+        mass = rows.groupBy("host").agg(F.expr(f"({DAMPING} * cast(sum(flow) as decimal(19,0)) + {100 - DAMPING} * cast(sum(seed) as decimal(19,0))) div 100").alias("mass"), F.sum("before").alias("before"))
         if settling:
             mass = checkpointed(mass)
             now = mass.where("mass > 0 or before > 0").agg(F.count(F.when(F.col("mass") > 0, 1)), F.max(F.abs(F.col("mass") - F.col("before"))), F.count(F.when((F.col("mass") > 0) & (F.col("before") == 0), 1))).first()

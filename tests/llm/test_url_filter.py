@@ -136,3 +136,14 @@ def test_a_hub_gives_to_each_of_its_neighbours(spark):
     got = uf.spread(edges, seeds, 4).where("host <> 'hub.io'").groupBy("mass").count().orderBy("mass").collect()
     out = sum(1 + i % 3 for i in range(50_000))
     assert [(r.mass, r["count"]) for r in got] == [(85 * (uf.UNIT * 15 // 100 * n // out) // 100, (50_000 + 3 - n) // 3) for n in (1, 2, 3)]
+
+
+def test_a_poor_hub_among_many_seeds_gives_to_each_of_its_neighbours(spark):
+    links = 300_000
+    edges = spark.range(links).selectExpr("'hub.io' AS a", "concat('n', id, '.io') AS b", "1L AS pages")
+    seeds = spark.createDataFrame([("hub.io", 2), *((f"s{k}.io", 500_000) for k in range(2_000))], "host string, pages long")
+    got = uf.spread(edges, seeds, 4)
+    hub = int(float(uf.UNIT) * (2 / 1_000_000_002)) * 15 // 100
+    assert hub < 10**12 and got.where("host = 'hub.io'").first().mass == hub
+    shares = got.where("host LIKE 'n%'").groupBy("mass").count().collect()
+    assert [(r.mass, r["count"]) for r in shares] == [(85 * (hub // links) // 100, links)] and hub // links > 0
