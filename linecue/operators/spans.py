@@ -1,7 +1,8 @@
 """Matched words to paragraph spans: confidence, status, refined bounds, pace, chapters and warnings.
 
-All of it is aggregation and windows over script_id, so stages share one
-exchange. Times may be in any unit, as long as all are in the same.
+All of it is aggregation and windows over script_id, so words that are dealt
+by script_id stay where they are. Times may be in any unit, as long as all are
+in the same.
 """
 
 from __future__ import annotations
@@ -9,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linecue.functions.timefmt import fixed
+from linecue.operators.keyed import looked_up
+
 OK, LOW, MISSING = "ok", "low_confidence", "missing"
 LEAST_MATCHED, MIN_CONFIDENCE = 0.3, 0.8
 SLOW_FACTOR, SLOW_SECONDS, SLOW_PARAGRAPHS = 3.0, 5.0, 3
@@ -19,15 +23,35 @@ def status_of(n: Column, matched: Column, confidence: Column, min_confidence: fl
     return F.when((matched == 0) | (matched / F.greatest(n, F.lit(1)) < LEAST_MATCHED), MISSING).when(confidence < min_confidence, LOW).otherwise(OK)
 
 
+#: Of the heard words around a matched one: the end of the one before, the start of the one after, where the script's first and last begin and end, and the last one's number.
+AROUND = ["end_before", "start_after", "script_start", "script_end", "last_word"]
+
+
+def _neighbours(heard: DataFrame) -> DataFrame:
+    """heard with heard_idx for idx and AROUND."""
+    order, script = Window.partitionBy("script_id").orderBy("idx"), Window.partitionBy("script_id")
+    beside = lambda f, value, by: F.when(f("idx").over(order) == F.col("idx") + by, f(value).over(order))
+    return heard.select(
+        "script_id",
+        F.col("idx").alias("heard_idx"),
+        "start",
+        "end",
+        beside(F.lag, "end", -1).alias("end_before"),
+        beside(F.lead, "start", 1).alias("start_after"),
+        F.max(F.when(F.col("idx") == 0, F.col("start"))).over(script).alias("script_start"),
+        F.max_by("end", "idx").over(script).alias("script_end"),
+        F.max("idx").over(script).alias("last_word"),
+    )
+
+
 def paragraph_matches(matches: DataFrame, heard: DataFrame) -> DataFrame:
     """Per paragraph: words, matches, confidence, first and last heard word, unmatched words at either edge, median word length.
 
     matches: script_id, ord, pos, heard_idx, similarity. heard: script_id, idx, start, end.
     """
-    times = heard.select("script_id", F.col("idx").alias("heard_idx"), "start", "end")
     hit = F.col("heard_idx").isNotNull()
     return (
-        matches.join(times, ["script_id", "heard_idx"], "left")
+        looked_up(matches, _neighbours(heard), ["script_id", "heard_idx"], ["start", "end", *AROUND])
         .groupBy("script_id", "ord")
         .agg(
             F.count("*").alias("n"),
@@ -41,6 +65,9 @@ def paragraph_matches(matches: DataFrame, heard: DataFrame) -> DataFrame:
             F.max("end").alias("end"),
             F.median(F.col("end") - F.col("start")).alias("word_length"),
             F.transform(F.sort_array(F.collect_list(F.struct("pos", F.when(hit, F.struct("start", "end")).alias("time")))), lambda x: x["time"]).alias("word_times"),
+            F.min_by("end_before", "heard_idx").alias("end_before"),
+            F.max_by("start_after", "heard_idx").alias("start_after"),
+            *(F.max(c).alias(c) for c in ("script_start", "script_end", "last_word")),
         )
     )
 
@@ -52,8 +79,8 @@ def raw_spans(paragraphs: DataFrame, matches: DataFrame, heard: DataFrame, min_c
     return found.withColumn("status", status_of(F.col("n"), F.col("matched"), F.col("confidence"), min_confidence))
 
 
-def refine(spans: DataFrame, heard: DataFrame) -> DataFrame:
-    """Spans whose bounds grow over free heard words where words at the edge of a paragraph went unmatched.
+def refine(spans: DataFrame) -> DataFrame:
+    """raw_spans whose bounds grow over free heard words where words at the edge of a paragraph went unmatched.
 
     Each edge moves by as many median word lengths as words are unmatched
     there, but not past the free words; neighbours that want the same room
@@ -62,11 +89,11 @@ def refine(spans: DataFrame, heard: DataFrame) -> DataFrame:
     """
     # Found paragraphs are each other's neighbours in a partition of their own, so the rows of the others stay in the frame.
     order = Window.partitionBy("script_id", "found").orderBy("ord")
-    last_word = heard.groupBy("script_id").agg(F.max("idx").alias("last_word"))
-    rows = spans.withColumn("found", F.col("status") != MISSING).join(last_word, "script_id", "left")
-    rows = rows.withColumns({"free_from": F.coalesce(F.lag("last_idx").over(order) + 1, F.lit(0)), "free_to": F.coalesce(F.lead("first_idx").over(order) - 1, F.col("last_word"))})
-    at = lambda key, value, name: heard.select("script_id", F.col("idx").alias(key), F.col(value).alias(name))
-    rows = rows.join(at("free_from", "start", "free_start"), ["script_id", "free_from"], "left").join(at("free_to", "end", "free_end"), ["script_id", "free_to"], "left")
+    rows = spans.withColumn("found", F.col("status") != MISSING)
+    # The free words reach from the neighbours' matches, or from the ends of the script.
+    behind, ahead = F.lag("last_idx").over(order), F.lead("first_idx").over(order)
+    rows = rows.withColumns({"free_from": F.coalesce(behind + 1, F.lit(0)), "free_to": F.coalesce(ahead - 1, F.col("last_word"))})
+    rows = rows.withColumns({"free_start": F.when(behind.isNull(), F.col("script_start")).otherwise(F.lag("start_after").over(order)), "free_end": F.when(ahead.isNull(), F.col("script_end")).otherwise(F.lead("end_before").over(order))})
     zero = F.lit(0.0)
     wish_start = F.when(F.col("free_from") < F.col("first_idx"), F.greatest(zero, F.least(F.col("before") * F.col("word_length"), F.col("start") - F.col("free_start")))).otherwise(zero)
     wish_end = F.when(F.col("last_idx") < F.col("free_to"), F.greatest(zero, F.least(F.col("after") * F.col("word_length"), F.col("free_end") - F.col("end")))).otherwise(zero)
@@ -80,12 +107,12 @@ def refine(spans: DataFrame, heard: DataFrame) -> DataFrame:
     end = F.col("end") + F.when(F.col("room_after").isNull(), F.col("move_end")).otherwise(share(F.col("room_after"), F.col("move_end"), F.col("next_move")))
     start = F.col("start") - F.when(F.col("room_before").isNull(), F.col("move_start")).otherwise(share(F.col("room_before"), F.col("move_start"), F.col("last_move")))
     moved = rows.withColumns({"new_start": F.when(F.col("found"), start), "new_end": F.when(F.col("found"), end)})
-    return moved.select(*[c for c in spans.columns if c not in ("start", "end")], F.col("new_start").alias("start"), F.col("new_end").alias("end"))
+    return moved.select(*[c for c in spans.columns if c not in ("start", "end", *AROUND)], F.col("new_start").alias("start"), F.col("new_end").alias("end"))
 
 
 def compute_spans(paragraphs: DataFrame, matches: DataFrame, heard: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """paragraphs with start, end, confidence, status and word_times."""
-    return refine(raw_spans(paragraphs, matches, heard, min_confidence), heard)
+    return refine(raw_spans(paragraphs, matches, heard, min_confidence))
 
 
 def with_pace(spans: DataFrame, seconds: str = "(end - start)") -> DataFrame:
@@ -112,8 +139,8 @@ def chapter_spans(spans: DataFrame) -> DataFrame:
 
 def paragraph_warnings(spans: DataFrame, missing_reason: str = "not found in the audio.") -> DataFrame:
     """(script_id, ord, seq, warning) about missing, doubtful and slow paragraphs; spans as with_pace gives them, in seconds."""
-    low = F.format_string("%s: low confidence (%.2f). The narration may differ from the script.", "id", "confidence")
-    slow = F.format_string("%s: %.1f s for %d words, much longer than the other paragraphs. The script may be read more than once or out of order.", F.col("id"), F.col("end") - F.col("start"), F.col("n"))
+    low = F.format_string("%s: low confidence (%s). The narration may differ from the script.", "id", fixed(F.col("confidence"), 2))
+    slow = F.format_string("%s: %s s for %d words, much longer than the other paragraphs. The script may be read more than once or out of order.", F.col("id"), fixed(F.col("end") - F.col("start"), 1), F.col("n"))
     texts = F.array_compact(
         F.array(
             F.when(F.col("status") == MISSING, F.concat("id", F.lit(f": {missing_reason}"))),
