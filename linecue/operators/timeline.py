@@ -64,13 +64,18 @@ def join_decimals(words: DataFrame) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy("idx")
     text = F.trim(F.col("text"))
     goes_on = F.coalesce(F.trim(F.lag("text").over(order)).rlike(r"\p{Nd}$") & text.rlike(r"^\.\p{Nd}"), F.lit(False))
-    runs = words.withColumn("run", F.sum(F.when(goes_on, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return runs.groupBy(*keys, "run").agg(
+    flagged = words.withColumn("goes_on", goes_on).withColumn("goes_on_after", F.coalesce(F.lead("goes_on").over(order), F.lit(False)))
+    columns = [*keys, "idx", "text", "start", "end"]
+    alone = flagged.where("NOT goes_on AND NOT goes_on_after").select(*keys, "idx", text.alias("text"), "start", "end")
+    # Only words that are joined meet in groups; most words stand alone and go through as they are.
+    runs = flagged.where("goes_on OR goes_on_after").withColumn("run", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    joined = runs.groupBy(*keys, "run").agg(
         F.min("idx").alias("idx"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", F.trim("text").alias("t")))), lambda x: x["t"]), "").alias("text"),
         F.min_by("start", "idx").alias("start"),
         F.max_by("end", "idx").alias("end"),
-    ).drop("run")
+    )
+    return joined.select(columns).union(alone)
 
 
 def split_words(words: DataFrame, tokens: Column) -> DataFrame:
