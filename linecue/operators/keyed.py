@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def dealt(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows by keys in as many tasks as the session shuffles to: what is small as it is dealt, texts say, may be much work behind, so tasks aren't joined."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+def dealt(rows: DataFrame, *keys: str, tasks: int = 0) -> DataFrame:
+    """rows by keys in as many tasks as the session shuffles to, `tasks` at least: what is small as it is dealt, texts say, may be much work behind, so tasks aren't joined."""
+    return rows.repartition(max(tasks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 def looked_up(rows: DataFrame, other: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

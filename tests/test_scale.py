@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from linecue.operators.timeline import join_decimals
+from linecue.plans import bridge
 
 
 def test_only_joined_words_meet_in_groups(spark):
@@ -12,3 +13,11 @@ def test_only_joined_words_meet_in_groups(spark):
     assert [(r.idx, r.text, r.start, r.end) for r in found.orderBy("idx").collect()] == [(0, "costs", 0.0, 0.5), (1, "$49.99.5", 1.0, 3.5), (4, "and", 4.0, 4.5), (5, "7.25", 5.0, 6.5), (7, ".", 7.0, 7.5)]
     # Words that stand alone go beside the grouping, not through it.
     assert "Union" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tasks_grow_with_the_texts(spark, monkeypatch):
+    """Twice the texts are twice the tasks, not tasks of twice the words."""
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(bridge, "TASK_BYTES", 1000)
+    dealt = bridge.paragraphs(spark, "/root/testdata/sf0.001")
+    assert dealt.rdd.getNumPartitions() == bridge.tasks(spark, "/root/testdata/sf0.001") > few
