@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 _APART = ""
 # Hangul syllables are numbered by their parts.
 _FIRST, _L, _V, _T, _VS, _TS = 0xAC00, 0x1100, 0x1161, 0x11A7, 21, 28
+#: Ranges of so many characters that none of a class is in are asked for before the class is.
+_LONG = 100
 #: Below it, letters whose lower case is their folded form are left to lower().
 _LOWERED = 0x530
 
@@ -40,15 +42,27 @@ def _seconds() -> frozenset[str]:
     return frozenset(c for c in _every() if unicodedata.combining(d := unicodedata.normalize("NFKD", c)[:1]) or d in seconds)
 
 
-def _class_of(chars: list[str]) -> str:
-    """A character class of a pattern, as ranges."""
-    codes, out = sorted(map(ord, chars)), []
-    for c in codes:
+def _ranges(chars: list[str]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
         if out and out[-1][1] == c - 1:
             out[-1][1] = c
         else:
             out.append([c, c])
-    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out) + "]"
+    return out
+
+
+def _class_of(ranges: list[list[int]]) -> str:
+    """A character class of a pattern, as ranges."""
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
+def _rare(chars: list[str]) -> str:
+    """A pattern of one of the characters. A class of a thousand ranges costs as much for each character that is not in it, so the long ranges between them are asked for first, Latin ones before all."""
+    ranges = _ranges(chars)
+    between = [[a + 1, b - 1] for (_, a), (b, _) in zip([[0, -1], *ranges], [*ranges, [sys.maxunicode + 1, 0]], strict=True) if b - a > _LONG]
+    latin = [r for r in between if r[0] < 0x180]
+    return "".join(f"(?!{_class_of(r)})" for r in (latin, between) if r) + _class_of(ranges)
 
 
 @functools.lru_cache(maxsize=4)
@@ -129,8 +143,8 @@ def _cluster(text: Column) -> Column:
 
 
 @functools.lru_cache(maxsize=1)
-def _classes() -> tuple[str, str]:
-    """(characters that lower() and `ss` for ß don't fold, those that can melt into the one before them)."""
+def _classes() -> tuple[str, str, str]:
+    """(a pattern of characters that lower() and `ss` for ß don't fold, one of those that can melt into the one before them, the class of these)."""
     seconds = _seconds()
 
     def like_lower(c: str) -> bool:
@@ -138,17 +152,17 @@ def _classes() -> tuple[str, str]:
         # What Python doesn't know yet, the JVM may have a lower case for.
         return c == "ß" or unicodedata.category(c) != "Cn" and c not in seconds and c not in "Σİ" and folded == c.lower() and (folded == c or ord(c) < _LOWERED)
 
-    return _class_of([c for c in _every() if not like_lower(c)]), _class_of(sorted(seconds))
+    return _rare([c for c in _every() if not like_lower(c)]), _rare(list(seconds)), _class_of(_ranges(list(seconds)))
 
 
 def fold_case(text: Column) -> Column:
     """NFKC of a text, case folded, as Python has them; null stays null."""
-    special, joins = _classes()
+    special, joining, joins = _classes()
     pieces = f"(?s).{joins}+|[^{joins[1:-1]}]+?(?=.{joins}|\\z)|{joins}+"
 
     def joined(t: Column) -> Column:
         whole = F.array_join(F.transform(F.regexp_extract_all(t, F.lit(pieces), F.lit(0)), lambda c: F.when(c.rlike(joins), _cluster(c)).otherwise(c)), "")
-        return F.when(t.rlike(joins), whole).otherwise(t)
+        return F.when(t.rlike(joining), whole).otherwise(t)
 
     ascii_only = lambda t: F.octet_length(t) == F.char_length(t)
     return bound(text, lambda t: F.when(ascii_only(t), F.lower(t)).when(t.rlike(special), _mapped(joined(t), "fold")).otherwise(F.lower(F.replace(t, F.lit("ß"), F.lit("ss")))))

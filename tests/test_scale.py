@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from linecue.functions import unicode
 from linecue.operators.timeline import join_decimals
-from linecue.plans import bridge
+from linecue.plans import bridge, registry
 
 
 def test_only_joined_words_meet_in_groups(spark):
@@ -21,3 +24,17 @@ def test_tasks_grow_with_the_texts(spark, monkeypatch):
     monkeypatch.setattr(bridge, "TASK_BYTES", 1000)
     dealt = bridge.paragraphs(spark, "/root/testdata/sf0.001")
     assert dealt.rdd.getNumPartitions() == bridge.tasks(spark, "/root/testdata/sf0.001") > few
+
+
+def test_documents_of_one_row_group_are_many_tasks(spark):
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    documents = registry.normalize_numbers(spark, "/root/testdata/sf0.001").where("ord = -1")
+    assert documents.select(F.spark_partition_id()).distinct().count() == few
+
+
+def test_plain_letters_are_passed_before_the_long_classes():
+    """Classes of many ranges come after short ones of what stands between their ranges."""
+    special, joining, _ = unicode._classes()
+    for pattern in (special, joining):
+        first = pattern.partition("]")[0]
+        assert first.startswith("(?![\\x{0}-") and len(first) < 60 < len(pattern)
