@@ -74,7 +74,8 @@ def paragraph_matches(matches: DataFrame, heard: DataFrame) -> DataFrame:
 
 def raw_spans(paragraphs: DataFrame, matches: DataFrame, heard: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Every paragraph with its matches and its status; one without words is missing with confidence 0."""
-    found = paragraphs.join(paragraph_matches(matches, heard), ["script_id", "ord"], "left")
+    counted = paragraph_matches(matches, heard)
+    found = looked_up(paragraphs, counted, ["script_id", "ord"], counted.columns[2:])
     found = found.fillna({"n": 0, "matched": 0, "confidence": 0.0})
     return found.withColumn("status", status_of(F.col("n"), F.col("matched"), F.col("confidence"), min_confidence))
 

@@ -38,3 +38,14 @@ def test_plain_letters_are_passed_before_the_long_classes():
     for pattern in (special, joining):
         first = pattern.partition("]")[0]
         assert first.startswith("(?![\\x{0}-") and len(first) < 60 < len(pattern)
+
+
+def test_tokens_stay_with_their_script(spark):
+    """Turns are dealt once for texts, matches and heard words, and spans once before they are cut into tokens; nothing is dealt by paragraph or token."""
+    plan = registry.caption_cues(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 4 and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_a_span_query_deals_turns_only(spark):
+    plan = registry.refine_boundaries(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3 and "ENSURE_REQUIREMENTS" not in plan
