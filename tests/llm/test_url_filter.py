@@ -130,6 +130,21 @@ def test_rare_edges_and_far_hosts_get_mass(spark):
     assert got["common.io"] > got["rare.io"] and got["h20.io"] > 0
 
 
+def test_a_small_graph_is_not_spread_in_as_many_tasks_as_its_pages_had(spark, monkeypatch):
+    far = [(f"h{k}.io", f"h{k + 1}.io", 1 + k % 3) for k in range(200)]
+    edges = spark.createDataFrame(far, "a string, b string, pages long").repartition(50)
+    seeds = spark.createDataFrame([("h0.io", 1), ("h50.io", 2)], "host string, pages long").repartition(50)
+    spark.sparkContext.setJobGroup("small graph", "")
+    got = {r.host: r.mass for r in uf.spread(edges, seeds).collect()}
+    track = spark.sparkContext.statusTracker()
+    jobs = [track.getJobInfo(j) for j in track.getJobIdsForGroup("small graph")]
+    tasks = [stage.numTasks for job in jobs for k in job.stageIds if (stage := track.getStageInfo(k))]
+    spark.sparkContext.setJobGroup("", "")
+    assert len(tasks) > uf.ROUNDS and tasks.count(50) <= 4
+    monkeypatch.setattr(uf, "MOST_SPREAD", 0)
+    assert {r.host: r.mass for r in uf.spread(edges, seeds).collect()} == got
+
+
 def test_a_hub_gives_to_each_of_its_neighbours(spark):
     edges = spark.range(50_000).selectExpr("'hub.io' AS a", "concat('n', id, '.io') AS b", "1L + id % 3 AS pages")
     seeds = spark.createDataFrame([("hub.io", 1)], "host string, pages long")
