@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linecue.functions import unicode
+from linecue.operators import script
 from linecue.operators.timeline import join_decimals
 from linecue.plans import bridge, registry
 
@@ -45,3 +46,9 @@ def test_tokens_stay_with_their_script(spark):
     plan = registry.caption_cues(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInPandas") + plan.count("FlatMapGroupsInPandas") == 1 and "tok#" not in "".join(line for line in plan.split("\n") if "Exchange" in line)
     assert plan.count("Exchange hashpartitioning") <= 6
+
+
+def test_problems_read_and_deal_the_lines_once(spark):
+    lines = script.script_lines(spark.createDataFrame([(1, "P1 - a\n> b")], "script_id long, text string"))
+    plan = script.problems(lines)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate posexplode") == 1 and plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
